@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.llm.line_dedup import line_dedup
+from speechlake.llm.minhash_forest import near_duplicates
 from speechlake.llm.quality_rules import quality_rules
 
 
@@ -78,9 +79,37 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(dropped)::BIGINT AS n_dropp
 FROM marked GROUP BY doc_id
 """
 
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), ngram=4, percent=80)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), sz AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), link AS MATERIALIZED (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+  ) p JOIN sz sa ON sa.doc_id = p.a JOIN sz sb ON sb.doc_id = p.b WHERE 100 * p.c >= 80 * (sa.n + sb.n - p.c)
+), reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents
+  UNION
+  SELECT reach.d, link.b FROM reach JOIN link ON reach.r = link.a
+)
+SELECT doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, c.m AS component_id, doc_id = c.m AS kept
+FROM documents LEFT JOIN sz USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS m FROM reach GROUP BY d) c USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op10_near_duplicates": OP10_SQL}
