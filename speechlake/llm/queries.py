@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from speechlake.llm.line_dedup import line_dedup
 from speechlake.llm.minhash_forest import near_duplicates
+from speechlake.llm.mixing import mix
+from speechlake.llm.packing import pack_documents
 from speechlake.llm.quality_rules import quality_rules
+from speechlake.llm.token_files import read_token_files, write_token_files
+from speechlake.llm.warc import read_warc, write_warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,10 +110,97 @@ SELECT doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, c.m AS component_id, doc
 FROM documents LEFT JOIN sz USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS m FROM reach GROUP BY d) c USING (doc_id)
 """
 
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), per AS (
+  SELECT row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx, source, source_size, 2.0 * source_size AS cap
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), weighed AS (
+  SELECT *, [5, 2, 1][idx % 3 + 1] AS weight FROM per
+), levels AS (
+  SELECT *, row_number() OVER o AS k,
+         (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, idx)
+), open AS (
+  SELECT k AS open_k, level AS open_level FROM levels WHERE level * weight < cap ORDER BY k LIMIT 1
+), targets AS (
+  SELECT idx, source, source_size, CASE WHEN k >= open_k THEN open_level * weight ELSE cap END AS target,
+         ceil(source_size / 64)::BIGINT AS blocks
+  FROM levels LEFT JOIN open ON true
+), arcs AS (
+  SELECT idx, blocks, CASE WHEN idx = max(idx) OVER () THEN 2147483648
+    ELSE floor(2147483648 * (sum(target) OVER (ORDER BY idx) / sum(target) OVER ()))::BIGINT END AS high
+  FROM targets WHERE target > 0
+), bounded AS (
+  SELECT *, lag(high, 1, 0) OVER (ORDER BY idx) AS low FROM arcs
+), slots AS (
+  SELECT i AS slot, (i * 1327217885) % 2147483648 AS point
+  FROM (SELECT unnest(range((SELECT floor(sum(target) / 64 + 0.5)::BIGINT FROM targets))) AS i)
+), ranked AS (
+  SELECT idx, blocks, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS r
+  FROM slots JOIN bounded ON point >= low AND point < high
+), times AS (
+  SELECT idx, r % blocks AS block, count(*) AS times FROM ranked WHERE r < 2 * blocks GROUP BY 1, 2
+), placed AS (
+  SELECT doc_id, size, idx, source_size, target,
+         (coalesce(sum(size) OVER (PARTITION BY idx ORDER BY md5(doc_id::VARCHAR), doc_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+), pieces AS (
+  SELECT doc_id, idx, block, least(start + size, (block + 1) * 64) - greatest(start, block * 64) AS part
+  FROM (SELECT *, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block FROM placed WHERE size > 0)
+), taken AS (
+  SELECT doc_id, sum(part * times)::BIGINT AS taken FROM pieces JOIN times USING (idx, block) GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (doc_id)
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_warc(_read(spark, sf_dir, "pages"))
+    return read_warc(index, with_html=False).drop("url")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
+    return read_token_files(manifest, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_line_dedup": op2_line_dedup,
-    "op10_near_duplicates": op10_near_duplicates,
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_mixing, op6_packing, op8_warc, op9_token_files, op10_near_duplicates)
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op4_mixing": OP4_SQL,
+    "op8_warc": OP8_SQL,
+    "op10_near_duplicates": OP10_SQL,
+}

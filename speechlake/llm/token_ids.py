@@ -23,7 +23,7 @@ class Coder:
     pieces and starts anew when full.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 400_000):
+    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
