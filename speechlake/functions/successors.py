@@ -1,0 +1,24 @@
+"""The next larger key of each key, without one task seeing all keys."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def successors(keys: DataFrame, key: str, width: int = 1024, levels: int = 2) -> DataFrame:
+    """(key, next) of a table of distinct long keys; the last key's next is the first one.
+
+    Keys are grouped by key // width and a window runs inside each group; the last of a group takes the
+    first of the next group, which the same function finds among the groups. After `levels` such steps
+    one window orders what is left: a key for each width**levels, at most.
+    """
+    if levels == 0:
+        first = keys.agg(F.min(key).alias("_first"))
+        out = keys.withColumn("next", F.lead(key).over(W.orderBy(key)))
+        return out.join(F.broadcast(first)).select(key, F.coalesce("next", "_first").alias("next"))  # first is one row
+    grouped = keys.withColumn("_group", F.floor(F.col(key) / width))
+    inside = grouped.withColumn("_next", F.lead(key).over(W.partitionBy("_group").orderBy(key)))
+    firsts = grouped.groupBy("_group").agg(F.min(key).alias("_first"))
+    after = successors(firsts.select("_group"), "_group", width, levels - 1).select("_group", F.col("next").alias("_after"))
+    heads = after.join(firsts.select(F.col("_group").alias("_after"), "_first"), "_after").select("_group", "_first")
+    return inside.join(heads, "_group").select(key, F.coalesce("_next", "_first").alias("next"))
