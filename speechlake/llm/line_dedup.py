@@ -99,7 +99,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
 
     The ids are cut into `batches` ranges and run through LineRuns from the largest down, so the batch
     in which a hash is new holds the document that keeps it. The texts are read twice and shuffled once,
-    by doc_id; what meets them there is an array of the document's own dropped hashes.
+    by doc_id; what meets them there is an array of the document's own dropped hashes. Columns of docs
+    that are named n_lines or n_dropped give way.
     """
     lines = written(long_line_hashes(docs, min_chars, text, doc_id), "lines")
     cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
@@ -120,4 +121,4 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     out = out.withColumn("_left", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(left))
     out = out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_left")).cast("long")})
     kept = F.when(F.col("n_dropped") > 0, F.array_join("_left", "\n")).otherwise(F.col(text))
-    return out.withColumn(text, kept).select(*docs.columns, "n_lines", "n_dropped")
+    return out.withColumn(text, kept).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -36,7 +36,8 @@ def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an
     earlier line), n_repeat_words and base_failed (too few words, or too many of them repeated).
-    Null text counts as empty; repeated rows each get their own counts.
+    Null text counts as empty; repeated rows each get their own counts. Columns of docs that are named like
+    a count give way.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -52,7 +53,7 @@ def document_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return counted.select(*docs.columns, *names).withColumn("base_failed", failed)
+    return counted.select(*[c for c in docs.columns if c not in (*names, "base_failed")], *names).withColumn("base_failed", failed)
 
 
 def host_rates(rated: DataFrame, host: str = "source", failed: str = "base_failed") -> DataFrame:

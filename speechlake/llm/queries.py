@@ -9,8 +9,11 @@ from speechlake.llm.line_dedup import line_dedup
 from speechlake.llm.minhash_forest import near_duplicates
 from speechlake.llm.mixing import mix
 from speechlake.llm.packing import pack_documents
+from speechlake.llm.pii import find_pii
 from speechlake.llm.quality_rules import quality_rules
+from speechlake.llm.simhash import fingerprint_documents
 from speechlake.llm.token_files import read_token_files, write_token_files
+from speechlake.llm.tool_calls import Schemas, link_tool_calls
 from speechlake.llm.warc import read_warc, write_warc
 
 
@@ -111,6 +114,10 @@ FROM documents LEFT JOIN sz USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS m
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
@@ -163,12 +170,83 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 
+TOOLS: Schemas = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "lookup": {"query": ("string", True), "exact": ("boolean", True)},
+    "count": {"limit": ("integer", True)},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations table read as an agent's log, for link_tool_calls.
+
+    Each assistant turn calls a tool, under the MD5 of its place and with arguments taken from its text;
+    each later user turn is the result of the call that the turn before it would have made.
+    """
+    n, mine = F.length("text"), F.col("role") == "assistant"
+    place = lambda turn: F.md5(F.concat_ws(":", "conv_id", turn))
+    tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("count")), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+    query = F.substring("text", 1, 20)
+    found = F.when(n % 5 == 0, F.to_json(F.struct(F.lit("many").alias("limit"), query.alias("query")))).otherwise(F.to_json(F.struct((n % 10).alias("limit"), query.alias("query"))))
+    exact = F.to_json(F.struct(F.when(n % 5 > 0, n % 2 == 0).alias("exact"), query.alias("query")))
+    arguments = F.when(tool == "search", found).when(tool == "lookup", exact).otherwise(F.to_json(F.struct((n % 10).alias("limit"))))
+    answer = (F.col("role") == "user") & (F.col("turn") > 0)
+    return conversations.select(
+        "conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"), "text",
+        F.when(mine, place(F.col("turn"))).when(answer, place(F.col("turn") - 1)).alias("call_id"),
+        F.when(mine, tool).alias("tool"), F.when(mine, arguments).alias("arguments"),
+    )
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_tool_calls(tool_messages(_read(spark, sf_dir, "conversations")), TOOLS)
+    return out.withColumn("json_sha256", F.sha2("json", 256)).drop("json")
+
+
+OP5_SQL = r"""
+WITH m AS (
+  SELECT *, length(text) AS n, role = 'assistant' AS is_call, role = 'user' AND turn > 0 AS answer,
+         ['search', 'lookup', 'count'][turn % 3 + 1] AS tool, to_json(substr(text, 1, 20))::VARCHAR AS q
+  FROM conversations
+), a AS (
+  SELECT *, CASE WHEN is_call THEN md5(conv_id || ':' || turn) WHEN answer THEN md5(conv_id || ':' || (turn - 1)) END AS cid,
+         CASE WHEN tool = 'search' THEN '{"limit":' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE (n % 10)::VARCHAR END || ',"query":' || q || '}'
+              WHEN tool = 'lookup' THEN '{' || CASE WHEN n % 5 = 0 THEN '' ELSE '"exact":' || (n % 2 = 0)::VARCHAR || ',' END || '"query":' || q || '}'
+              ELSE '{"limit":' || (n % 10) || '}' END AS args,
+         tool = 'count' OR n % 5 > 0 AS valid
+  FROM m
+), calls AS (
+  SELECT conv_id, cid, min(turn) AS call_turn FROM a WHERE is_call GROUP BY 1, 2
+), l AS (
+  SELECT a.*, c.call_turn AS ct FROM a LEFT JOIN calls c ON a.conv_id = c.conv_id AND a.cid = c.cid AND a.answer
+), s AS (
+  SELECT conv_id, turn, CASE WHEN answer AND ct IS NOT NULL THEN 'tool' ELSE role END AS role,
+         CASE WHEN is_call OR ct IS NOT NULL THEN cid END AS call_id, ct AS call_turn,
+         CASE WHEN is_call AND valid THEN 'call' WHEN is_call THEN 'bad_call' WHEN ct IS NOT NULL THEN 'result'
+              WHEN answer THEN 'orphan' ELSE 'message' END AS status, text, args, tool, is_call
+  FROM l
+), j AS (
+  SELECT *, '{' || CASE WHEN is_call THEN '"call":{"arguments":' || args || ',"id":"' || call_id || '","name":"' || tool || '"},' ELSE '' END
+         || '"content":' || to_json(text)::VARCHAR || ',' || CASE WHEN status = 'result' THEN '"in_reply_to":"' || call_id || '",' ELSE '' END
+         || '"role":"' || role || '"}' AS json
+  FROM s
+)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(call_turn, turn), (status = 'result')::INT, turn, json) - 1 AS position,
+       role, call_id, call_turn, status, sha256(json) AS json_sha256
+FROM j
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(_read(spark, sf_dir, "pages"))
     return read_warc(index, with_html=False).drop("url")
@@ -194,13 +272,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_mixing, op6_packing, op8_warc, op9_token_files, op10_near_duplicates)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates)
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op4_mixing": OP4_SQL,
+    "op5_tool_calls": OP5_SQL,
     "op8_warc": OP8_SQL,
     "op10_near_duplicates": OP10_SQL,
 }
