@@ -71,11 +71,11 @@ SCORED = RECORDS + """, sc AS (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, score, tied) over all line items: returned or not, by price and by discount."""
+    """(label, score, tied) over all line items: returned or not, by price and by discount (11 values)."""
     l = table(spark, sf_dir, "lineitem")
-    return l.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_extendedprice") / 200000.0).alias("score"), F.round(F.col("l_discount") * 10, 0).alias("tied"))
+    return l.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_extendedprice") / 200000.0).alias("score"), F.round(F.col("l_discount") * 100, 0).alias("tied"))
 
 
 LINES = """
-ln AS (SELECT (l_returnflag = 'R')::INT AS label, l_extendedprice / 200000.0 AS score, round(l_discount * 10, 0) AS tied FROM lineitem)
+ln AS (SELECT (l_returnflag = 'R')::INT AS label, l_extendedprice / 200000.0 AS score, round(l_discount * 100, 0) AS tied FROM lineitem)
 """
