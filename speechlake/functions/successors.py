@@ -16,9 +16,10 @@ def successors(keys: DataFrame, key: str, width: int = 1024, levels: int = 2) ->
         first = keys.agg(F.min(key).alias("_first"))
         out = keys.withColumn("next", F.lead(key).over(W.orderBy(key)))
         return out.join(F.broadcast(first)).select(key, F.coalesce("next", "_first").alias("next"))  # first is one row
-    grouped = keys.withColumn("_group", F.floor(F.col(key) / width))
-    inside = grouped.withColumn("_next", F.lead(key).over(W.partitionBy("_group").orderBy(key)))
-    firsts = grouped.groupBy("_group").agg(F.min(key).alias("_first"))
-    after = successors(firsts.select("_group"), "_group", width, levels - 1).select("_group", F.col("next").alias("_after"))
-    heads = after.join(firsts.select(F.col("_group").alias("_after"), "_first"), "_after").select("_group", "_first")
-    return inside.join(heads, "_group").select(key, F.coalesce("_next", "_first").alias("next"))
+    group = f"_group{levels}"
+    grouped = keys.withColumn(group, F.floor(F.col(key) / width))
+    inside = grouped.withColumn("_next", F.lead(key).over(W.partitionBy(group).orderBy(key)))
+    firsts = grouped.groupBy(group).agg(F.min(key).alias("_first"))
+    after = successors(firsts.select(group), group, width, levels - 1).select(group, F.col("next").alias("_after"))
+    heads = after.join(firsts.select(F.col(group).alias("_after"), "_first"), "_after").select(group, "_first")
+    return inside.join(heads, group).select(key, F.coalesce("_next", "_first").alias("next"))
