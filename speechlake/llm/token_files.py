@@ -93,7 +93,7 @@ class TokenFile:
         n = min((last + 1) * BLOCK, self.n_tokens) - first * BLOCK
         return unpack_bits(data, n, self.bits)[start - first * BLOCK : stop - first * BLOCK]
 
-    def documents(self, at_once: int = 16 * BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def documents(self, at_once: int = 4 * BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start, ids) of each document, reading about at_once tokens at a time."""
         i = 0
         while i < len(self.sizes):
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id:
             yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.sizes)]})
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranged = slim.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = slim.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = written(ranged.mapInArrow(run, "path string, size bigint, first_id bigint, n_docs bigint, n_tokens bigint"), "manifest")
     before = W.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(W.unboundedPreceding, -1)
     return made.withColumns({"start": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "folder": F.lit(folder)})

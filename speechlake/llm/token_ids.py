@@ -2,55 +2,93 @@
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 
-#: Runs without ASCII white space; a pre-tokenizer that drops white space never joins two of them.
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: What a byte-level pre-tokenizer keeps apart: a word with the space before it, the white space before that, and the rest.
 _SPACED = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?=[\x20\x09-\x0D][^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 #: White space outside ASCII and separators that some definitions count as white space; texts with any are encoded whole.
 _OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _coders: dict[tuple, "Coder"] = {}
+#: A word of Latin letters, the space before it and one mark after it: each pre-tokenizer cuts it the same way.
+_PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level models write for each byte: visible Latin-1 characters as they are, the others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256))
+    return {b: chr(b) if b in seen else chr(0x100 + next(rest)) for b in range(256)}
 
 
 class Coder:
     """Encodes texts as the tokenizer in `path` does, without special tokens.
 
-    Both kinds of pre-tokenizer cut a text at white space, and the rest of the work sees one piece at a
-    time; so the ids of a text are those of its pieces, which are looked up. The cache holds `most`
-    pieces and starts anew when full.
+    Pre-tokenizers cut a text at white space, and the rest of the work sees one piece at a time; so the
+    ids of a text are those of its pieces, which are looked up. A plain word that is not known goes to
+    the tokenizer's model, any other piece to the whole tokenizer. The cache holds about `most` pieces;
+    when full it becomes the old one, from which pieces in use come back. Pieces of more than `long`
+    bytes are not kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, most: int = 200_000, long: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut: Callable[[bytes], list[bytes]] = _SPACED.findall if spaced else bytes.split
-        self.most, self.cache = most, {}
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
+        self.spaced, self.letters = spaced, _byte_letters()
+        self.most, self.long = most, long
+        self.cache, self.old = {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token, which the model takes in its byte letters."""
+        if not word.isascii() or " " in word:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        m = _PLAIN.fullmatch(text)
+        if m and self.normal is not None:
+            m = _PLAIN.fullmatch(text.lower())
+        if not m:
+            return self._whole(text)
+        word = m[1] + m[2]
+        if not m[3]:
+            return self._word(word)
+        core = word.encode()
+        return (self.cache.get(core) or self.old.get(core) or self._word(word)) + self._word(m[3])
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for null or empty text."""
         if not text:
             return b""
         if _OTHER.search(text):
             return self._whole(text)
-        pieces = self.cut(text.encode())
+        pieces = _SPACED.findall(text.encode()) if self.spaced else text.encode().translate(_LOWER).split()
         cache = self.cache
-        if new := set(pieces).difference(cache):
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = set(pieces)
-            new = list(new)
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            cache.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-        return b"".join([cache[x] for x in pieces])
+        parts = [*map(cache.get, pieces)]
+        if None in parts:
+            for i, found in enumerate(parts):
+                if found is None:
+                    piece = pieces[i]
+                    found = cache.get(piece)
+                    if found is None:
+                        found = self.old.get(piece)
+                        if found is None:
+                            found = self._piece(piece)
+                        if len(piece) <= self.long:
+                            cache[piece] = found
+                    parts[i] = found
+            if len(cache) > self.most:
+                self.cache, self.old = {}, cache
+        return b"".join(parts)
 
 
 def coder(path: str, spaced: bool) -> Coder:
