@@ -100,11 +100,12 @@ class Tagger:
         self._back("r", x[::-1], kept_r, dboth[::-1, :, n:], g)
         return float(z.sum() - gold), {k: v / rows for k, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rows: int = 48, rate: float = 0.02, seed: int = 5) -> "Tagger":
-        """Adam on the likelihood of tags y for windows x (both row, time)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rows: int = 48, rate: float = 0.02, seed: int = 5) -> "Tagger":
+        """About `steps` steps of Adam on the likelihood of tags y for windows x (both row, time), at a falling rate."""
         rng, step = np.random.default_rng(seed), 0
+        epochs = -(-steps // -(-len(x) // rows))
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        for epoch in range(epochs):
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), rows):
                 part, step = order[at : at + rows], step + 1
@@ -114,7 +115,7 @@ class Tagger:
                     d = d * min(1.0, 5.0 / (norm + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * d
                     v[k] = 0.999 * v[k] + 0.001 * d * d
-                    self.p[k] -= (rate * 0.8**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (rate * max(0.05, 1 - step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
     def decode(self, e: np.ndarray) -> np.ndarray:
