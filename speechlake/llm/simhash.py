@@ -28,7 +28,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = texts.select(*keys, words(F.lower(F.col(text))).alias("_w"))
     pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(F.col("_w"), i + 1)))
     terms = rows.select(*keys, F.posexplode_outer(pairs).alias("_at", "_a"))
-    terms = terms.withColumn("_b", F.xxhash64("_a", F.lit(1)))
+    terms = terms.withColumn("_b", F.when(F.col("_a").isNotNull(), F.xxhash64("_a", F.lit(1))))
     votes = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(f"{h}{k}") for h in ("_a", "_b") for k in range(16)]
     chunks = terms.groupBy(*keys, F.floor(F.col("_at") / CHUNK).alias("_chunk")).agg(F.count("_a").alias("_n"), *votes)
     wide = []
