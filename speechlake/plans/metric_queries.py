@@ -117,9 +117,9 @@ def latency_report(spark, sf_dir):
     return _rounded(M.latency(e, "value", ["event_type"], "audio"), "mean", "median", "p95", "p99", "audio_per_wall")
 
 
-@query(f"WITH {LINES} SELECT label, count(*) AS n, round(avg(score), 8) AS mean, round(stddev_pop(score), 8) AS sd, min(score) AS least, round(quantile_cont(score, 0.05), 8) AS p05, round(quantile_cont(score, 0.5), 8) AS median, round(quantile_cont(score, 0.95), 8) AS p95, max(score) AS most FROM ln GROUP BY 1")
+@query(f"WITH {LINES} SELECT label, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, min(score) AS least, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.95), 6) AS p95, max(score) AS most FROM ln GROUP BY 1")
 def score_distributions(spark, sf_dir):
-    return _rounded(M.score_distribution(lines(spark, sf_dir)), "mean", "sd", "p05", "median", "p95", digits=8)
+    return _rounded(M.score_distribution(lines(spark, sf_dir)), "mean", "sd", "p05", "median", "p95")
 
 
 @query("SELECT conv_id, round(least(1.0, greatest(0.0, coalesce(avg((length(text) % 100) / 99.0), 0.0))), 8) AS score, count(text) AS windows FROM conversations GROUP BY 1")

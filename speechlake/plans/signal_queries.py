@@ -178,7 +178,7 @@ def baseline_deviations(spark, sf_dir):
     return _round(B.compare(f, B.enroll(f, "speaker", "sample"), "speaker", limit=2.0).drop("value", "valid"), "deviation")
 
 
-@query(f"""WITH {BASE}, g AS (SELECT speaker, sample, count(deviation) AS compared, count_if(deviation IS NULL)::BIGINT AS missing, count_if(deviation >= 2)::BIGINT AS outside, count_if(n < 10) AS lim FROM dv GROUP BY 1, 2)
+@query(f"""WITH {BASE}, g AS (SELECT speaker, sample, count(deviation) AS compared, count_if(deviation IS NULL)::BIGINT AS missing, coalesce(count_if(deviation >= 2), 0)::BIGINT AS outside, coalesce(count_if(n < 10), 0) AS lim FROM dv GROUP BY 1, 2)
   SELECT speaker, sample, compared, missing, outside, CASE WHEN compared < 3 THEN 'INCONCLUSIVE' WHEN outside > 0 THEN 'DEVIATES' ELSE 'CONSISTENT' END AS status,
   concat_ws(',', CASE WHEN missing > 0 THEN 'features_without_baseline' END, CASE WHEN lim > 0 THEN 'limited_baseline' END, CASE WHEN compared < 3 THEN 'too_few_features' END) AS warnings FROM g""")
 def prosody_analysis(spark, sf_dir):
