@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, with its scheme; a temporary one of our own only where none is set."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def new_path(spark: SparkSession, name: str) -> str:
