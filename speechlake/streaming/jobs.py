@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.sources.shared import new_path
+from speechlake.sources.shared import new_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,18 +41,11 @@ def file_stream(spark: SparkSession, rows: DataFrame, name: str, per_trigger: in
     With an order the files cover ascending ranges of it, and are written one after the other.
     """
     path = new_path(spark, name)
-    ranged = rows.repartitionByRange(files, order) if order else rows.repartition(files)
-    if order:
-        ranged = ranged.withColumn("_part", F.spark_partition_id())
-        ranged.write.partitionBy("_part").parquet(f"{path}/all")
-        schema = rows.schema
-        for i in range(files):
-            spark.read.schema(schema).parquet(f"{path}/all/_part={i}").coalesce(1).write.mode("append").parquet(f"{path}/in") if _there(spark, f"{path}/all/_part={i}") else None
+    if order is None:
+        rows.repartition(files).write.parquet(f"{path}/in")
     else:
-        ranged.write.parquet(f"{path}/in")
+        stored = written(rows.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), name)
+        for i in range(files):
+            stored.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path}/in")
 
-
-def _there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
