@@ -82,22 +82,22 @@ def with_next(docs: DataFrame, width: int = 1024) -> DataFrame:
 
     Null ids come last, equal ids by text, and the last row's next is the first; a single row is its own.
     Rows are bucketed by doc_id // width, so the texts move once; only a bucket's last row takes its next
-    from another bucket, whose first row meets it by a join on buckets.
+    from another bucket, whose first row meets it by a join on buckets. The first ids are stored before
+    they fetch their texts, so that Spark broadcasts them where they are few.
     """
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("_rank"), F.floor(rank / width).cast("long").alias("bucket"))
+    firsts = written(rows.groupBy("bucket").agg(F.min("_rank").alias("_rank")), "firsts")
+    after = successors(firsts.select("bucket"), "bucket").select(F.col("bucket").alias("_for"), F.col("next").alias("bucket"))
+    heads = rows.join(firsts, ["bucket", "_rank"]).groupBy("bucket").agg(F.min("doc_id").alias("_id"), F.min("text").alias("_text"))
+    heads = heads.join(after, "bucket").select(F.col("_for").alias("bucket"), "_id", "_text")
     order = W.partitionBy("bucket").orderBy("_rank", "text")
     rows = rows.withColumns(
         {
-            "row": F.row_number().over(order), "head": F.lag(F.lit(1)).over(order).isNull(),
-            "next_text": F.lead("text").over(order), "next_id": F.lead("doc_id").over(order),
+            "row": F.row_number().over(order), "next_text": F.lead("text").over(order), "next_id": F.lead("doc_id").over(order),
             "last": F.lead(F.lit(1)).over(order).isNull(),
         }
     )
-    buckets = docs.select(F.floor(rank / width).cast("long").alias("bucket")).distinct()
-    after = successors(buckets, "bucket").select(F.col("bucket").alias("_for"), F.col("next").alias("bucket"))
-    heads = rows.where("head").select("bucket", F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    heads = heads.join(after, "bucket").select(F.col("_for").alias("bucket"), "_id", "_text")
     met = rows.join(heads, "bucket", "left")
     last = F.col("last")
     return met.select(
