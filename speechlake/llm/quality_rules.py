@@ -78,11 +78,12 @@ def quality_rules(docs: DataFrame, host: str = "source", max_host_rate: float =
     Returns one row per input row: the columns in keep, the counts of document_rules, base_failed,
     host_rate, host_rejected (host_rate above max_host_rate) and kept (neither failed nor rejected).
     An empty table gives an empty one. The counts are written once to the shared folder, so the texts are
-    read once; hosts are pre-aggregated before the shuffle, and the verdicts meet slim rows in a join
-    whose large partitions Spark can split.
+    read once. Hosts are pre-aggregated before the shuffle and their verdicts stored, so that Spark knows
+    their size: a small table is broadcast to the rows, a large one meets them in a join whose large
+    partitions Spark can split.
     """
     slim = docs.select(*[F.col(c) for c in keep], F.col(host).alias("_source"), F.col(text).alias("_text"))
     rated = written(document_rules(slim, min_words, max_repeat_percent, "_text").drop("_text"), "quality")
-    verdicts = host_rates(rated, "_source").select("_host", "host_rate", (F.col("host_rate") > max_host_rate).alias("host_rejected"))
+    verdicts = written(host_rates(rated, "_source").select("_host", "host_rate", (F.col("host_rate") > max_host_rate).alias("host_rejected")), "hosts")
     joined = rated.join(verdicts, rated["_source"].eqNullSafe(verdicts["_host"]), "left").drop("_source", "_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
