@@ -123,6 +123,43 @@ def _propose(k: int, least: int, top: int):
     return run
 
 
+def _connected(linked: np.ndarray) -> list[np.ndarray]:
+    """The connected groups, of two at least, of a symmetric matrix of links."""
+    groups, left = [], linked.any(axis=0)
+    while left.any():
+        group = front = np.arange(len(linked)) == left.argmax()
+        while front.any():
+            front = linked[front].any(axis=0) & ~group
+            group = group | front
+        left &= ~group
+        if group.sum() > 1:
+            groups.append(np.flatnonzero(group))
+    return groups
+
+
+def _untested(k: int, least: int):
+    """(part, rep, c): the rows of a region whose sketch agrees, in `least` of k places at least, with one of another component c.
+
+    Rows that such pairs connect are one part. Its number is made of its rows, so that trees that bring
+    the same rows together give the same part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in _by_region(batches):
+            ids, c = part.column(1).to_numpy(), part.column(2).to_numpy()
+            sketch = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(ids), k)
+            out = []
+            for i, j in zip(starts, starts[1:], strict=False):
+                alike = np.array([(c[i:j] != c[x]) & ((sketch[i:j] == sketch[x]).sum(axis=1) >= least) for x in range(i, j)])
+                for group in _connected(alike):
+                    rows = i + group[np.argsort(ids[i + group])]
+                    out.append((np.full(len(rows), xxhash.xxh3_64_intdigest(ids[rows].tobytes()), np.uint64).view(np.int64), ids[rows], c[rows]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["part", "rep", "c"])
+
+    return run
+
+
 def linked_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
     """The connected groups, of two at least, of sets whose similarity is percent / 100 or more."""
     n = np.array([len(s) for s in sets])
@@ -138,18 +175,7 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
         member = np.zeros((len(sets), min(4096, len(shared) - low)), np.float32)
         member[owner[here], column[here] - low] = 1
         common += member @ member.T
-    linked = 100 * common >= percent * (n[:, None] + n - common)
-    groups, left = [], np.ones(len(sets), bool)
-    for i in range(len(sets)):
-        if left[i]:
-            group = front = np.arange(len(sets)) == i
-            while front.any():
-                front = linked[front].any(axis=0) & ~group
-                group = group | front
-            left &= ~group
-            if group.sum() > 1:
-                groups.append(np.flatnonzero(group).tolist())
-    return groups
+    return [g.tolist() for g in _connected(100 * common >= percent * (n[:, None] + n - common))]
 
 
 def _confirm(percent: int):
@@ -196,21 +222,21 @@ def _regions(reps: DataFrame, trees: int, depth: int, least_depth: int, most: in
     raise AssertionError("least_depth is over depth")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: int = 20, depth: int = 6, least_depth: int = 3, most: int = 2048, whole_trees: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: int = 20, depth: int = 6, least_depth: int = 3, most: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept (is that one).
 
     Documents are linked where their sets of ngram-word shingles have a Jaccard similarity of at least
     percent / 100. Equal sets are one representative from the start. The forest's regions propose, for
     each representative, the two others whose signatures agree most; those links count that the full sets
-    confirm. Regions of four rows or more are then, in whole_trees of the trees, held against each other
-    on the full sets, all in one task of at most `most` rows, which returns what is connected and no
-    pairs. In a crowd of more rows than that, which is cut, each row is also held against the one that
-    has most links so far. So a group of m near copies gives rows in proportion to m.
+    confirm. In a crowd of more than `most` rows, which is cut, each row is also held against the one that
+    has most links so far. In every region of every tree whose rows are then of several components, all
+    pairs of two components are held against each other by signature, and the rows of those that may be
+    linked by full sets, in one task of at most `most` rows, which returns what is connected and no
+    pairs. So a group of m near copies gives rows in proportion to m.
 
     What can be missed: a link of similarity exactly at the bound is in no region of any tree with a
     chance of (1 - s**least_depth)**trees (6e-7 for the values given) and its signature is refused with a
-    chance of 3e-6. It must be found only if nothing else connects its ends; then, in a region of four or
-    more where neither end is among the other's two most alike, it is missed with a chance of 0.003.
+    chance of 3e-6. It must be found only if nothing else connects its ends.
 
     Null or blank text has no shingles and is linked with nothing; a null doc_id too: its component is
     null and it is kept. Repeated rows give repeated rows; rows of one id are taken for one document.
@@ -244,10 +270,6 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
         return checked.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
     links = confirmed(pairs)
-    whole = regions.where((F.col("t") < whole_trees) & (F.col("n") > 3)).join(sets, regions["rep"] == sets["doc_id"])
-    whole = whole.select("region", "rep", "s").repartition("region").sortWithinPartitions("region")
-    links = links.unionByName(whole.mapInArrow(_confirm(percent), "a bigint, b bigint"))
-
     if crowds is not None:  # the row with most links stands for its crowd
         links = written(links, "links")
         ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("d"))
@@ -255,8 +277,19 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
         spokes = crowds.join(centres, "region").where("rep <> r").select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
         links = links.unionByName(confirmed(spokes))
 
-    merged = reps.join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left")
-    merged = merged.select("set_hash", F.coalesce("component", "rep").alias("_c"))
+    labels = reps.select("rep", "set_hash", sketch.alias("sketch")).join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left")
+    labels = written(labels.select("rep", "set_hash", "sketch", F.coalesce("component", "rep").alias("c")), "labels")
+    # of regions of three, the proposals have held every pair
+    placed = written(regions.where("n > 3").select("region", "rep").join(labels.select("rep", "c"), "rep"), "placed")
+    mixed = placed.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
+    open_rows = placed.join(mixed, "region").join(labels.select("rep", "sketch"), "rep").select("region", "rep", "c", "sketch")
+    open_rows = open_rows.repartition("region").sortWithinPartitions("region")
+    parts = open_rows.mapInArrow(_untested(k, least), "part bigint, rep bigint, c bigint").distinct()
+    parts = parts.join(sets, parts["rep"] == sets["doc_id"]).select("part", "c", "s").repartition("part").sortWithinPartitions("part")
+    bridges = parts.mapInArrow(_confirm(percent), "a bigint, b bigint")  # between components
+
+    merged = labels.join(connected_components(bridges, "a", "b"), F.col("c") == F.col("node"), "left")
+    merged = merged.select("set_hash", F.coalesce("component", "c").alias("_c"))
     out = signed.join(merged, "set_hash", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_c"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from speechlake.llm.line_dedup import line_dedup
-from speechlake.llm.minhash_forest import linked_groups, near_duplicates, shingles
+from speechlake.llm.minhash_forest import _hashes, linked_groups, near_duplicates, shingles, signature
 from speechlake.llm.mixing import mix, mixed_documents
 from speechlake.llm.packing import pack, pack_documents
 from speechlake.llm.pii import base_spans, find_pii, train_tagger
@@ -378,6 +378,40 @@ def test_near_duplicates(spark, n, most):
     assert len(set(want.values())) < len(want)
 
 
+def late_link_rows():
+    """Two families of close copies with one link between them, whose ends meet first in the ninth tree or later."""
+    a, b = _hashes(120)
+    for seed in range(100_000):
+        rng = random.Random(seed)
+        word = lambda: f"w{rng.randint(0, 10**9)}"  # noqa: E731,B023
+        x = [word() for _ in range(200)]
+        y = x[:]
+        y[50:67] = [word() for _ in range(17)]
+        sign = [signature(shingles(" ".join(t), 5), a, b) for t in (x, y)]
+        met = [t for t in range(20) if (sign[0][6 * t : 6 * t + 3] == sign[1][6 * t : 6 * t + 3]).all()]
+        if not met or met[0] < 8:
+            continue
+        rows = []
+        for at, hub in ((0, x), (10, y)):
+            rows.append((at, hub))
+            for i in range(1, 8):  # one more edit, which takes a copy below the bound with the other family
+                copy = hub[:]
+                copy[100 + 4 * i if at else 150 + 4 * i] = word()
+                rows.append((at + i, copy))
+        sets = [set(shingles(" ".join(t), 5).tolist()) for _, t in rows]
+        like = [[100 * len(p & q) >= 80 * len(p | q) for q in sets] for p in sets]
+        if sum(like[i][j] for i in range(8) for j in range(8, 16)) == 1 and like[0][8]:
+            # each end has two copies beside it wherever the ends meet
+            sigs = [signature(shingles(" ".join(t), 5), a, b) for _, t in rows]
+            if all(sum((sigs[i][6 * t : 6 * t + 3] == sigs[0][6 * t : 6 * t + 3]).all() for i in range(lo, lo + 8)) > 2 for t in met for lo in (0, 8)):
+                return [(i, " ".join(t), "s") for i, t in rows]
+
+
+def test_near_duplicates_finds_a_link_that_only_late_trees_bring_together(spark):
+    got = near_duplicates(spark.createDataFrame(late_link_rows(), SCHEMA)).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_near_duplicates_of_nothing(spark, nothing):
     assert near_duplicates(nothing).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, "one two three four five six", "s")], SCHEMA)).first().kept
