@@ -194,34 +194,55 @@ def _confirm(percent: int):
     return run
 
 
-def _regions(reps: DataFrame, trees: int, depth: int, least_depth: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """(region, rep, t, n): the places of a forest where 2 to `most` representatives share a prefix; (region, rep) of the larger ones.
+def _regions(reps: DataFrame, trees: int, depth: int, least_depth: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(region, rep, t, n): the places of a forest where 2 to `most` representatives share a prefix; all at least_depth; (region, rep) of the larger ones.
 
     A tree sorts the signatures by `depth` values; a region is a prefix of least_depth values. One with
     more than `most` rows is cut by one value more, and so on; those still larger at full depth, whose
-    rows agree in the whole tree, are dealt into blocks. The other trees cut such groups elsewhere.
+    rows agree in the whole tree, are dealt into blocks. What such cuts part is left to _blocks.
     """
     width = 4 * depth
     trees_of = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")
-    todo, found, crowds = reps.select("rep", "sig", trees_of), None, None
+    todo, found, shallow, crowds = reps.select("rep", "sig", trees_of), None, None, None
     for d in range(least_depth, depth + 1):
         region = F.xxhash64(F.lit(d), "t", F.expr(f"substring(sig, t * {width} + 1, {4 * d})"))
         rows = todo.select("rep", F.col("t").cast("byte").alias("t"), region.alias("region"))  # the signatures stay behind
         counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = written(rows.join(counts, "region"), "regions")
+        shallow = shallow or rows
         small = rows.where(F.col("n") <= most).select("region", "rep", "t", "n")
         found = small if found is None else found.unionByName(small)
         rows = rows.where(F.col("n") > most)
         if rows.isEmpty():
-            return found, crowds
+            return found, shallow, crowds
         crowds = crowds or rows.select("region", "rep")
         if d == depth:
             block = F.pmod(F.xxhash64("rep", "t"), F.ceil(F.col("n") / most))
-            return found.unionByName(rows.select(F.xxhash64("region", block).alias("region"), "rep", "t", "n")), crowds
+            return found.unionByName(rows.select(F.xxhash64("region", block).alias("region"), "rep", "t", "n")), shallow, crowds
         todo = rows.select("rep", "t").join(reps.select("rep", "sig"), "rep")
     raise AssertionError("least_depth is over depth")
 
 
+def _blocks(placed: DataFrame, size: int) -> DataFrame:
+    """(region, rep, c) of crowds, once for each pair of blocks that the row is in, under the pair as its region.
+
+    A component of more than `size` rows has blocks of its own, the others share some, of about `size`
+    rows each. So each two rows of different components are together in one pair; pairs of blocks of
+    one and the same component are left out.
+    """
+    per = placed.groupBy("region", "c").agg(F.count(F.lit(1)).alias("m"))
+    rest = per.groupBy("region").agg(F.coalesce(F.sum(F.when(F.col("m") <= size, F.col("m"))), F.lit(1)).alias("few"))
+    per = written(per.join(rest, "region").withColumn("own", F.when(F.col("m") > size, F.col("c"))), "crowds")
+    deal = F.when(F.col("own").isNotNull(), F.xxhash64("own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / size)))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("few") / size)))
+    rows = written(placed.join(per, ["region", "c"]).select("region", "rep", "c", "own", deal.alias("block")), "blocks")
+    one = rows.groupBy("region", "block").agg(F.max("own").alias("own"))
+    two = one.select("region", F.col("block").alias("block2"), F.col("own").alias("own2"))
+    pairs = one.join(two, "region").where("block <= block2 and (own is null or own2 is null or own <> own2)")
+    ends = F.explode(F.array_distinct(F.array("block", "block2"))).alias("block")
+    pairs = pairs.select("region", F.xxhash64("region", "block", "block2").alias("pair"), ends)
+    return rows.join(pairs, ["region", "block"]).select(F.col("pair").alias("region"), "rep", "c")
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: int = 20, depth: int = 6, least_depth: int = 3, most: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept (is that one).
 
@@ -231,12 +252,14 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     confirm. In a crowd of more than `most` rows, which is cut, each row is also held against the one that
     has most links so far. In every region of every tree whose rows are then of several components, all
     pairs of two components are held against each other by signature, and the rows of those that may be
-    linked by full sets, in one task of at most `most` rows, which returns what is connected and no
-    pairs. So a group of m near copies gives rows in proportion to m.
+    linked by full sets, in one task of about `most` rows, which returns what is connected and no
+    pairs. So a group of m near copies gives rows in proportion to m. Crowds are held so too, uncut and at
+    least_depth, by pairs of blocks (see _blocks): a crowd of n rows that stays in many components costs
+    n * n / `most` rows, spread over as many tasks.
 
     What can be missed: a link of similarity exactly at the bound is in no region of any tree with a
     chance of (1 - s**least_depth)**trees (6e-7 for the values given) and its signature is refused with a
-    chance of 3e-6. It must be found only if nothing else connects its ends.
+    chance of 3e-6. It must be found only if nothing else connects its ends. In crowds it is the same.
 
     Null or blank text has no shingles and is linked with nothing; a null doc_id too: its component is
     null and it is kept. Repeated rows give repeated rows; rows of one id are taken for one document.
@@ -251,8 +274,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     reps = linkable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = written(reps, "reps")
 
-    regions, crowds = _regions(reps, trees, depth, least_depth, most)
-    ids = regions.select(F.col("rep").alias("doc_id")).distinct()
+    regions, shallow, crowds = _regions(reps, trees, depth, least_depth, most)
+    ids = shallow.select(F.col("rep").alias("doc_id")).distinct()
     # merge: the same plan at every size
     sets = slim.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(ngram), "doc_id bigint, s array<bigint>").dropDuplicates(["doc_id"])
     sets = written(sets, "sets")
@@ -280,9 +303,13 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     labels = reps.select("rep", "set_hash", sketch.alias("sketch")).join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left")
     labels = written(labels.select("rep", "set_hash", "sketch", F.coalesce("component", "rep").alias("c")), "labels")
     # of regions of three, the proposals have held every pair
-    placed = written(regions.where("n > 3").select("region", "rep").join(labels.select("rep", "c"), "rep"), "placed")
+    placed = written(shallow.where("n > 3").select("region", "rep", "n").join(labels.select("rep", "c"), "rep"), "placed")
     mixed = placed.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
-    open_rows = placed.join(mixed, "region").join(labels.select("rep", "sketch"), "rep").select("region", "rep", "c", "sketch")
+    placed = placed.join(mixed, "region")
+    held = placed.where(F.col("n") <= most).select("region", "rep", "c")
+    if crowds is not None:
+        held = held.unionByName(_blocks(placed.where(F.col("n") > most), max(most // 2, 1)))
+    open_rows = held.join(labels.select("rep", "sketch"), "rep").select("region", "rep", "c", "sketch")
     open_rows = open_rows.repartition("region").sortWithinPartitions("region")
     parts = open_rows.mapInArrow(_untested(k, least), "part bigint, rep bigint, c bigint").distinct()
     parts = parts.join(sets, parts["rep"] == sets["doc_id"]).select("part", "c", "s").repartition("part").sortWithinPartitions("part")

@@ -412,6 +412,31 @@ def test_near_duplicates_finds_a_link_that_only_late_trees_bring_together(spark)
     assert {r.component_id for r in got} == {0}
 
 
+def crowd_rows():
+    """One template in a crowd of families, whose links between families are near the bound and beside no hub."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    template = [word() for _ in range(200)]
+    rows = []
+    for f in range(40):
+        hub = template[:]
+        hub[4 * f : 4 * f + 14] = [word() for _ in range(14)]
+        for _ in range(6):
+            copy = hub[:]
+            copy[rng.randrange(200)] = word()
+            rows.append((len(rows), " ".join(copy), "s"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("most", [2, 8, 40])
+def test_near_duplicates_of_a_crowd(spark, most):
+    rows = crowd_rows()
+    want = plain_components(rows, 4, 80)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=4, most=most).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_of_nothing(spark, nothing):
     assert near_duplicates(nothing).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, "one two three four five six", "s")], SCHEMA)).first().kept
