@@ -13,8 +13,8 @@ from speechlake.sources.shared import written
 #: 16 votes of 16 bits fit a long four at a time; a group of CHUNK terms cannot overflow them.
 LANES, CHUNK = 0x0001000100010001, 32_768
 HALVES = 0x0000FFFF0000FFFF
-#: The bits of each fingerprint block: three in the first long, two in the second.
-BLOCKS = ((0, 0, 22), (0, 22, 21), (0, 43, 21), (1, 0, 32), (1, 32, 32))
+#: One changed word in 200 changes 2 of 199 terms, which turns about 6 of 128 bits; nearly all such edits are within 10.
+RADIUS = 10
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -54,26 +54,35 @@ def likeness(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
     return 1 - (F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))) / 128
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(hi, lo, n_near): each distinct fingerprint and how many others differ in at most `radius` bits, 3 at most.
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(hi, lo, n_near): each distinct fingerprint and how many others differ in at most `radius` bits.
 
-    Five blocks of bits hold at least two that three changes leave alone. So a table for each pair of
-    blocks, keyed by their bits, brings together all that can be near; each pair is then compared whole.
+    Of radius + 2 blocks of bits, as many changes leave two alone at least. So a table for each pair of
+    blocks, keyed by their bits, brings together all that can be near; each pair is then compared whole,
+    and counted in the table of the first two blocks that it has in common.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("radius must be 0 to 3")
+    if not 0 <= radius <= 62:
+        raise ValueError("radius must be 0 to 62")
+    k, blocks = radius + 2, []
+    for half, n in (("hi", k // 2), ("lo", k - k // 2)):
+        cuts = [64 * i // n for i in range(n + 1)]
+        blocks += [(half, low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]
+    bits = lambda x, low, width: F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     distinct = prints.select("hi", "lo").distinct()
-
-    def block(i: int) -> Column:
-        half, start, width = BLOCKS[i]
-        return F.shiftrightunsigned(("hi", "lo")[half], start).bitwiseAND(F.lit((1 << width) - 1))
-
-    tables = F.array(*[F.xxhash64(F.lit(n), block(i), block(j)) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
-    keyed = distinct.select("hi", "lo", F.explode(tables).alias("_key"))
-    other = keyed.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "_key")
-    differ = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
-    pairs = keyed.join(other, "_key").where((differ > 0) & (differ <= radius)).select("hi", "lo", "hi2", "lo2").distinct()
-    counts = pairs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_near"))
+    tables = list(combinations(range(k), 2))
+    keys = F.array(*[F.xxhash64(F.lit(n), bits(F.col(blocks[i][0]), *blocks[i][1:]), bits(F.col(blocks[j][0]), *blocks[j][1:])) for n, (i, j) in enumerate(tables)])
+    keyed = distinct.select("hi", "lo", F.posexplode(keys).alias("_t", "_key"))
+    x, y = keyed.alias("x"), keyed.alias("y")  # one plan, so that Spark shuffles it once
+    other = {h: F.col(f"x.{h}").bitwiseXOR(F.col(f"y.{h}")) for h in ("hi", "lo")}
+    differ = F.bit_count(other["hi"]) + F.bit_count(other["lo"])
+    same = F.lit(0).cast("long")
+    for i, (h, low, width) in enumerate(blocks):
+        same = same.bitwiseOR(F.when(bits(other[h], low, width) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    second = same.bitwiseAND(same - 1)  # without the first block in common
+    first_two = same.bitwiseXOR(second.bitwiseAND(second - 1))
+    mine = F.get(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), F.col("x._t"))
+    near = (F.col("x._key") == F.col("y._key")) & (F.col("x._t") == F.col("y._t")) & (differ > 0) & (differ <= radius) & (first_two == mine)
+    counts = x.join(y, near).groupBy(F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"))
     return distinct.join(counts, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
@@ -107,7 +116,7 @@ def with_next(docs: DataFrame, width: int = 1024) -> DataFrame:
     )
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and how near these and the next document's are.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of

@@ -286,6 +286,30 @@ def test_near_fingerprints_match_brute_force(spark):
     assert got == want
 
 
+def test_lightly_edited_texts_are_near(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows = []
+    for i in range(60):
+        t = [word() for _ in range(200)]
+        rows.append((2 * i, " ".join(t), "s"))
+        t[rng.randrange(1, 199)] = word()
+        rows.append((2 * i + 1, " ".join(t), "s"))
+    got = fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_near == 1 for r in got) >= 0.9 * len(rows) and max(r.n_near for r in got) == 1
+
+
+@pytest.mark.parametrize("radius", [0, 7, 10])
+def test_near_fingerprints_of_any_radius(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    every = sorted({b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 8))) for b in base for _ in range(12)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in every]
+    got = {(r.hi, r.lo): r.n_near for r in near_fingerprints(spark.createDataFrame(rows, "hi long, lo long"), radius).collect()}
+    assert got == {k: sum(0 < bin(x ^ y).count("1") <= radius for y in every) for k, x in zip(rows, every, strict=True)}
+
+
 def test_warc(spark):
     long = "é" * 600
     rows = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, "short"), (4, "http://a/4\r\nx", "short"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 999), (8, "u", "x" * 999), (9, "u", long), (None, "u", long), (9, "u", long)]
