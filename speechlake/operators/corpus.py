@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechlake.functions.records import any_of, known
+from speechlake.sources.shared import written
 
 METADATA = ("speaker", "channel", "generator", "language", "device", "session")
 AXES = ("parent_id", "speaker", "file_hash", "session", "generator", "language", "channel", "device")
@@ -79,16 +80,17 @@ def axis_values(samples: DataFrame, axes: Sequence[str] = AXES, keep: Sequence[s
 def check_leakage(samples: DataFrame, axes: Sequence[str] = AXES, examples: int = 8) -> DataFrame:
     """One row per axis: known_values, leaks (values in more than one split), available and the first examples.
 
-    Values are pre-aggregated per axis and split; an axis without any known value is not available.
+    Values are pre-aggregated per axis and split; an axis without any known value is not available. Only
+    the first examples of an axis are collected.
     """
     spark = samples.sparkSession
     per = axis_values(samples, axes).groupBy("axis", "value", "split").agg(F.lit(1).alias("x")).groupBy("axis", "value").agg(F.count("x").alias("n"))
-    found = per.groupBy("axis").agg(
-        F.count(F.lit(1)).alias("known_values"), F.count_if(F.col("n") > 1).alias("leaks"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when((F.col("n") > 1) & (F.col("axis") != "file_hash"), F.col("value")))), 1, examples), ",").alias("examples"),
-    )
+    per = written(per, "axis-values")
+    found = per.groupBy("axis").agg(F.count(F.lit(1)).alias("known_values"), F.count_if(F.col("n") > 1).alias("leaks"))
+    first = capped(per.where((F.col("n") > 1) & (F.col("axis") != "file_hash")), "axis", "value", examples)
+    shown = first.groupBy("axis").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("examples"))
     names = spark.createDataFrame([(a,) for a in axes], "axis string")
-    out = names.join(found, "axis", "left")
+    out = names.join(found, "axis", "left").join(shown, "axis", "left")
     return out.select("axis", F.coalesce("known_values", F.lit(0)).alias("known_values"), F.coalesce("leaks", F.lit(0)).alias("leaks"), F.col("known_values").isNotNull().alias("available"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 

@@ -182,3 +182,10 @@ def test_scan_and_sidecar_aliases(spark, tmp_path):
     (tmp_path / "two.csv").write_text("filename,speaker\nx.flac,s2\n")
     out = files.read_sidecar(spark, [f"file://{tmp_path}/one.csv", f"file://{tmp_path}/two.csv"], {"filename": ["filename", "file"], "speaker": ["speakerid", "speaker"]})
     assert {r.filename: r.speaker for r in out.collect()} == {"x.flac": "s2", "y.flac": None}
+
+
+def test_leakage_examples_are_limited_before_they_are_collected(spark):
+    rows = [(str(v), s) for v in range(100) for s in ("train", "test")] + [("x", "dev"), (None, "dev")]
+    got = C.check_leakage(spark.createDataFrame(rows, "speaker string, split string"), ["speaker"], examples=3)
+    assert [tuple(r) for r in got.collect()] == [("speaker", 101, 100, True, "0,1,10")]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
