@@ -262,6 +262,14 @@ def validate_measurements(spark, sf_dir):
     return _validated(spark, sf_dir).where("code is null or code in ('too_short', 'file_too_large')").select("sample_id", "code", "reason")
 
 
+@query(f"""WITH {_MEASURED} SELECT sample_id, code, CASE code WHEN 'missing_metadata' THEN 'a required field is unknown' WHEN 'file_too_large' THEN file_bytes || ' bytes, at most 20000'
+  WHEN 'too_short' THEN format('{{:.2f}} s, at least 2.00', duration_s) WHEN 'too_long' THEN format('{{:.2f}} s, at most 60.00', duration_s)
+  WHEN 'unusable_signal' THEN 'the signal cannot be used' WHEN 'no_speech' THEN format('{{:.2f}} speech, at least 0.10', speech_s / duration_s) END AS reason FROM va""")
+def validate_all_measurements(spark, sf_dir):
+    """Every record, with any of the six reasons; validate_measurements shows three outcomes of them."""
+    return _validated(spark, sf_dir).select("sample_id", "code", "reason")
+
+
 _DEDUPED = _MEASURED + """, de AS (SELECT *, CASE WHEN code IS NULL AND sample_id > min(sample_id) FILTER (code IS NULL) OVER (PARTITION BY file_hash) THEN 'duplicate' ELSE code END AS final FROM va)"""
 
 
