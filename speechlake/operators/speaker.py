@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechlake.functions.vectors import cosine, dot, normalized
+from speechlake.sources.shared import written
 
 
 def trial_id(a: Column, b: Column) -> Column:
@@ -57,20 +58,51 @@ def score_trials(trials: DataFrame, embeddings: DataFrame, recording: str, vecto
     return trials.join(a, "enrol").join(b, "test").withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("_a"), F.col("_b"))))).drop("_a", "_b")
 
 
+def _near_pairs(good: DataFrame, same: float, coordinates: int = 4) -> DataFrame:
+    """(_p, a, b): samples a < b of one profile whose unit vectors have an inner product of `same` at least.
+
+    No coordinate of such vectors differs by more than their distance, so the cell of the one is among
+    the cells around the other.
+    """
+    reach = (2 * max(0.0, 1 - same)) ** 0.5 + 1e-6
+    cell = lambda i, by: F.floor((F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)) + by) / (4 * reach))
+    left = good.select("_p", F.col("_s").alias("a"), F.col("_v").alias("va"), *[cell(i, 0.0).alias(f"_c{i}") for i in range(coordinates)])
+    right = good.select("_p", F.col("_s").alias("b"), F.col("_v").alias("vb"), F.col("_v"))
+    for i in range(coordinates):
+        right = right.withColumn(f"_c{i}", F.explode(F.array_distinct(F.array(cell(i, -reach), cell(i, reach)))))
+    met = left.join(right.drop("_v"), ["_p", *[f"_c{i}" for i in range(coordinates)]])
+    return met.where((F.col("a") < F.col("b")) & (dot(F.col("va"), F.col("vb")) >= same)).select("_p", "a", "b")
+
+
+def _near_accepted(pairs: DataFrame) -> DataFrame:
+    """(_p, _s): the later samples of pairs whose earlier one is taken, in the order of samples.
+
+    In each round those samples are taken that are no later end of a pair; what they refuse goes, with its pairs.
+    """
+    lost = pairs.select("_p", F.col("b").alias("_s")).limit(0)
+    while not pairs.isEmpty():
+        waiting = pairs.select("_p", F.col("b").alias("a")).distinct()
+        gone = written(pairs.join(waiting, ["_p", "a"], "left_anti").select("_p", F.col("b").alias("_s")).distinct(), "refused")
+        lost = lost.unionByName(gone)
+        for end in ("a", "b"):
+            pairs = pairs.join(gone.withColumnRenamed("_s", end), ["_p", end], "left_anti")
+        pairs = written(pairs, "near")
+    return lost
+
+
 def accepted_samples(samples: DataFrame, profile: str, sample: str, vector: str, same: float = 0.99999, size: int | None = None) -> DataFrame:
     """Samples with outcome: accepted, invalid, duplicate (equal numbers) or near_duplicate (of an accepted one of its profile).
 
     In the order of sample ids a vector is taken unless its inner product with one taken before reaches
-    `same`. The fold runs over one profile's distinct vectors, which enrolment keeps few.
+    `same`. Vectors as near as that meet in joins on coarse coordinates; only such pairs are put in order.
     """
     rows = samples.withColumn("_v", normalized(F.col(vector), size))
     exact = W.partitionBy(profile, F.sha2(F.to_json(F.struct(vector)), 256)).orderBy(sample)
     rows = rows.withColumn("_first", F.row_number().over(exact) == 1)
     good = rows.where(F.col("_v").isNotNull() & F.col("_first"))
-    listed = good.groupBy(profile).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col("_v").alias("v")))).alias("l"))
-    empty = F.array().cast(listed.schema["l"].dataType)
-    taken = F.aggregate("l", empty, lambda acc, x: F.when(F.exists(acc, lambda y: dot(y["v"], x["v"]) >= same), acc).otherwise(F.concat(acc, F.array(x))))
-    ids = listed.select(profile, F.explode(F.transform(taken, lambda x: x["s"])).alias("_taken"))
+    good = written(good.select(F.col(profile).alias("_p"), F.col(sample).alias("_s"), "_v"), "enrolled")
+    lost = _near_accepted(written(_near_pairs(good, same), "near"))
+    ids = good.join(lost, ["_p", "_s"], "left_anti").select(F.col("_p").alias(profile), F.col("_s").alias("_taken"))
     out = rows.join(ids, (rows[profile] == ids[profile]) & (rows[sample] == ids["_taken"]), "left").drop(ids[profile])
     outcome = F.when(F.col("_v").isNull(), "invalid").when(~F.col("_first"), "duplicate").when(F.col("_taken").isNull(), "near_duplicate").otherwise("accepted")
     return out.select(*samples.columns, "_v", outcome.alias("outcome"))

@@ -189,3 +189,24 @@ def test_leakage_examples_are_limited_before_they_are_collected(spark):
     got = C.check_leakage(spark.createDataFrame(rows, "speaker string, split string"), ["speaker"], examples=3)
     assert [tuple(r) for r in got.collect()] == [("speaker", 101, 100, True, "0,1,10")]
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_equal_samples_match_a_plain_fold(spark):
+    rng = random.Random(3)
+    rows, hub = [], None
+    for i in range(160):
+        if i % 20 == 0:
+            hub = [rng.gauss(0, 1) for _ in range(8)]
+        size = sum(x * x for x in hub) ** 0.5
+        hub = [x + rng.gauss(0, 0.001) * size for x in hub]  # a drift: near the last, not the first
+        rows.append((i % 2, i, hub))
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    taken, want = {0: [], 1: []}, {}
+    for p, i, v in rows:
+        near = any(sum(x * y for x, y in zip(unit(v), u, strict=True)) >= 0.99999 for u in taken[p])
+        want[i] = "near_duplicate" if near else "accepted"
+        if not near:
+            taken[p].append(unit(v))
+    out = S.accepted_samples(spark.createDataFrame(rows, "p int, s int, v array<double>"), "p", "s", "v")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert {r.s: r.outcome for r in out.collect()} == want and len(set(want.values())) == 2
