@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from speechlake.plans import QUERIES
 from speechlake.streaming import jobs, windows
 
 SCHEMA = "stream bigint, idx bigint, x double, control string"
@@ -55,3 +56,9 @@ def test_decisions_once_per_key(spark):
     df = spark.createDataFrame([(i, i / 10) for i in range(10)], "id int, score double")
     stream = jobs.file_stream(spark, df, "test", 1, files=3)
     assert jobs.run_batches(stream, "test", lambda b: b.withColumn("high", F.col("score") > 0.5), "id").count() == 10
+
+
+def test_the_stream_emits_every_window(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = lambda name: sorted((r.event_type or "", str(r.start), r.n, round(r["mean"], 6)) for r in QUERIES[name](spark, sf).collect())
+    assert rows("time_windows_stream") == rows("time_windows")
