@@ -3,6 +3,7 @@
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,33 @@ _TRAILER = struct.Struct("<4sIQQQQ")  # magic, bits, tokens, documents, blocks,
 NO_ID = -(2**63)
 
 
+def _places(bits: int) -> list[tuple[int, int, int]]:
+    """(id, first byte, shift) of each of 8 packed ids, which fill `bits` bytes."""
+    return [(i, *divmod(i * bits, 8)) for i in range(8)]
+
+
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """Each id in `bits` bits, lowest first; the last byte is filled with zeros."""
-    planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    """Each id in `bits` bits (32 at most), lowest first; the last byte is filled with zeros."""
+    rows = np.zeros((-(-len(ids) // 8), 8), np.uint64)
+    rows.ravel()[: len(ids)] = ids
+    out = np.zeros((len(rows), bits), np.uint8)
+    for i, at, shift in _places(bits):
+        value = rows[:, i] << np.uint64(shift)
+        for k in range(-(-(shift + bits) // 8)):
+            out[:, at + k] |= (value >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     """The n ids that pack_bits() packed."""
-    planes = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * bits).reshape(n, bits)
-    return planes.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    rows = np.zeros((-(-n // 8), bits), np.uint8)
+    rows.ravel()[: -(-n * bits // 8)] = np.frombuffer(data, np.uint8, -(-n * bits // 8))
+    out = np.zeros((len(rows), 8), np.uint64)
+    for i, at, shift in _places(bits):
+        for k in range(-(-(shift + bits) // 8)):
+            out[:, i] |= rows[:, at + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, i] >>= np.uint64(shift)
+    return (out.ravel()[:n] & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 class TokenFileWriter:
@@ -40,7 +58,7 @@ class TokenFileWriter:
     def __init__(self, stream, bits: int):
         self.stream, self.bits = stream, bits
         self.rest, self.waiting = [], 0
-        self.offsets, self.ids, self.sizes = [], [], []
+        self.offsets, self.ids, self.sizes = array("q"), array("q"), array("q")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(NO_ID if doc_id is None else doc_id)
@@ -107,16 +125,21 @@ class TokenFile:
             i = j
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spaced: bool = True, files: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spaced: bool = True, files: int | None = None, file_bytes: int = 268_435_456, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; return the manifest, a row per file.
 
     The texts are range-partitioned and sorted by doc_id, so each task encodes and writes one file under
     a name of its own attempt in the shared folder; only attempts that Spark commits reach the manifest
-    (path, size, first_id, n_docs, n_tokens, start = ids in all files before it). Null texts give the end
-    id alone, null ids come first, repeated ids stand side by side, an empty table writes no file.
+    (path, size, first_id, n_docs, n_tokens, start = ids in all files before it). Unless `files` says
+    otherwise there are as many as shuffle partitions, more where one would hold over `file_bytes` of text. Null texts
+    give the end id alone, null ids come first, repeated ids stand side by side, an empty table writes no
+    file.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if files is None:
+        total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     folder, bits = new_path(spark, "tokens"), max(1, int(vocabulary - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +159,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id:
             stream.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.sizes)]})
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranged = slim.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = written(ranged.mapInArrow(run, "path string, size bigint, first_id bigint, n_docs bigint, n_tokens bigint"), "manifest")
     before = W.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(W.unboundedPreceding, -1)
