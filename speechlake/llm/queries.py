@@ -38,27 +38,33 @@ WITH w AS (
 ), cover AS (
   SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id
 ), ln AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), rated AS (
   SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
+         coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(ln.lines, 0) AS lines
   FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN cover USING (doc_id)
 ), judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM rated
-), hosts AS (
-  SELECT source, count(*) AS n, count_if(base_failed) AS f FROM judged GROUP BY source
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 10 * word_chars AS symbols_failed, 100 * n_dup_lines > 30 * lines AS lines_failed
+  FROM rated
+), failures AS (
+  SELECT source, rule, count(*) AS n, count_if(failed) AS f
+  FROM (SELECT source, unnest([0, 1, 2]) AS rule, unnest([base_failed, symbols_failed, lines_failed]) AS failed FROM judged)
+  GROUP BY source, rule
 ), prior AS (
-  SELECT m, CASE WHEN v * 1000 <= m * (1 - m) THEN 1000.0 ELSE greatest(1.0, m * (1 - m) / v - 1) END AS k
-  FROM (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v FROM hosts)
+  SELECT rule, m, CASE WHEN v * 1000 <= m * (1 - m) THEN 1000.0 ELSE greatest(1.0, m * (1 - m) / v - 1) END AS k
+  FROM (SELECT rule, m, q - m * m AS v FROM (SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q FROM failures GROUP BY rule))
 ), verdict AS (
-  SELECT source, (f + m * k) / (n + k) > 0.5 AS rejected FROM hosts, prior
+  SELECT source, bool_or(rule = 0 AND rate > 0.5) AS whole, bool_or(rule = 1 AND rate > bound) AS symbols, bool_or(rule = 2 AND rate > bound) AS lines
+  FROM (SELECT source, rule, (f + m * k) / (n + k) AS rate, m + sqrt(m * (1 - m) / (k + 1)) AS bound FROM failures JOIN prior USING (rule))
+  GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT rejected AS kept
+       NOT (base_failed OR verdict.whole OR verdict.symbols AND symbols_failed OR verdict.lines AND lines_failed) AS kept
 FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 """
 
