@@ -24,6 +24,33 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+class BestTags:
+    """The best tags of a stretch of any length by Viterbi; its scores come piece by piece, a byte per tag and character stays."""
+
+    def __init__(self, trans: np.ndarray):
+        self.trans, self.score, self.back = trans, None, []
+
+    def add(self, e: np.ndarray) -> None:
+        back = np.zeros(e.shape, np.uint8)
+        for t, now in enumerate(e):
+            if self.score is None:
+                self.score = now
+            else:
+                every = self.score[:, None] + self.trans
+                back[t] = every.argmax(axis=0)
+                self.score = every.max(axis=0) + now
+        self.back.append(back)
+
+    def tags(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        tags = np.empty(len(back), np.uint8)
+        if len(tags):
+            tags[-1] = self.score.argmax()
+        for t in range(len(tags) - 1, 0, -1):
+            tags[t - 1] = back[t, tags[t]]
+        return tags
+
+
 class Tagger:
     """Scores tags for each character from both sides; the CRF scores a tag by the one before it."""
 
@@ -119,14 +146,7 @@ class Tagger:
         return self
 
     def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tag of each character for scores (time, tag), by Viterbi."""
-        score, back = e[0], np.empty(e.shape, np.int64)
-        for t in range(1, len(e)):
-            every = score[:, None] + self.p["trans"]
-            back[t] = every.argmax(axis=0)
-            score = every.max(axis=0) + e[t]
-        tags = np.empty(len(e), np.int64)
-        tags[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t][tags[t]]
-        return tags
+        """The best tag of each character for scores (time, tag)."""
+        path = BestTags(self.p["trans"])
+        path.add(e)
+        return path.tags()

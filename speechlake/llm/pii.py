@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.char_tagger import Tagger, encode
+from speechlake.llm.char_tagger import BestTags, Tagger, encode
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -140,61 +140,69 @@ class Finder:
         """Spans by the tagger. Every kind needs a digit or @, so only windows with one are run.
 
         Windows overlap by half. Their scores are averaged, the edges weighing less, and each stretch of
-        windows is decoded once as a whole; so a span never depends on which window it fell into.
+        windows, however long, is decoded as a whole; so a span never depends on which window it fell into
+        nor on how many windows are run at a time.
         """
         places = []
         for i, t in enumerate(texts):
             wanted = {k for m in _SEED.finditer(t) for k in (m.start() // self.hop - 1, m.start() // self.hop) if k >= 0}
             places += [(i, k) for k in sorted(wanted)]
         out: list[list[Span]] = [[] for _ in texts]
-        for part in _stretches(places, 512):
+        path, before = None, None
+        for low in range(0, len(places), 512):
+            part = places[low : low + 512]
             x = encode([texts[i][k * self.hop : k * self.hop + self.width] for i, k in part], self.width)
-            scores = self.tagger.emissions(x)
-            start = 0
-            for j in range(1, len(part) + 1):
-                if j == len(part) or part[j] != (part[j - 1][0], part[j - 1][1] + 1):
-                    i, k = part[start]
-                    out[i] += self._decode(texts[i], k * self.hop, scores[start:j])
-                    start = j
+            for (i, k), scores in zip(part, self.tagger.emissions(x), strict=True):
+                if before != (i, k - 1):
+                    if path:
+                        out[before[0]] += path.spans()
+                    path = _Stretch(self, texts[i], k * self.hop)
+                path.add(scores)
+                before = i, k
+        if path:
+            out[before[0]] += path.spans()
         return out
 
-    def _decode(self, text: str, offset: int, scores: np.ndarray) -> list[Span]:
-        n = (len(scores) - 1) * self.hop + self.width
-        total, weight = np.zeros((n, scores.shape[2]), np.float32), np.zeros((n, 1), np.float32)
-        for j, s in enumerate(scores):
-            total[j * self.hop : j * self.hop + self.width] += s * self.weight
-            weight[j * self.hop : j * self.hop + self.width] += self.weight
-        n = min(n, len(text) - offset)
-        tags = self.tagger.decode(total[:n] / weight[:n])
-        spans, at = [], 0
+
+class _Stretch:
+    """Neighbouring windows of a text: averages their scores and decodes them as they come."""
+
+    def __init__(self, finder: Finder, text: str, offset: int):
+        self.text, self.offset, self.hop, self.weight = text, offset, finder.hop, finder.weight
+        self.path, self.total, self.shares, self.n = BestTags(finder.tagger.p["trans"]), None, None, 0
+
+    def _push(self, upto: int) -> None:
+        """Decode the first `upto` characters that wait, those of the text."""
+        upto = min(upto, len(self.text) - self.offset - self.n)
+        self.path.add(self.total[:upto] / self.shares[:upto])
+        self.n += upto
+
+    def add(self, scores: np.ndarray) -> None:
+        total, shares = scores * self.weight, self.weight.copy()
+        if self.total is not None:
+            self._push(self.hop)
+            total[: -self.hop] += self.total[self.hop :]
+            shares[: -self.hop] += self.shares[self.hop :]
+        self.total, self.shares = total, shares
+
+    def spans(self) -> list[Span]:
+        self._push(len(self.total))
+        tags, n, spans, at = self.path.tags(), self.n, [], 0
         while at < n:
-            kind = (tags[at] - 1) // 2
+            kind = (int(tags[at]) - 1) // 2
             stop = at + 1
             if tags[at]:
                 while stop < n and tags[stop] == 2 + 2 * kind:
                     stop += 1
-                piece = text[offset + at : offset + stop]
-                a = offset + at + len(piece) - len(piece.lstrip())
+                piece = self.text[self.offset + at : self.offset + stop]
+                a = self.offset + at + len(piece) - len(piece.lstrip())
                 b = a + len(piece.strip().rstrip(".,;:"))
                 if b > a:
-                    spans.append((int(kind), a, b))
+                    spans.append((kind, a, b))
             at = stop
         return spans
 
 
-def _stretches(places: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int, int]]]:
-    """Cut the windows into lists of about `most`, never between two windows that overlap, unless a stretch alone is longer."""
-    part: list[tuple[int, int]] = []
-    for p in places:
-        joined = part and p == (part[-1][0], part[-1][1] + 1)
-        if len(part) >= most and (not joined or len(part) >= 8 * most):
-            yield part
-            part = []
-        part.append(p)
-    if part:
-        yield part
-
-
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
