@@ -127,6 +127,8 @@ def read_warc(index: DataFrame, with_html: bool = True, gap: int = 65_536, most:
     """Read the records of an index: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, html (null for a revisit).
 
     A response's digest and length are those of the body that was read; a revisit's stand in its header.
+    The ranges are dealt over as many tasks as there are shuffle partitions, more where one would read
+    over 8 * most bytes: their rows are slim, so Spark cannot tell by itself how much they make a task read.
     """
 
     def number(urn: str | None) -> int | None:
@@ -153,4 +155,6 @@ def read_warc(index: DataFrame, with_html: bool = True, gap: int = 65_536, most:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"][: len(columns)])
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", html string" * with_html
-    return ranges(index, gap, most).mapInArrow(run, schema)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * most)))
+    return ranges(index, gap, most).repartition(n).mapInArrow(run, schema)
