@@ -7,6 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def range_cuts(df: DataFrame, column: Column, buckets: int) -> list:
+    """At most buckets - 1 distinct values, ascending, that cut the column into ranges of about as many rows each."""
+    if buckets < 2:
+        return []
+    at = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(column, at, max(10_000, 10 * buckets))).first()[0] or []))
+
+
+def range_bucket(value: Column, cuts: Sequence) -> Column:
+    """How many of the ascending cuts are below value, by a search in two steps; so equal values share a bucket."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [list(cuts[i : i + step]) for i in range(0, len(cuts), step)]
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    group = below(F.lit([g[-1] for g in groups]))
+    inside = F.get(F.array(*[F.lit(g) for g in groups]), group)
+    return group * step + F.when(group < len(groups), below(inside)).otherwise(0)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """Add `name`: the sum of value over the rows before this one, per keys, in the order given.
 
