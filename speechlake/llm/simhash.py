@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from speechlake.functions.successors import successors
+from speechlake.functions.ranking import range_bucket, range_cuts
 from speechlake.functions.text import hexadecimal, words
 from speechlake.sources.shared import written
 
@@ -59,7 +59,8 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of radius + 2 blocks of bits, as many changes leave two alone at least. So a table for each pair of
     blocks, keyed by their bits, brings together all that can be near; each pair is then compared whole,
-    and counted in the table of the first two blocks that it has in common.
+    and counted in the table of the first two blocks that it has in common. Pairs are added up where they
+    are found, a row per fingerprint and task, and never given out; equal fingerprints are one.
     """
     if not 0 <= radius <= 62:
         raise ValueError("radius must be 0 to 62")
@@ -86,18 +87,22 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.join(counts, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def with_next(docs: DataFrame, width: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, width: int = 1024, most: int = 4096) -> DataFrame:
     """(bucket, row, doc_id, text, next_id, next_text, last) of (doc_id, text): each row beside the next by ascending id.
 
     Null ids come last, equal ids by text, and the last row's next is the first; a single row is its own.
-    Rows are bucketed by doc_id // width, so the texts move once; only a bucket's last row takes its next
-    from another bucket, whose first row meets it by a join on buckets. The first ids are stored before
-    they fetch their texts, so that Spark broadcasts them where they are few.
+    Quantiles of the ids cut them into ranges of about `width` rows, `most` ranges at most, so sparse ids
+    spread as dense ones do and the texts move once. Only a range's last row takes its next from another
+    range, whose first row meets it by a join on ranges. The first ids, one a range, are stored before they
+    fetch their texts, so that Spark broadcasts them; the window that orders the ranges sees `most` rows.
     """
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("_rank"), F.floor(rank / width).cast("long").alias("bucket"))
+    ids = docs.select("doc_id")
+    cuts = range_cuts(ids, rank, min(most, -(-ids.count() // width)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("_rank"), range_bucket(rank, cuts).cast("long").alias("bucket"))
     firsts = written(rows.groupBy("bucket").agg(F.min("_rank").alias("_rank")), "firsts")
-    after = successors(firsts.select("bucket"), "bucket").select(F.col("bucket").alias("_for"), F.col("next").alias("bucket"))
+    each = W.partitionBy(F.lit(0)).orderBy("bucket")
+    after = firsts.select(F.col("bucket").alias("_for"), F.coalesce(F.lead("bucket").over(each), F.first("bucket").over(each)).alias("bucket"))
     heads = rows.join(firsts, ["bucket", "_rank"]).groupBy("bucket").agg(F.min("doc_id").alias("_id"), F.min("text").alias("_text"))
     heads = heads.join(after, "bucket").select(F.col("_for").alias("bucket"), "_id", "_text")
     order = W.partitionBy("bucket").orderBy("_rank", "text")
