@@ -2,6 +2,7 @@
 
 import math
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -98,27 +99,27 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _propose(k: int, least: int, top: int):
-    """(a, b): for each row of a region the `top` others whose sketch agrees most, in `least` of k places at least."""
+def _neighbours(k: int, least: int, span: int):
+    """(a, b): the rows of a region beside each other in its tree's order, up to `span` places apart, whose sketch agrees in `least` of k places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, starts in _by_region(batches):
-            ids = part.column(1).to_numpy()
-            sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), k)
-            out = set()
-            for i, j in zip(starts, starts[1:], strict=False):
-                if j - i == 2:
-                    if (sketch[i] == sketch[i + 1]).sum() >= least:
-                        out.add((min(ids[i], ids[i + 1]), max(ids[i], ids[i + 1])))
-                    continue
-                for x in range(i, j):
-                    same = (sketch[i:j] == sketch[x]).sum(axis=1)
-                    same[x - i] = 0
-                    good = np.flatnonzero(same >= least)
-                    for y in good[np.lexsort((ids[i:j][good], -same[good]))][:top] + i:
-                        out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
-            if out:
-                yield _edges(sorted(out))
+        region, ids, sketch = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, k), np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, k)
+            old = len(ids)  # the last rows of the batch before
+            region, ids, sketch = np.r_[region, batch.column(0).to_numpy()], np.r_[ids, batch.column(1).to_numpy()], np.r_[sketch, new]
+            pairs = []
+            for s in range(1, span + 1):
+                x = np.arange(max(0, old - s), len(ids) - s)
+                x = x[region[x] == region[x + s]]
+                x = x[(sketch[x] == sketch[x + s]).sum(axis=1) >= least]
+                pairs.append(np.sort(np.c_[ids[x], ids[x + s]], axis=1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            region, ids, sketch = region[-span:], ids[-span:], sketch[-span:]
 
     return run
 
@@ -137,29 +138,41 @@ def _connected(linked: np.ndarray) -> list[np.ndarray]:
     return groups
 
 
-def _untested(k: int, least: int):
+def _untested(k: int, least: int, values: int):
     """(part, rep, c): the rows of a region whose sketch agrees, in `least` of k places at least, with one of another component c.
 
-    Rows that such pairs connect are one part. Its number is made of its rows, so that trees that bring
-    the same rows together give the same part.
+    Rows that such pairs connect are one part. Where their sets together have more than `values` values
+    they are cut into blocks of half as many, and each pair of blocks with such a pair of rows is a part;
+    so a part stays within `values`, but for single sets that are larger. Its number is made of its rows,
+    so that trees that bring the same rows together give the same part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts in _by_region(batches):
-            ids, c = part.column(1).to_numpy(), part.column(2).to_numpy()
+            ids, c, n = (part.column(x).to_numpy() for x in (1, 2, 4))
             sketch = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(ids), k)
             out = []
             for i, j in zip(starts, starts[1:], strict=False):
                 alike = np.array([(c[i:j] != c[x]) & ((sketch[i:j] == sketch[x]).sum(axis=1) >= least) for x in range(i, j)])
                 for group in _connected(alike):
-                    rows = i + group[np.argsort(ids[i + group])]
-                    out.append((np.full(len(rows), xxhash.xxh3_64_intdigest(ids[rows].tobytes()), np.uint64).view(np.int64), ids[rows], c[rows]))
+                    group = group[np.argsort(ids[i + group])]
+                    block = np.cumsum(n[i + group]) // max(1, values // 2) if n[i + group].sum() > values else np.zeros(len(group), np.int64)
+                    for rows in _parts(i + group, block, alike[np.ix_(group, group)]):
+                        out.append((np.full(len(rows), xxhash.xxh3_64_intdigest(ids[rows].tobytes()), np.uint64).view(np.int64), ids[rows], c[rows]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["part", "rep", "c"])
 
     return run
 
 
+def _parts(rows: np.ndarray, block: np.ndarray, alike: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each pair of blocks that an alike pair of rows connects."""
+    of = {b: block == b for b in np.unique(block)}
+    for x, y in combinations_with_replacement(of, 2):
+        if alike[np.ix_(of[x], of[y])].any():
+            yield rows[of[x] | of[y]]
+
+
 def linked_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
     """The connected groups, of two at least, of sets whose similarity is percent / 100 or more."""
     n = np.array([len(s) for s in sets])
@@ -243,17 +256,18 @@ def _blocks(placed: DataFrame, size: int) -> DataFrame:
     return rows.join(pairs, ["region", "block"]).select(F.col("pair").alias("region"), "rep", "c")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: int = 20, depth: int = 6, least_depth: int = 3, most: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: int = 20, depth: int = 6, least_depth: int = 3, most: int = 2048, values: int = 4_000_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept (is that one).
 
     Documents are linked where their sets of ngram-word shingles have a Jaccard similarity of at least
-    percent / 100. Equal sets are one representative from the start. The forest's regions propose, for
-    each representative, the two others whose signatures agree most; those links count that the full sets
-    confirm. In a crowd of more than `most` rows, which is cut, each row is also held against the one that
+    percent / 100. Equal sets are one representative from the start. Each of the forest's trees orders the
+    representatives by its part of their signatures; where they share a prefix of least_depth values, or a
+    longer one where that is crowded, each is held against its two neighbours on either side, with which
+    it shares the longest prefixes, and those links count that the full sets confirm. In a crowd of more than `most` rows, which is cut, each row is also held against the one that
     has most links so far. In every region of every tree whose rows are then of several components, all
     pairs of two components are held against each other by signature, and the rows of those that may be
-    linked by full sets, in one task of about `most` rows, which returns what is connected and no
-    pairs. So a group of m near copies gives rows in proportion to m. Crowds are held so too, uncut and at
+    linked by full sets, at most `most` rows and about `values` shingles at a time, of which come what is
+    connected and no pairs. So a group of m near copies gives rows in proportion to m. Crowds are held so too, uncut and at
     least_depth, by pairs of blocks (see _blocks): a crowd of n rows that stays in many components costs
     n * n / `most` rows, spread over as many tasks.
 
@@ -271,7 +285,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(slim.mapInArrow(_sign(ngram, k), "doc_id bigint, n_shingles bigint, set_hash binary, sig binary"), "signatures")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = linkable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = linkable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     reps = written(reps, "reps")
 
     regions, shallow, crowds = _regions(reps, trees, depth, least_depth, most)
@@ -281,9 +295,10 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     sets = written(sets, "sets")
 
     sketch = F.unhex(F.regexp_replace(F.hex("sig"), "......(..)", "$1"))  # the lowest byte of each place
-    asked = regions.join(reps.select("rep", sketch.alias("sketch")), "rep").select("region", "rep", "sketch")
-    asked = asked.repartition("region").sortWithinPartitions("region")
-    pairs = asked.mapInArrow(_propose(k, least, 2), "a bigint, b bigint").distinct()
+    order = F.expr(f"substring(sig, t * {4 * depth} + {1 + 4 * least_depth}, {4 * (depth - least_depth)})")  # within a region
+    asked = regions.join(reps.select("rep", "sig", sketch.alias("sketch")), "rep").select("region", "rep", "sketch", order.alias("order"))
+    asked = asked.repartition("region").sortWithinPartitions("region", "order", "rep").select("region", "rep", "sketch")
+    pairs = asked.mapInArrow(_neighbours(k, least, 2), "a bigint, b bigint").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
@@ -300,8 +315,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
         spokes = crowds.join(centres, "region").where("rep <> r").select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
         links = links.unionByName(confirmed(spokes))
 
-    labels = reps.select("rep", "set_hash", sketch.alias("sketch")).join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left")
-    labels = written(labels.select("rep", "set_hash", "sketch", F.coalesce("component", "rep").alias("c")), "labels")
+    labels = reps.select("rep", "set_hash", "size", sketch.alias("sketch")).join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left")
+    labels = written(labels.select("rep", "set_hash", "size", "sketch", F.coalesce("component", "rep").alias("c")), "labels")
     # of regions of three, the proposals have held every pair
     placed = written(shallow.where("n > 3").select("region", "rep", "n").join(labels.select("rep", "c"), "rep"), "placed")
     mixed = placed.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
@@ -309,9 +324,9 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, trees: i
     held = placed.where(F.col("n") <= most).select("region", "rep", "c")
     if crowds is not None:
         held = held.unionByName(_blocks(placed.where(F.col("n") > most), max(most // 2, 1)))
-    open_rows = held.join(labels.select("rep", "sketch"), "rep").select("region", "rep", "c", "sketch")
+    open_rows = held.join(labels.select("rep", "sketch", "size"), "rep").select("region", "rep", "c", "sketch", "size")
     open_rows = open_rows.repartition("region").sortWithinPartitions("region")
-    parts = open_rows.mapInArrow(_untested(k, least), "part bigint, rep bigint, c bigint").distinct()
+    parts = open_rows.mapInArrow(_untested(k, least, values), "part bigint, rep bigint, c bigint").distinct()
     parts = parts.join(sets, parts["rep"] == sets["doc_id"]).select("part", "c", "s").repartition("part").sortWithinPartitions("part")
     bridges = parts.mapInArrow(_confirm(percent), "a bigint, b bigint")  # between components
 
