@@ -116,9 +116,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     common = runs.merged().where(F.col("n_docs") >= min_docs)
     lost = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_lost"))
-    out = docs.join(lost, docs[doc_id].eqNullSafe(lost["_id"]), "left").withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    left = F.filter("_lines", lambda x: ~((F.length(F.btrim(x, F.lit(BLANK))) >= min_chars) & F.array_contains(F.col("_lost"), key_hash(x))))
-    out = out.withColumn("_left", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(left))
-    out = out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_left")).cast("long")})
-    kept = F.when(F.col("n_dropped") > 0, F.array_join("_left", "\n")).otherwise(F.col(text))
-    return out.withColumn(text, kept).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    out = rows.join(lost, rows["id"].eqNullSafe(lost["_id"]), "left")
+    left = F.filter("lines", lambda x: ~((F.length(F.btrim(x, F.lit(BLANK))) >= min_chars) & F.array_contains(F.col("_lost"), key_hash(x))))
+    out = out.withColumn("left", F.when(F.col("_lost").isNull(), F.col("lines")).otherwise(left))
+    n_dropped = F.size("lines") - F.size("left")
+    kept = F.when(n_dropped > 0, F.array_join("left", "\n")).otherwise(F.col("row")[text])
+    others = [kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*others, F.size("lines").cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

@@ -103,6 +103,6 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     counts = mix(docs, text=text, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
     counts = counts.agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).alias("_times")).where("_size > 0 and _times > 0")
-    rows = docs.withColumn("_words", F.size(words(F.col(text))).cast("long"))
-    met = rows.join(counts, rows[doc_id].eqNullSafe(counts["_id"]) & (rows["_words"] == counts["_size"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.size(words(F.col(text))).cast("long").alias("words"))
+    met = rows.join(counts, rows["id"].eqNullSafe(counts["_id"]) & (rows["words"] == counts["_size"]))
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("row.*")

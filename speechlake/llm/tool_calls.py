@@ -5,24 +5,27 @@ from pyspark.sql import functions as F
 
 from speechlake.functions.ranking import running_sum
 
-#: For each tool the type of each argument and whether it must be there.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: For each tool the type of each argument, or the strings that it may be, and whether it must be there.
+Schemas = dict[str, dict[str, tuple[str | tuple[str, ...], bool]]]
+#: What schema_of_variant() says of a value of each type.
+TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
 def arguments_valid(tool: Column, arguments: Column, schemas: Schemas) -> Column:
     """Whether the arguments, a JSON object as text, fit the tool's schema: known names, all that must be there, each of its type.
 
-    Types are string, integer and boolean. False for an unknown tool, for text that is no JSON object and for null.
+    Types are string, integer, number, boolean, array and object; a tuple of strings is an enumeration. False for an unknown tool, for text that is no JSON object and for null.
     """
     parsed = F.try_parse_json(arguments)
     names = F.json_object_keys(arguments)
     out = F.lit(False)
-    spark_type = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
     for name, fields in schemas.items():
         ok = F.size(F.array_except(names, F.array(*[F.lit(f) for f in fields]).cast("array<string>"))) == 0
         for field, (kind, needed) in fields.items():
             value = F.try_variant_get(parsed, f"$.{field}", "variant")
-            right = F.schema_of_variant(value) == spark_type[kind]
+            right = F.schema_of_variant(value).rlike(f"^{TYPES[kind if isinstance(kind, str) else 'string']}$")
+            if not isinstance(kind, str):
+                right = right & F.try_variant_get(parsed, f"$.{field}", "string").isin(*kind)
             ok = ok & F.coalesce(right, F.lit(not needed))
         out = F.when(tool == name, ok).otherwise(out)
     return F.coalesce(F.when(parsed.isNotNull() & names.isNotNull(), out), F.lit(False))
@@ -41,8 +44,9 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     becomes a user message) or message. json is canonical: keys sorted, no white space, absent values
     left out; arguments that are no JSON are left out. A null conv_id is a conversation, null turns come
     last and equal rows take neighbouring positions. Places come from buckets of 1024 turns, so one long
-    conversation is not one group.
+    conversation is not one group. Other columns are left behind.
     """
+    messages = messages.select("conv_id", "turn", "role", "text", "call_id", "tool", "arguments")
     calls = messages.where(F.col("tool").isNotNull() & F.col("call_id").isNotNull()).groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
     calls = calls.agg(F.min("turn").alias("_turn"), F.lit(True).alias("_found"))
     is_result = (F.col("role") == "tool") & F.col("tool").isNull()
