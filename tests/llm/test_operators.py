@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,10 +20,10 @@ from speechlake.llm.mixing import mix, mixed_documents
 from speechlake.llm.packing import pack, pack_documents
 from speechlake.llm.pii import base_spans, find_pii, train_tagger
 from speechlake.llm.quality_rules import host_rates, quality_rules
-from speechlake.llm.simhash import fingerprint_documents, near_fingerprints
+from speechlake.llm.simhash import fingerprint_documents, near_fingerprints, with_next
 from speechlake.llm.token_files import pack_bits, read_token_files, unpack_bits, write_token_files
 from speechlake.llm.token_ids import Coder
-from speechlake.llm.tool_calls import link_tool_calls
+from speechlake.llm.tool_calls import arguments_valid, link_tool_calls
 from speechlake.llm.warc import ranges, read_warc, write_warc
 
 SCHEMA = "doc_id long, text string, source string"
@@ -50,7 +51,7 @@ def odd_rows(seed=0):
 def docs(spark):
     df = spark.createDataFrame(odd_rows(), SCHEMA).repartition(5)
     # columns with the names of results and intermediate columns
-    return df.withColumns({c: F.lit(1) for c in ("n_words", "n_lines", "n_dropped", "kept", "rank", "size", "start", "bucket", "length", "target", "n", "_w", "h")})
+    return df.withColumns({c: F.lit(1) for c in ("n_words", "n_lines", "n_dropped", "kept", "rank", "size", "start", "bucket", "length", "target", "n", "_w", "h", "_lost", "_lines", "_times", "_id", "row", "id", "words", "lines", "left")})
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +81,19 @@ def test_hosts_are_shrunk(spark):
     assert 0.1 < got["good"].host_rate < 0.5 < got["bad"].host_rate < 0.95 and got["small"].host_rate < 1 and None in got
 
 
+def test_hosts_decide(spark):
+    """A host that differs from the others is held to the symbols rule; a small one with as bad a raw rate is spared."""
+    clean, marked = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(60)) + " " + "#" * 80
+    rows = [(f"h{h}", marked if i < 2 + h % 6 else clean) for h in range(20) for i in range(100)] + [("bad", marked if i < 25 else clean) for i in range(100)]
+    rows += [("small", marked), ("small", clean)] + [("short", "b")] * 400 + [("short", clean)]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    for i, (host, text) in enumerate(rows):
+        r = got[i]
+        assert r.base_failed == (len(text.split()) < 50) and r.symbols_failed == (text == marked)
+        assert r.kept == (not r.base_failed and not (host == "bad" and text == marked) and host != "short")
+
+
 def test_line_dedup(spark, docs, nothing):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
@@ -200,8 +214,8 @@ def test_tool_calls(spark):
         (2, None, None, None, None, None, None), (None, 0, "user", "a", None, None, None), (2, 0, "user", "same", None, None, None), (2, 0, "user", "same", None, None, None),
     ]
     schema = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string"
-    df = spark.createDataFrame(rows, schema).withColumn("json", F.lit(0)).withColumn("position", F.lit(0))
-    got = [r for r in link_tool_calls(df.drop("json", "position"), schemas).collect()]
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0) for c in ("json", "position", "status", "_turn", "_call", "_conv", "_found", "call_turn")})
+    got = [r for r in link_tool_calls(df, schemas).collect()]
     one = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)
     assert [r.turn for r in one] == [0, 2, 1, 3, 4, 5, 6, 7, 8]
     assert [r.status for r in one] == ["message", "call", "result", "bad_call", "result", "orphan", "call", "bad_call", "bad_call"]
@@ -211,6 +225,14 @@ def test_tool_calls(spark):
     assert link_tool_calls(spark.createDataFrame([], schema), schemas).count() == 0
 
 
+def test_argument_types(spark):
+    schemas = {"t": {"x": ("number", True), "l": ("array", False), "o": ("object", False), "e": (("on", "off"), False)}}
+    rows = ['{"x":1}', '{"x":1.5,"l":[1],"o":{"a":1},"e":"on"}', '{"x":1e3}', '{"x":"1"}', '{"x":1,"l":{}}', '{"x":1,"o":[]}', '{"x":1,"e":"no"}', '{"x":1,"e":1}']
+    df = spark.createDataFrame([(a,) for a in rows], "a string")
+    got = {r.a: r.ok for r in df.select("a", arguments_valid(F.lit("t"), F.col("a"), schemas).alias("ok")).collect()}
+    assert [got[a] for a in rows] == [True, True, True, False, False, False, False, False]
+
+
 @cache
 def reference_tokenizer(path):
     t = Tokenizer.from_file(path)
@@ -295,6 +317,43 @@ def test_fingerprints(spark, docs, nothing):
     assert fingerprint_documents(one).first().near_next == 1.0 and fingerprint_documents(nothing).count() == 0
 
 
+def plain_fingerprint(text):
+    """128 bits by the majority of the pair hashes, Spark's xxhash64 being XXH64 with the hash so far as its seed, 42 at first."""
+    w = WORD.findall((text or "").lower())
+    terms = [xxhash.xxh64_intdigest(b, seed=xxhash.xxh64_intdigest(a, seed=42)) for a, b in zip(map(str.encode, w), map(str.encode, w[1:]))]
+    terms = terms or [xxhash.xxh64_intdigest(a.encode(), seed=42) for a in w]
+    other = [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42)) for a in terms]
+    bits = lambda hs: sum((2 * sum(h >> j & 1 for h in hs) > len(hs)) << j for j in range(64))
+    return f"{bits(terms):016x}{bits(other):016x}"
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(4)
+    texts = {i: t for i, t, _ in odd_rows() if i is not None and len(t or "") < 3000}
+    texts = {(rng.randrange(2**62) if i % 2 else i): t for i, t in texts.items()}  # sparse and dense ids
+    ids = sorted(texts)
+    got = {r.doc_id: r for r in fingerprint_documents(spark.createDataFrame([(i, texts[i], "s") for i in ids], SCHEMA)).collect()}
+    assert len(got) == len(ids)
+    own = {i: plain_fingerprint(texts[i]) for i in ids}
+    alike = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        t, u = texts[i] or "", texts[after] or ""
+        half = len(t) // 2
+        edited = plain_fingerprint(t[: len(t) - half] + u[:half])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own[i], edited)
+        assert got[i].near_edited == alike(own[i], edited) and got[i].near_next == alike(own[i], own[after])
+        assert got[i].n_near == sum(0 < 128 * (1 - alike(own[i], x)) <= 10 for x in set(own.values()))
+
+
+def test_next_of_sparse_ids(spark):
+    rng = random.Random(9)
+    ids = sorted(rng.sample(range(-(2**61), 2**61), 500)) + [None, None]
+    got = with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), width=16, most=20).collect()
+    assert len(got) == 502 and len({r.bucket for r in got}) > 10
+    after = dict(zip(ids, ids[1:]))
+    assert all(r.next_id == after[r.doc_id] for r in got if r.doc_id is not None) and sorted(r.next_text for r in got if r.doc_id is None) == sorted(["None", str(ids[0])])
+
+
 def test_near_fingerprints_match_brute_force(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(128) for _ in range(30)]
@@ -473,11 +532,11 @@ def crowd_rows():
     return rows
 
 
-@pytest.mark.parametrize("most", [2, 8, 40])
-def test_near_duplicates_of_a_crowd(spark, most):
+@pytest.mark.parametrize("most, values", [(2, 10**6), (8, 10**6), (40, 10**6), (2048, 300)])
+def test_near_duplicates_of_a_crowd(spark, most, values):
     rows = crowd_rows()
     want = plain_components(rows, 4, 80)
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=4, most=most).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram=4, most=most, values=values).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
