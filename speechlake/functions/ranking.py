@@ -24,7 +24,7 @@ def range_bucket(value: Column, cuts: Sequence) -> Column:
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
     group = below(F.lit([g[-1] for g in groups]))
     inside = F.get(F.array(*[F.lit(g) for g in groups]), group)
-    return group * step + F.when(group < len(groups), below(inside)).otherwise(0)
+    return F.when(group < len(groups), group * step + below(inside)).otherwise(len(cuts))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: Column, name: str) -> DataFrame:

@@ -1,63 +1,90 @@
 """Audit records: screening for identifiers, scrubbing, expiry and clip decisions."""
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions.records import advisory_action, risk_band
 from speechlake.operators.metrics import mean_scores
 
-# Words that an audit key must not contain, and the shapes of identifiers.
-KEY_TOKENS = ("name", "phone", "email", "address", "ssn", "iban", "account", "audio", "waveform", "embedding")
-SHAPES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9][0-9 ().-]{7,}[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-}
-METRIC_SUFFIXES = ("_ms", "_db", "_hz", "_count", "_ratio")
+# The terms that a key must not contain between underscores, the endings of keys that only
+# measure such a thing, the shapes of identifiers as whole values, and the folders of users.
+KEY_TERMS = (
+    "audio", "waveform", "transcript", "transcripts", "transcription", "raw_bytes", "raw_samples", "sample_data", "sample_values",
+    "pcm_data", "pcm", "payload", "payloads", "blob", "blobs", "recording", "recording_id", "phone", "phones", "phone_number",
+    "phone_numbers", "msisdn", "account_number", "account_numbers", "accountnumber", "accountnumbers", "iban", "full_name", "full_names",
+    "customer_name", "customer_names", "email", "emails", "email_address", "email_addresses", "ssn", "passport", "passports",
+)
+METRIC_ENDINGS = ("seconds", "milliseconds", "ms", "hz", "sample_count", "samples_count", "sample_per_second", "samples_per_second", "count", "ratio", "percent", "frames", "db", "dbfs")
+VALUE_SHAPES = (r"\+?\(?[0-9][0-9\s().-]{7,}", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}")
+USER_PATH = r"[A-Za-z]:\\[^\s\"']+|/(?:home|Users)/[^\s\"']+"
+LONGEST = 32
+
+_KEY = "(^|_)(" + "|".join(KEY_TERMS) + ")($|_)"
+_METRIC = "_(" + "|".join(METRIC_ENDINGS) + ")$"
+_VALUE = "^(" + "|".join(VALUE_SHAPES) + ")$"
+#: Shapes to look for anywhere in running text.
+TEXT_SHAPES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"}
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
-def _key_forbidden(key: Column) -> Column:
-    parts = F.split(F.lower(key), r"[^a-z0-9]+")
-    return F.arrays_overlap(parts, F.array(*[F.lit(t) for t in KEY_TOKENS]))
-
-
-def identifier_shape(value: Column) -> Column:
-    """The first kind of identifier that a text contains; null if none."""
-    out = F.when(value.isNull(), None)
-    for name, pattern in SHAPES.items():
-        out = out.when(value.rlike(pattern), name)
-    return out
-
-
-def flat_entries(json: Column) -> Column:
-    """Keys and values of a JSON object, one level; nested values stay JSON text and are screened as such."""
-    return F.from_json(json, "map<string,string>")
-
-
-def screen(rows: DataFrame, json: str, longest: int = 32) -> DataFrame:
-    """Add problem: forbidden_key, identifier_value or long_sequence, the first that holds in any entry; null if clean."""
-    entries = F.map_entries(flat_entries(F.col(json)))
-    sequence = lambda v: F.size(F.from_json(v, "array<double>")) > longest
-    key = F.exists(entries, lambda e: _key_forbidden(e["key"]))
-    value = F.exists(entries, lambda e: identifier_shape(e["value"]).isNotNull())
-    numbers = F.exists(entries, lambda e: e["value"].startswith("[") & F.coalesce(sequence(e["value"]), F.lit(False)))
-    return rows.withColumn("problem", F.when(key, "forbidden_key").when(value, "identifier_value").when(numbers, "long_sequence"))
-
-
-def scrub_text(text: Column) -> Column:
-    """The text with identifiers and home folders replaced."""
-    out = text
-    for name, pattern in SHAPES.items():
-        out = F.regexp_replace(out, pattern, f"[{name}]")
-    return F.regexp_replace(out, r"/(home|Users)/[^/ ]+", "/[home]")
-
-
-def scrub(entries: Column) -> Column:
-    """A map with forbidden keys redacted (unless they end like a metric) and values scrubbed."""
-    metric = lambda k: F.lower(k).rlike("(" + "|".join(METRIC_SUFFIXES) + ")$")
-    return F.transform_values(entries, lambda k, v: F.when(_key_forbidden(k) & ~metric(k), "[redacted]").otherwise(scrub_text(v)))
+def screen(rows: DataFrame, json: str, longest: int = LONGEST) -> DataFrame:
+    """Add problem: forbidden_key, identifier_value or long_sequence, the first that holds at any level; null if clean.
+
+    The JSON is brought into canonical form, where a string before a colon is a key and any other is a
+    value, so all levels are screened by one pass over its strings. Values are screened as wholes, less white
+    space at their ends. A long sequence is an array that begins with more than `longest` numbers. A text
+    that is no JSON has the problem not_json; null is clean.
+    """
+    plain = F.regexp_replace(F.to_json(F.try_parse_json(json)), r"\\.", " ")  # no escapes, so strings end at the next quote
+    strings = F.regexp_extract_all(plain, F.lit('"[^"]*":?'), F.lit(0))
+    key = F.exists(strings, lambda s: s.endswith('":') & F.lower(F.rtrim(s, F.lit('":'))).rlike(_KEY.replace("(^|_)", '(^"|_)')))
+    value = F.exists(strings, lambda s: ~s.endswith('":') & F.trim(F.btrim(s, F.lit('"'))).rlike(_VALUE))
+    numbers = F.regexp_replace(plain, '"[^"]*"', "").rlike(rf"\[([-+.0-9eE]+,){{{longest}}}[-+.0-9eE]")
+    broken = F.col(json).isNotNull() & plain.isNull()
+    return rows.withColumn("problem", F.when(broken, "not_json").when(key, "forbidden_key").when(value, "identifier_value").when(numbers, "long_sequence"))
+
+
+def scrub_value(value: object, depth: int = 0) -> object:
+    """A parsed JSON value fit for a log: see scrub."""
+    if isinstance(value, dict):
+        hidden = {k: re.search(_KEY, k.lower()) and not re.search(_METRIC, k.lower()) for k in value}
+        return {k: "[redacted]" if hidden[k] else scrub_value(v) for k, v in value.items()}
+    if depth > 6:
+        return "[truncated]"
+    if isinstance(value, list):
+        return f"[list len={len(value)} redacted]" if len(value) > LONGEST else [scrub_value(v, depth + 1) for v in value]
+    if isinstance(value, str):
+        return "[redacted]" if re.search(_VALUE, value.strip()) else re.sub(USER_PATH, "[redacted]", value)
+    return value
+
+
+def scrub(text: Column) -> Column:
+    """JSON with what must not be logged taken out, at every level.
+
+    Values of forbidden keys (unless these end like a metric), identifiers and users' folders are
+    redacted, sequences of more than LONGEST values are summed up, deep nests of lists are cut. Null
+    stays null, text that is no JSON becomes "[redacted]". Nested values need recursion, which columns
+    cannot express, so this is an Arrow-batched function.
+    """
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(s: str | None) -> str | None:
+            if s is None:
+                return None
+            try:
+                parsed = json.loads(s)
+            except ValueError:
+                parsed = "[redacted]"
+            return json.dumps(scrub_value(parsed), separators=(",", ":"), ensure_ascii=False)
+
+        return batch.map(one)
+
+    return run(text)
 
 
 def session_id(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions.components import connected_components
-from speechlake.functions.ranking import running_sum
+from speechlake.functions.ranking import range_bucket, range_cuts, running_sum
 from speechlake.functions.records import known, partition_key
 from speechlake.sources.shared import written
 
@@ -36,13 +36,14 @@ def capacity_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float
     """(grp, split): groups in an order fill train until it is full, then dev, then test; pinned groups go to test.
 
     A group goes to train if the groups before it leave room there, and likewise for dev among the rest.
-    Capacities are rounded half to even. Both passes are running sums over buckets of the order, a
-    string whose first two characters make the bucket.
+    Capacities are rounded half to even. Both passes are running sums over ranges of the order, a string;
+    quantiles of its first bytes cut it into ranges of about 10,000 groups, 4096 ranges at most.
     """
     groups = written(groups, "groups")
     n = total if total is not None else groups.agg(F.sum("size")).first()[0] or 0
     room = groups.sparkSession.range(1).select(F.bround(F.lit(n * train)).alias("t"), F.bround(F.lit(n * dev)).alias("d")).first()
-    bucket = F.substring(order, 1, 2)
+    head = F.conv(F.rpad(F.hex(F.substring(order, 1, 7)), 14, "0"), 16, 10).cast("long")
+    bucket = range_bucket(head, range_cuts(groups, head, min(4096, -(-groups.count() // 10_000))))
     first = running_sum(groups.where(~F.col("pinned")), [], bucket, [F.col(order), F.col("grp")], F.col("size"), "before")
     rest = running_sum(first.where(F.col("before") >= room["t"]), [], bucket, [F.col(order), F.col("grp")], F.col("size"), "before_dev")
     out = first.where(F.col("before") < room["t"]).select("grp", F.lit("train").alias("split"))

@@ -1,5 +1,6 @@
 """Baseline detectors on pyspark.ml: fit on train, calibrate and pick a threshold on dev, score test once."""
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -9,10 +10,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.operators import metrics as M
+from speechlake.sources.shared import written
 
 
 def with_features(rows: DataFrame, vector: str, label: str = "label") -> DataFrame:
@@ -52,6 +54,27 @@ class Calibrator:
     kind: str
     apply: Callable[[Column], Column]
     note: str | None = None
+    params: tuple = ()
+
+
+def calibrator(kind: str, params: tuple = (), note: str | None = None) -> Calibrator:
+    """The calibrator of a kind from its parameters: none, (slope, intercept) or (boundaries, values)."""
+    if kind == "identity":
+        return Calibrator(kind, lambda s: s, note)
+    if kind == "platt":
+        a, b = params
+        return Calibrator(kind, lambda s: 1 / (1 + F.exp(-(a * _logit(s) + b))), note, (a, b))
+    if kind != "isotonic":
+        raise ValueError(f"unknown calibrator {kind}")
+    xs, ys = params
+
+    def interpolate(s: Column) -> Column:
+        x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
+        at = F.size(F.filter(x, lambda b: b <= s))
+        x0, x1, y0, y1 = F.get(x, at - 1), F.get(x, at), F.get(y, at - 1), F.get(y, at)
+        return F.when(at == 0, ys[0]).when(at == len(xs), ys[-1]).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
+
+    return Calibrator(kind, lambda s: F.least(F.greatest(interpolate(s), F.lit(0.0)), F.lit(1.0)), note, (xs, ys))
 
 
 def _logit(p: Column) -> Column:
@@ -63,25 +86,48 @@ def fit_calibrator(dev: DataFrame, kind: str = "platt", label: str = "label", sc
     """Fit on dev. Without `least` rows of each class the identity, with a note; isotonic needs more rows, else Platt."""
     n1, n0 = dev.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     if min(n1, n0) < least:
-        return Calibrator("identity", lambda s: s, f"{n1} and {n0} rows, at least {least} of each class are needed")
+        return calibrator("identity", note=f"{n1} and {n0} rows, at least {least} of each class are needed")
     note = None
     if kind == "isotonic" and n0 + n1 < isotonic_least:
         kind, note = "platt", f"{n0 + n1} rows, isotonic needs {isotonic_least}"
     if kind == "isotonic":
         model = IsotonicRegression(featuresCol="_s", labelCol=label).fit(dev.select(F.col(score).alias("_s"), F.col(label).cast("double")))
         xs, ys = model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
-
-        def interpolate(s: Column) -> Column:
-            x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-            at = F.size(F.filter(x, lambda b: b <= s))
-            x0, x1, y0, y1 = F.get(x, at - 1), F.get(x, at), F.get(y, at - 1), F.get(y, at)
-            return F.when(at == 0, ys[0]).when(at == len(xs), ys[-1]).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
-
-        return Calibrator("isotonic", lambda s: F.least(F.greatest(interpolate(s), F.lit(0.0)), F.lit(1.0)), note)
+        return calibrator("isotonic", (xs, ys), note)
     rows = dev.select(array_to_vector(F.array(_logit(F.col(score)))).alias("features"), F.col(label).cast("double").alias("label"))
     fit = LogisticRegression(regParam=1 / (1e6 * (n0 + n1)), standardization=False, maxIter=200).fit(rows)
-    a, b = float(fit.coefficients[0]), float(fit.intercept)
-    return Calibrator("platt", lambda s: 1 / (1 + F.exp(-(a * _logit(s) + b))), note)
+    return calibrator("platt", (float(fit.coefficients[0]), float(fit.intercept)), note)
+
+
+@dataclass(frozen=True)
+class Artifact:
+    """What scoring needs: the model, the calibrator, the threshold, and the feature spec that it was fitted with."""
+
+    model: PipelineModel
+    calibrator: Calibrator
+    threshold: float
+    spec: dict
+
+
+def save_artifact(spark: SparkSession, artifact: Artifact, path: str) -> None:
+    """Write an artefact; its card comes last, so a folder without one is not whole."""
+    artifact.model.write().overwrite().save(f"{path}/model")
+    card = {"kind": artifact.calibrator.kind, "params": artifact.calibrator.params, "note": artifact.calibrator.note, "threshold": artifact.threshold, "spec": artifact.spec}
+    spark.createDataFrame([(json.dumps(card, sort_keys=True),)], "card string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
+
+
+def load_artifact(spark: SparkSession, path: str, spec: dict) -> Artifact:
+    """Read an artefact back; one that was fitted with another feature spec is refused."""
+    card = json.loads(spark.read.text(f"{path}/card").first().value)
+    if card["spec"] != spec:
+        raise ValueError(f"the artefact was fitted with {card['spec']}, not {spec}")
+    return Artifact(PipelineModel.load(f"{path}/model"), calibrator(card["kind"], tuple(card["params"]), card["note"]), card["threshold"], card["spec"])
+
+
+def rescore(artifact: Artifact, rows: DataFrame, vector: str) -> DataFrame:
+    """Rows with score, calibrated, and flagged (score at or above the threshold); rows need no label."""
+    s = scores(artifact.model, rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).drop("features")
+    return s.withColumn("score", artifact.calibrator.apply(F.col("score"))).withColumn("flagged", F.col("score") >= artifact.threshold)
 
 
 def run_baseline(rows: DataFrame, vector: str, strength: float = 1.0, policy: str = "eer") -> DataFrame:
@@ -98,12 +144,12 @@ def run_baseline(rows: DataFrame, vector: str, strength: float = 1.0, policy: st
     train, dev, test = (ready.where(F.col("split") == s) for s in ("train", "dev", "test"))
     model = fit_logistic(train, strength)
     on_dev = scores(model, dev)
-    calibrator = fit_calibrator(on_dev)
-    on_dev = on_dev.withColumn("score", calibrator.apply(F.col("score")))
+    fitted = fit_calibrator(on_dev)
+    on_dev = on_dev.withColumn("score", fitted.apply(F.col("score")))
     threshold = M.select_threshold(M.operating_points(on_dev), policy).first().threshold
-    on_test = scores(model, test).withColumn("score", calibrator.apply(F.col("score")))
+    on_test = written(scores(model, test).withColumn("score", fitted.apply(F.col("score"))).select("label", "score"), "test-scores")  # once
     reports = [M.detect(x.select("label", "score"), threshold).withColumn("stage", F.lit(s)) for s, x in (("dev", on_dev), ("test", on_test))]
-    return reports[0].unionByName(reports[1]).withColumn("outcome", F.lit("measured")).withColumn("calibrator", F.lit(calibrator.kind))
+    return reports[0].unionByName(reports[1]).withColumn("outcome", F.lit("measured")).withColumn("calibrator", F.lit(fitted.kind))
 
 
 def score_with(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], model_version: str, key: str) -> DataFrame:

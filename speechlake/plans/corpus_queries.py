@@ -314,7 +314,9 @@ def leakage_axes(spark, sf_dir):
     return C.check_leakage(records(spark, sf_dir))
 
 
-@query("SELECT unnest(['speaker', 'channel', 'session']) AS axis, unnest(['leak', 'leak', 'unavailable']) AS problem")
+@query(f"""WITH {RECORDS}, ax AS (SELECT split, unnest(['speaker', 'channel', 'session', 'device']) AS axis, unnest([speaker, channel, session, device]) AS value FROM rec),
+  v AS (SELECT axis, value, count(DISTINCT split) > 1 AS leak FROM ax WHERE value IS NOT NULL GROUP BY 1, 2), g AS (SELECT axis, bool_or(leak) AS leak FROM v GROUP BY 1)
+  SELECT axis, CASE WHEN leak THEN 'leak' ELSE 'unavailable' END AS problem FROM (SELECT DISTINCT axis FROM ax) LEFT JOIN g USING (axis) WHERE leak OR leak IS NULL""")
 def leakage_gate(spark, sf_dir):
     return C.leakage_failures(records(spark, sf_dir), ["speaker", "channel", "session", "device"])
 
@@ -364,11 +366,14 @@ def split_holdouts(spark, sf_dir):
     return _groups(spark, sf_dir).select("grp", "size", "pinned")
 
 
-@query(f"""WITH {_GROUPS}, n AS (SELECT sum(size) AS n FROM gr), o AS (SELECT *, sha256(grp) AS o FROM gr),
+_FILLED = _GROUPS + """, n AS (SELECT sum(size) AS n FROM gr), o AS (SELECT *, sha256(grp) AS o FROM gr),
   b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE NOT pinned),
   t AS (SELECT *, before < (SELECT round_even(n * 0.7, 0) FROM n) AS tr FROM b),
-  d AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bd FROM t WHERE NOT tr)
-  SELECT grp, 'train' AS split FROM t WHERE tr UNION ALL SELECT grp, CASE WHEN bd < (SELECT round_even(n * 0.15, 0) FROM n) THEN 'dev' ELSE 'test' END FROM d UNION ALL SELECT grp, 'test' FROM gr WHERE pinned""")
+  d AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bd FROM t WHERE NOT tr),
+  assigned AS (SELECT grp, 'train' AS split FROM t WHERE tr UNION ALL SELECT grp, CASE WHEN bd < (SELECT round_even(n * 0.15, 0) FROM n) THEN 'dev' ELSE 'test' END FROM d UNION ALL SELECT grp, 'test' FROM gr WHERE pinned)"""
+
+
+@query(f"WITH {_FILLED} SELECT grp, split FROM assigned")
 def split_capacity(spark, sf_dir):
     g = _groups(spark, sf_dir).withColumn("key", F.sha2("grp", 256))
     return S.capacity_fill(g, "key")
@@ -391,7 +396,8 @@ def split_temporal(spark, sf_dir):
     return S.capacity_fill(g.withColumn("sort", F.concat(F.lit(""), "key")), "sort")
 
 
-@query("SELECT unnest(['two_groups', 'empty_split', 'train_groups']) AS rule, unnest([false, false, false]) AS broken")
+@query(f"""WITH {_FILLED}, c AS (SELECT count(DISTINCT grp) AS g, count_if(split = 'train') AS a, count_if(split = 'dev') AS d, count_if(split = 'test') AS t FROM assigned)
+  SELECT unnest(['two_groups', 'empty_split', 'train_groups']) AS rule, unnest([g < 2, a = 0 OR d = 0 OR t = 0, a < 2]) AS broken FROM c""")
 def split_guards(spark, sf_dir):
     return S.split_problems(S.capacity_fill(_groups(spark, sf_dir).withColumn("key", F.sha2("grp", 256)), "key"))
 

@@ -52,7 +52,9 @@ def speaker_trials(spark, sf_dir):
     return trials(spark, sf_dir)
 
 
-@query("SELECT unnest(['self_pair', 'wrong_label', 'two_speakers', 'shared_speaker']) AS rule, unnest([0, 0, 0, 0])::BIGINT AS broken")
+@query(f"""WITH {TRIALS}, sides AS (SELECT enrol AS r, speaker_a AS s, split FROM tr UNION ALL SELECT test, speaker_b, split FROM tr)
+  SELECT 'self_pair' AS rule, count_if(enrol = test)::BIGINT AS broken FROM tr UNION ALL SELECT 'wrong_label', count_if((label = 1) <> (speaker_a = speaker_b))::BIGINT FROM tr
+  UNION ALL SELECT 'two_speakers', count(*) FROM (SELECT r FROM sides GROUP BY r HAVING count(DISTINCT s) > 1) UNION ALL SELECT 'shared_speaker', count(*) FROM (SELECT s FROM sides GROUP BY s HAVING count(DISTINCT split) > 1)""")
 def trial_integrity(spark, sf_dir):
     return S.trial_problems(trials(spark, sf_dir))
 
@@ -104,7 +106,9 @@ def enroll_profiles(spark, sf_dir):
     return _round(S.centroids(_profiles(spark, sf_dir), "profile_id").select("profile_id", "samples", F.array_max("centroid").alias("largest")), "largest")
 
 
-@query("SELECT vec_id % 25 AS profile_id, vec_id AS recording_id, 'accepted' AS outcome FROM embeddings")
+@query("""WITH r AS (SELECT vec_id % 25 AS p, vec_id AS i, embedding AS e, embedding::DOUBLE[] AS v FROM embeddings),
+  w AS (SELECT b.p, b.i, count_if(a.e = b.e) AS equal, count_if(list_cosine_similarity(a.v, b.v) >= 0.99999) AS near FROM r b LEFT JOIN r a ON a.p = b.p AND a.i < b.i GROUP BY 1, 2)
+  SELECT p AS profile_id, i AS recording_id, CASE WHEN equal > 0 THEN 'duplicate' WHEN near > 0 THEN 'near_duplicate' ELSE 'accepted' END AS outcome FROM w""")
 def enrolment_outcomes(spark, sf_dir):
     return _profiles(spark, sf_dir).select("profile_id", "recording_id", "outcome")
 
@@ -127,17 +131,20 @@ def speaker_sample_quality(spark, sf_dir):
 
 # ---- privacy, audit, decisions
 
-_JSON = "ev AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{\"user_email\":\"x\"}' WHEN 1 THEN '{\"note\":\"a.b@c.org\"}' WHEN 2 THEN '{\"v\":\"+49 170 1234567\"}' WHEN 3 THEN '{\"score_ms\":\"12\"}' ELSE '{\"v\":\"[' || array_to_string(range(40), ',') || ']\"}' END AS j FROM events)"
+_DETAILS = (
+    '{"contact":{"customer_email":"x"}}', '{"notes":[{"text":"a.b@c.org"}]}', '{"v":{"w":"+49 170 1234567"}}', '{"audio_ms":"12","path":"see /home/u1/x.wav now"}',
+    '{"v":{"series":[' + ",".join(map(str, range(40))) + "]}}", '{"sample_rate_hz":16000,"name":"mel"}',
+)
 
 
 def _json(spark, sf_dir):
-    i = F.col("event_id") % 5
-    numbers = ",".join(map(str, range(40)))
-    j = F.when(i == 0, '{"user_email":"x"}').when(i == 1, '{"note":"a.b@c.org"}').when(i == 2, '{"v":"+49 170 1234567"}').when(i == 3, '{"score_ms":"12"}').otherwise('{"v":"[' + numbers + ']"}')
+    """The metadata of each event: its type, its props and a detail of one of six kinds, some of them nested."""
+    detail = F.element_at(F.array(*map(F.lit, _DETAILS)), (F.col("event_id") % 6 + 1).cast("int"))
+    j = F.concat(F.lit('{"event":"'), "event_type", F.lit('","props":'), "props", F.lit(',"detail":'), detail, F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", j.alias("j"))
 
 
-@query(f"WITH {_JSON} SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'forbidden_key' WHEN 1 THEN 'identifier_value' WHEN 2 THEN 'identifier_value' WHEN 4 THEN 'long_sequence' END AS problem FROM ev")
+@query("SELECT event_id, CASE WHEN regexp_matches(props, '\"[^\"]*(email|phone|audio)') THEN 'forbidden_key' ELSE ['forbidden_key', 'identifier_value', 'identifier_value', 'forbidden_key', 'long_sequence', NULL][event_id % 6 + 1] END AS problem FROM events")
 def identifier_screen(spark, sf_dir):
     return P.screen(_json(spark, sf_dir), "j").select("event_id", "problem")
 
@@ -145,12 +152,13 @@ def identifier_screen(spark, sf_dir):
 @query(r"""SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS email, regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') AS ssn FROM documents""")
 def document_screen(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(P.SHAPES["email"]).alias("email"), t.rlike(P.SHAPES["ssn"]).alias("ssn"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(P.TEXT_SHAPES["email"]).alias("email"), t.rlike(P.TEXT_SHAPES["ssn"]).alias("ssn"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[redacted]' WHEN 1 THEN '[email]' WHEN 2 THEN '[phone]' WHEN 3 THEN '12' ELSE '[' || array_to_string(range(40), ',') || ']' END AS scrubbed FROM events")
+@query("""SELECT event_id, '{"event":"' || event_type || '","props":' || replace(props, ' ', '') || ',"detail":' || ['{"contact":{"customer_email":"[redacted]"}}', '{"notes":[{"text":"[redacted]"}]}', '{"v":{"w":"[redacted]"}}',
+  '{"audio_ms":"12","path":"see [redacted] now"}', '{"v":{"series":"[list len=40 redacted]"}}', '{"sample_rate_hz":16000,"name":"mel"}'][event_id % 6 + 1] || '}' AS scrubbed FROM events""")
 def scrubbed_metadata(spark, sf_dir):
-    return _json(spark, sf_dir).select("event_id", F.map_values(P.scrub(P.flat_entries(F.col("j"))))[0].alias("scrubbed"))
+    return _json(spark, sf_dir).select("event_id", P.scrub(F.col("j")).alias("scrubbed"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12)) END AS session_id FROM (SELECT event_id, md5(event_id::VARCHAR) AS h FROM events)")

@@ -12,6 +12,7 @@ from speechlake.operators import splitting as S
 from speechlake.operators import training as T
 from speechlake.plans.registry import RECORDS, query, records, scored, table
 from speechlake.plans.signal_queries import CLEAN, cleaned
+from speechlake.sources.shared import new_path, written
 from speechlake.streaming import jobs, windows
 
 SIZE, HOP = 10, 5
@@ -114,11 +115,29 @@ def user_scorer(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("WITH e AS (SELECT vec_id, least(1.0, abs(embedding[1]::DOUBLE) * 2) AS s FROM embeddings) SELECT count(*) = 0 AS broken, 0::BIGINT AS unmatched, true AS match FROM e")
+@query("SELECT count(*) AS n, 0::BIGINT AS unmatched, 0::BIGINT AS other_flags, true AS match, true AS refused FROM embeddings WHERE vec_id % 10 >= 8")
 def rescore_artifact(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    runs = [T.score_with(rows, lambda b: (b["x"].abs() * 2).clip(upper=1.0), "v1", "vec_id") for _ in range(2)]
-    return M.scores_match(runs[0], runs[1], "vec_id").select((F.col("largest") > 0).alias("broken"), "unmatched", "match")
+    """Fit, save, load and rescore: the loaded artefact gives the scores and flags of the fitted one, and refuses another spec."""
+    rows = _examples(spark, sf_dir)
+    ready = T.with_features(rows, "embedding")
+    model = T.fit_logistic(ready.where("split = 'train'"))
+    dev = T.scores(model, ready.where("split = 'dev'"))
+    fitted = T.fit_calibrator(dev)
+    points = M.operating_points(dev.withColumn("score", fitted.apply(F.col("score"))))
+    spec = {"vector": "embedding", "size": 64}
+    made = T.Artifact(model, fitted, M.select_threshold(points, "eer").first().threshold, spec)
+    path = new_path(spark, "artifact")
+    T.save_artifact(spark, made, path)
+    try:
+        T.load_artifact(spark, path, spec | {"size": 32})
+        refused = False
+    except ValueError:
+        refused = True
+    test = rows.where("split = 'test'").select("vec_id", "embedding")
+    first, second = (written(T.rescore(x, test, "embedding").select("vec_id", "score", "flagged"), "rescored") for x in (made, T.load_artifact(spark, path, spec)))
+    flags = first.join(second.select("vec_id", F.col("flagged").alias("_f")), "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("flagged") != F.col("_f")).alias("other_flags"))
+    match = M.scores_match(first, second, "vec_id").select("unmatched", "match")
+    return flags.crossJoin(F.broadcast(match)).withColumn("refused", F.lit(refused))  # one row each
 
 
 # ---- jobs

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, with its scheme; a temporary one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, with its scheme; a temporary one of our own only on a local master with none set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = context._jsc.sc().getCheckpointDir().get()
     path = context._jvm.org.apache.hadoop.fs.Path(folder)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from speechlake.functions import records as R
 from speechlake.functions.components import connected_components
 from speechlake.functions.prefix import prefix_sums
+from speechlake.functions.ranking import range_bucket
 from speechlake.functions.successors import successors
 from speechlake.operators import baselines as B
 from speechlake.operators import corpus as C
 from speechlake.operators import metrics as M
+from speechlake.operators import privacy
 from speechlake.operators import speaker as S
 from speechlake.operators import splitting as P
 from speechlake.operators import training as T
@@ -210,3 +212,65 @@ def test_near_equal_samples_match_a_plain_fold(spark):
     out = S.accepted_samples(spark.createDataFrame(rows, "p int, s int, v array<double>"), "p", "s", "v")
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert {r.s: r.outcome for r in out.collect()} == want and len(set(want.values())) == 2
+
+
+def test_screening_sees_every_level(spark):
+    rows = {
+        '{"a":{"email":"x"}}': "forbidden_key", '{"a":[{"phone":"n"}]}': "forbidden_key", '{"a":[[{"pcm":1}]]}': "forbidden_key", '{"Customer_Name":1}': "forbidden_key",
+        '{"sample_rate_hz":16000,"name":"mel","address":"here"}': None, '{"telephone":"x","iban_":"y"}': "forbidden_key", '{"a":{"b":["a@b.org"]}}': "identifier_value", '{"a":"write to a@b.org"}': None,
+        '{"a":" 123-45-6789 "}': "identifier_value", '{"a":"(555) 123-4567"}': "identifier_value", '{"a":"DE89370400440532013000"}': "identifier_value",
+        '{"a":"say \\"email\\": x"}': None, '{"a":[' + ",".join(["1.5"] * 33) + "]}": "long_sequence", '{"a":[' + ",".join(["1"] * 32) + "]}": None,
+        '{"a":{"b":[[' + ",".join(["-1e-3"] * 5000) + "]]}}": "long_sequence", '{"a":"[1,2]"}': None, "{}": None, "no json": "not_json", None: None,
+    }
+    got = {r.j: r.problem for r in privacy.screen(spark.createDataFrame([(j,) for j in rows], "j string"), "j").collect()}
+    assert got == rows
+
+
+def test_scrubbing_sees_every_level(spark):
+    rows = {
+        '{"a": {"email": {"x": 1}}, "audio_seconds": 3}': '{"a":{"email":"[redacted]"},"audio_seconds":3}', '{"a": [{"t": "a@b.org"}, "/home/me/x y"]}': '{"a":[{"t":"[redacted]"},"[redacted] y"]}',
+        '{"a": ' + str(list(range(33))) + "}": '{"a":"[list len=33 redacted]"}', "[[[[[[[[1]]]]]]]]": '[[[[[[["[truncated]"]]]]]]]', "no json": '"[redacted]"', None: None, '{"é": null}': '{"é":null}',
+    }
+    got = {r.j: r.s for r in spark.createDataFrame([(j,) for j in rows], "j string").select("j", privacy.scrub(F.col("j")).alias("s")).collect()}
+    assert got == rows
+
+
+def test_running_sums_of_several_values_and_buckets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", None]), float(rng.randint(-50, 50)), rng.randint(1, 5), 1) for _ in range(900)] + [("a", None, 7, 7)]
+    df = spark.createDataFrame(rows, "k string, o double, v int, w int")
+    for down in (True, False):
+        got = prefix_sums(df, ["k"], "o", ["v", "w"], descending=down, width=7).collect()
+        known = [r for r in rows if r[1] is not None]
+        assert len(got) == len({r[:2] for r in known})
+        for r in got:
+            part = [x for x in known if x[0] == r.k and (x[1] >= r.o if down else x[1] <= r.o)]
+            assert (r.cum_v, r.cum_w) == (sum(x[2] for x in part), len(part))
+
+
+def test_fill_in_the_order_of_dates(spark):
+    rows = [(f"g{i}", 1, False, f"2024{i % 12 + 1:02d}01000000") for i in range(240)]
+    got = {r.grp: r.split for r in P.capacity_fill(spark.createDataFrame(rows, "grp string, size long, pinned boolean, key string"), "key").collect()}
+    ordered = [got[g] for g, _, _, _ in sorted(rows, key=lambda r: (r[3], r[0]))]
+    assert ordered == ["train"] * 168 + ["dev"] * 36 + ["test"] * 36
+
+
+def test_range_buckets(spark):
+    cuts = [3, 7, 8, 20, 21, 40, 41]
+    got = [r.b for r in spark.range(50).select(range_bucket(F.col("id"), cuts).alias("b")).collect()]
+    assert got == [sum(c < i for c in cuts) for i in range(50)] and spark.range(1).select(range_bucket(F.col("id"), []).alias("b")).first().b == 0
+
+
+def test_artifacts_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([([float(i % 7), float(i % 3)], int(i % 7 > 3), i) for i in range(120)], "v array<double>, label int, i long")
+    ready = T.with_features(rows, "v")
+    model = T.fit_logistic(ready)
+    on = T.scores(model, ready)
+    for kind in ("platt", "isotonic"):
+        made = T.Artifact(model, T.fit_calibrator(on, kind), 0.5, {"size": 2})
+        T.save_artifact(spark, made, f"file://{tmp_path}/{kind}")
+        back = T.load_artifact(spark, f"file://{tmp_path}/{kind}", {"size": 2})
+        want, got = ({r.i: (r.score, r.flagged) for r in T.rescore(x, rows, "v").collect()} for x in (made, back))
+        assert want == got and back.calibrator.kind == kind
+        with pytest.raises(ValueError):
+            T.load_artifact(spark, f"file://{tmp_path}/{kind}", {"size": 3})

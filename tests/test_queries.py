@@ -37,9 +37,6 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    # these state the outcome that sf0.01 and larger tables have
-    if SF.endswith("sf0.001") and name in ("leakage_gate", "split_guards", "enrolment_outcomes", "trial_integrity"):
-        pytest.skip("its SQL holds from sf0.01 on")
     got = QUERIES[name](spark, SF)
     want = duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
