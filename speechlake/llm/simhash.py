@@ -54,13 +54,14 @@ def likeness(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
     return 1 - (F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))) / 128
 
 
-def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, block: int = 256) -> DataFrame:
     """(hi, lo, n_near): each distinct fingerprint and how many others differ in at most `radius` bits.
 
     Of radius + 2 blocks of bits, as many changes leave two alone at least. So a table for each pair of
     blocks, keyed by their bits, brings together all that can be near; each pair is then compared whole,
-    and counted in the table of the first two blocks that it has in common. Pairs are added up where they
-    are found, a row per fingerprint and task, and never given out; equal fingerprints are one.
+    and counted in the table of the first two blocks that it has in common. Fingerprints that share a key
+    lie in arrays of at most `block`; each two arrays of a key meet in one row, which counts inside and gives
+    a count per fingerprint, so pairs are never rows. Equal fingerprints are one.
     """
     if not 0 <= radius <= 62:
         raise ValueError("radius must be 0 to 62")
@@ -73,18 +74,35 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = list(combinations(range(k), 2))
     keys = F.array(*[F.xxhash64(F.lit(n), bits(F.col(blocks[i][0]), *blocks[i][1:]), bits(F.col(blocks[j][0]), *blocks[j][1:])) for n, (i, j) in enumerate(tables)])
     keyed = distinct.select("hi", "lo", F.posexplode(keys).alias("_t", "_key"))
-    x, y = keyed.alias("x"), keyed.alias("y")  # one plan, so that Spark shuffles it once
-    other = {h: F.col(f"x.{h}").bitwiseXOR(F.col(f"y.{h}")) for h in ("hi", "lo")}
-    differ = F.bit_count(other["hi"]) + F.bit_count(other["lo"])
-    same = F.lit(0).cast("long")
-    for i, (h, low, width) in enumerate(blocks):
-        same = same.bitwiseOR(F.when(bits(other[h], low, width) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    second = same.bitwiseAND(same - 1)  # without the first block in common
-    first_two = same.bitwiseXOR(second.bitwiseAND(second - 1))
-    mine = F.get(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), F.col("x._t"))
-    near = (F.col("x._key") == F.col("y._key")) & (F.col("x._t") == F.col("y._t")) & (differ > 0) & (differ <= radius) & (first_two == mine)
-    counts = x.join(y, near).groupBy(F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"))
-    return distinct.join(counts, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    place = F.row_number().over(W.partitionBy("_t", "_key").orderBy("hi", "lo")) - 1
+    dealt = keyed.withColumn("_block", F.floor(place / block)).groupBy("_t", "_key", "_block").agg(F.collect_list(F.struct("hi", "lo")).alias("prints"))
+    dealt = written(dealt.where("_block > 0 or size(prints) > 1"), "blocks")  # a first block of one is alone
+    others = dealt.select("_t", "_key", F.col("prints").alias("others"))
+    tops = {h: [min(low + width - 1, 62) for half, low, width in blocks if half == h] for h in ("hi", "lo")}
+    top = [(h, t) for h in ("hi", "lo") for t in tops[h]]  # the highest bit of each block
+    upto = {h: [sum(1 << t for g, t in top[: j + 1] if g == h) for _, j in tables] for h in ("hi", "lo")}
+    own = {h: [sum(1 << t for g, t in (top[i], top[j]) if g == h) for i, j in tables] for h in ("hi", "lo")}
+
+    def equal_blocks(other: Column, h: str) -> Column:
+        """The highest bit of each block in which two fingerprints, whose exclusive or this is, are equal."""
+        high = sum(1 << t for t in tops[h])
+        rest = 2**63 - 1 - high
+        folded = other.bitwiseAND(2**63 - 1).bitwiseOR(F.shiftrightunsigned(other, 1).bitwiseAND(1 << 62))  # sums stay below 2**63
+        return F.bitwise_not((folded.bitwiseAND(rest) + rest).bitwiseOR(folded)).bitwiseAND(high)
+
+    def near(x: Column, y: Column) -> Column:
+        other = {h: x[h].bitwiseXOR(y[h]) for h in ("hi", "lo")}
+        out = F.bit_count(other["hi"]) + F.bit_count(other["lo"]) <= radius
+        for h in ("hi", "lo"):
+            out = out & (equal_blocks(other[h], h).bitwiseAND(F.col(f"_upto_{h}")) == F.col(f"_own_{h}"))
+        return out & ((x["hi"] != y["hi"]) | (x["lo"] != y["lo"]))
+
+    met = dealt.join(others, ["_t", "_key"])
+    met = met.withColumns({f"_{n}_{h}": F.get(F.lit(of[h]).cast("array<bigint>"), F.col("_t")) for n, of in (("upto", upto), ("own", own)) for h in ("hi", "lo")})
+    counted = F.transform("prints", lambda x: F.struct(x["hi"].alias("hi"), x["lo"].alias("lo"), F.size(F.filter("others", lambda y: near(x, y))).alias("n")))
+    found = met.select(F.explode(F.filter(counted, lambda c: c["n"] > 0)).alias("c")).select("c.*")
+    counts = found.groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))
+    return distinct.join(counts, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def with_next(docs: DataFrame, width: int = 1024, most: int = 4096) -> DataFrame:

@@ -385,7 +385,7 @@ def test_near_fingerprints_of_any_radius(spark, radius):
     every = sorted({b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 8))) for b in base for _ in range(12)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in every]
-    got = {(r.hi, r.lo): r.n_near for r in near_fingerprints(spark.createDataFrame(rows, "hi long, lo long"), radius).collect()}
+    got = {(r.hi, r.lo): r.n_near for r in near_fingerprints(spark.createDataFrame(rows, "hi long, lo long"), radius, block=3).collect()}
     assert got == {k: sum(0 < bin(x ^ y).count("1") <= radius for y in every) for k, x in zip(rows, every, strict=True)}
 
 
