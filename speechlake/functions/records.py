@@ -5,13 +5,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that stand for a missing value, and the attack families.
+# Words that stand for a missing value, attack families, generators, and folder names of corpora.
 NULL_TOKENS = ("-", "--", "n/a", "na", "none", "null", "nan", "", "unknown")
 FAMILIES = {
-    "vocoder": ("melgan", "parallel_wavegan", "multi_band_melgan", "full_band_melgan", "hifigan", "waveglow"),
-    "neural_waveform": ("a07", "a08", "a09", "a10", "a11", "a12", "wavenet"),
-    "tts": ("tts", "tacotron", "fastspeech", "vits"),
+    "vocoder": ("melgan", "melgan2", "parallel_wavegan", "waveglow", "hi_fi_gan", "wavemul"),
+    "neural_waveform": tuple(f"a{i:02d}" for i in range(1, 18)),
+    "tts": ("tacotron2", "fastspeech", "fastspeech2", "wave_tts", "vits", "ljspeech_vits"),
 }
+GENERATORS = ("melgan", "melgan2", "full_band", "parallel_wavegan", "waveglow", "hi_fi_gan", "wavemul")
+ORIGINAL_FOLDERS = ("orig", "original", "real", "bona")
+GENERATED_FOLDERS = ("gen", "generated", "fake", "spoof")
+SPLIT_FOLDERS = ("train", "dev", "valid", "validation", "eval", "test")
 RATIO = 1e-12
 
 
@@ -69,6 +73,66 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
+
+def folders(parts: Column) -> Column:
+    """The parts of a path but for the file name, in lower case."""
+    return F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)
+
+
+def stem(parts: Column) -> Column:
+    """The file name of a path without its last suffix."""
+    return F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"(?<=.)\.[^.]*$", "")
+
+
+def _first(parts: Column, test) -> Column:
+    return F.get(F.filter(parts, test), F.lit(0))
+
+
+def folder_label(parts: Column) -> Column:
+    """bona_fide or spoof by the first folder, at any depth, that names originals or generated files, else unknown."""
+    found = _first(folders(parts), lambda x: x.isin(*ORIGINAL_FOLDERS, *GENERATED_FOLDERS))
+    return F.when(found.isin(*ORIGINAL_FOLDERS), "bona_fide").when(found.isin(*GENERATED_FOLDERS), "spoof").otherwise("unknown")
+
+
+def generator_name(name: Column) -> Column:
+    """One spelling per generator: the known one whose letters and digits agree, else lower case joined by underscores."""
+    letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+    same = _first(F.array(*[F.lit(g) for g in GENERATORS]), lambda g: letters(g) == letters(name))
+    other = F.regexp_replace(F.lower(F.trim(name)), r"[\s.-]+", "_")
+    return F.when(known(name).isNull() | (letters(name) == ""), "unknown").otherwise(F.coalesce(same, other))
+
+
+def folder_generator(parts: Column) -> Column:
+    """The folder below the first one of generated files that has one below it; unknown for originals."""
+    inner = folders(parts)
+    below = F.transform(inner, lambda x, i: F.struct(x.alias("at"), F.get(inner, i + 1).alias("below")))
+    name = _first(below, lambda x: x["at"].isin(*GENERATED_FOLDERS) & x["below"].isNotNull())["below"]
+    return F.when((folder_label(parts) == "spoof") & name.isNotNull(), generator_name(name)).otherwise("unknown")
+
+
+def folder_split(parts: Column) -> Column:
+    """The split that the corpus itself published, as provenance only; unknown if there is none."""
+    return F.coalesce(_first(folders(parts), lambda x: x.isin(*SPLIT_FOLDERS)), F.lit("unknown"))
+
+
+def folder_language(parts: Column, locale: bool = False) -> Column:
+    """The first folder of two letters (with locale, a region may follow), else unknown."""
+    pattern = "^[a-z]{2}([-_][a-z]{2,4})?$" if locale else "^[a-z]{2}$"
+    return F.coalesce(_first(folders(parts), lambda x: x.rlike(pattern)), F.lit("unknown"))
+
+
+def stem_speaker(parts: Column, pattern: str = r"^([A-Za-z]{2}\d+)(?=[-_])") -> Column:
+    """The first group of the pattern in the file's stem, else unknown."""
+    return F.coalesce(F.nullif(F.regexp_extract(stem(parts), pattern, 1), F.lit("")), F.lit("unknown"))
+
+
+def reading(parts: Column) -> Column:
+    """(speaker, chapter, parent) of <speaker>/<chapter>/<file>: the first two folders of digits; unknown and a null parent without."""
+    numbers = F.filter(folders(parts), lambda x: x.rlike(r"^\d+$"))
+    speaker, chapter = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+    return F.struct(F.coalesce(speaker, F.lit("unknown")).alias("speaker"), F.coalesce(chapter, F.lit("unknown")).alias("chapter"), F.concat(speaker, F.lit("-"), chapter).alias("parent"))
+
+
 def hash_uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on the parts alone: the first 13 hexadecimal digits of their SHA-256."""
     text = F.concat_ws("|", *parts)

@@ -34,10 +34,11 @@ def mark_duplicates(records: DataFrame, content: str = "file_hash") -> DataFrame
     return out.withColumns({"keeper": keeper, "group_size": F.coalesce("group_size", F.lit(1)), "is_kept": F.col("sample_id") == keeper})
 
 
-def validate(records: DataFrame, required: Sequence[str] = ("speaker",), max_bytes: int = 20_000, least: float = 2.0, most: float = 60.0, least_ratio: float = 0.1) -> DataFrame:
+def validate(records: DataFrame, required: Sequence[str] = ("speaker",), max_bytes: int = 20_000, least: float = 2.0, most: float = 60.0, least_ratio: float = 0.1, reject_warnings: bool = False) -> DataFrame:
     """Add code and reason: the first check that a record fails, in a fixed order; both null if it passes.
 
-    Needs file_bytes, duration_s, speech_s and usable (boolean).
+    Needs file_bytes, duration_s, speech_s and usable (boolean); with reject_warnings also warnings, an
+    array of the names of quality issues, of which any one rejects the record.
     """
     missing = any_of(*[known(F.col(c)).isNull() for c in required])
     ratio = F.col("speech_s") / F.col("duration_s")
@@ -50,6 +51,8 @@ def validate(records: DataFrame, required: Sequence[str] = ("speaker",), max_byt
         ("unusable_signal", ~F.col("usable"), F.lit("the signal cannot be used")),
         ("no_speech", ratio < least_ratio, F.concat(number(ratio), F.lit(f" speech, at least {least_ratio:.2f}"))),
     )
+    if reject_warnings:
+        checks += (("quality_warning", F.size("warnings") > 0, F.concat(F.lit("quality issues: "), F.array_join("warnings", ", "))),)
     fails = [(name, F.coalesce(c, F.lit(False)), text) for name, c, text in checks]
     code = F.coalesce(*[F.when(c, F.lit(name)) for name, c, _ in fails])
     reason = F.coalesce(*[F.when(c, text) for _, c, text in fails])
@@ -107,6 +110,43 @@ def boundaries(samples: DataFrame, source: str = "parent_id") -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(f"{a}->test").alias("boundary"), F.col(a).alias("shared")) for a in ("train", "dev")])).alias("b")).select("b.*")
 
 
+def gate_report(samples: DataFrame, required: Sequence[str], axes: Sequence[str] = AXES, fail_on_unavailable: bool = False, least_test_sources: int = 1, source: str = "parent_id") -> DataFrame:
+    """(kind, subject, detail): every failure and warning of a split corpus, and one row of kind gate, which says passed or failed.
+
+    Failures are required axes that leak (or are unavailable, with fail_on_unavailable), sources shared with
+    test, fewer sources in test than the least, and rows without a split. Warnings are optional axes that leak
+    and required ones that are unavailable where that does not fail. An empty table fails by its test sources.
+    """
+    needed, leak, absent = F.col("axis").isin(*required), F.col("leaks") > 0, ~F.col("available")
+    unavailable = "failure" if fail_on_unavailable else "warning"
+    kind = F.when(leak, F.when(needed, "failure").otherwise("warning")).when(needed & absent, unavailable)
+    detail = F.when(leak, F.concat("leaks", F.lit(" values in more than one split"))).otherwise("no known values")
+    asked = list(axes) + [a for a in required if a not in axes]
+    by_axis = check_leakage(samples, asked).select(kind.alias("kind"), F.col("axis").alias("subject"), detail.alias("detail")).where("kind is not null")
+    shared = boundaries(samples, source).where("shared > 0")
+    shared = shared.select(F.lit("failure").alias("kind"), F.col("boundary").alias("subject"), F.concat("shared", F.lit(" sources on both sides")).alias("detail"))
+    in_test = samples.where("split = 'test'").select(source).distinct().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least_test_sources)
+    in_test = in_test.select(F.lit("failure"), F.lit("test_sources"), F.concat("n", F.lit(f" sources, at least {least_test_sources}")))
+    stray = samples.where("split is null").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    stray = stray.select(F.lit("failure"), F.lit("split"), F.concat("n", F.lit(" rows without a split")))
+    found = written(by_axis.union(shared).union(in_test).union(stray), "gate")
+    final = found.agg(F.count_if(F.col("kind") == "failure").alias("n"))
+    return found.union(final.select(F.lit("gate"), F.when(F.col("n") == 0, "passed").otherwise("failed"), F.concat("n", F.lit(" failures"))))
+
+
+def assert_gates(report: DataFrame) -> None:
+    """Raise ValueError naming the failures of a gate_report, of which there is one per axis or boundary at most."""
+    failed = [f"{r.subject}: {r.detail}" for r in report.where("kind = 'failure'").orderBy("subject").collect()]
+    if failed:
+        raise ValueError("the gate failed: " + "; ".join(failed))
+
+
+def assigned(samples: DataFrame, assignments: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples with the split that assignments (key, split) give them; a sample without one is an error when the rows are read."""
+    split = F.coalesce("split", F.raise_error(F.concat(F.lit("no split is assigned to "), F.coalesce(key, F.lit("a null id")))).cast("string"))
+    return samples.drop("split").join(assignments.select(key, "split"), key, "left").withColumn("split", split)
+
+
 def manifest_problems(samples: DataFrame) -> DataFrame:
     """(rule, rows): how many rows or groups break each rule of a manifest."""
     ids = samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))

@@ -99,10 +99,10 @@ def namespace_speaker(spark, sf_dir):
     return records(spark, sf_dir).select("dataset_id", "sample_id", once.alias("s")).select("sample_id", R.namespaced(F.col("dataset_id"), F.col("s")).alias("speaker_id"))
 
 
-@query(f"""WITH {RECORDS} SELECT sample_id, CASE doc_id % 5 WHEN 0 THEN 'vocoder' WHEN 1 THEN 'neural_waveform' WHEN 2 THEN 'tts' WHEN 3 THEN 'unclassified' END AS family, (label = 'spoof')::INT AS label_index FROM rec""")
+@query(f"""WITH {RECORDS} SELECT sample_id, CASE doc_id % 7 WHEN 0 THEN 'vocoder' WHEN 1 THEN 'neural_waveform' WHEN 2 THEN 'tts' WHEN 3 THEN 'unclassified' WHEN 4 THEN 'neural_waveform' WHEN 5 THEN 'tts' END AS family, (label = 'spoof')::INT AS label_index FROM rec""")
 def labels_and_families(spark, sf_dir):
-    i = F.col("doc_id") % 5
-    attack = F.when(i == 0, " HifiGAN").when(i == 1, "A07").when(i == 2, "vits").when(i == 3, "A99")
+    i = F.col("doc_id") % 7
+    attack = F.when(i == 0, " Hi_Fi_GAN").when(i == 1, "A07").when(i == 2, "vits").when(i == 3, "A99").when(i == 4, "a17").when(i == 5, "Tacotron2")
     return records(spark, sf_dir).select("sample_id", R.attack_family(attack).alias("family"), R.label_index(F.upper("label")).alias("label_index"))
 
 
@@ -118,6 +118,24 @@ def path_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.get(parts, F.lit(0)).alias("language"), F.try_element_at(parts, F.lit(-1)).alias("stem"), F.size(parts).alias("depth"))
 
 
+@query(f"""WITH {RECORDS} SELECT sample_id, label, CASE WHEN label = 'spoof' THEN CASE doc_id % 3 WHEN 0 THEN 'hi_fi_gan' WHEN 1 THEN 'parallel_wavegan' ELSE 'new_one' END ELSE 'unknown' END AS generator,
+  split AS source_split, coalesce(language, 'unknown') AS language, CASE WHEN doc_id % 2 = 0 THEN 'LJ' || (doc_id % 50) ELSE 'unknown' END AS speaker, (doc_id % 97)::VARCHAR AS reader, (doc_id // 3)::VARCHAR AS chapter, (doc_id % 97) || '-' || (doc_id // 3) AS parent FROM rec""")
+def layout_fields(spark, sf_dir):
+    """Each document's file in the folders that corpora use, and the fields read from that path again."""
+    i = F.col("doc_id")
+    made = F.when(i % 3 == 0, "HiFi-GAN").when(i % 3 == 1, "Parallel.WaveGAN").otherwise("New One")
+    name = F.concat(F.when(i % 2 == 0, F.concat(F.lit("LJ"), i % 50, F.lit("-"))).otherwise(""), i, F.lit(".x.wav"))
+    folder = F.when(F.col("label") == "spoof", F.concat(F.lit("Gen/"), made)).otherwise("orig")
+    path = F.concat_ws("/", "split", folder, "language", (i % 97).cast("string"), F.floor(i / 3).cast("string"), name)
+    r = records(spark, sf_dir).select("sample_id", R.path_parts(path).alias("parts"))
+    p = F.col("parts")
+    read = R.reading(p)
+    return r.select(
+        "sample_id", R.folder_label(p).alias("label"), R.folder_generator(p).alias("generator"), R.folder_split(p).alias("source_split"), R.folder_language(p).alias("language"),
+        R.stem_speaker(p).alias("speaker"), read["speaker"].alias("reader"), read["chapter"].alias("chapter"), read["parent"].alias("parent"),
+    )
+
+
 @query("""WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'bona_fide' WHEN 1 THEN 'spoof' ELSE 'unknown' END AS a, CASE doc_id % 4 WHEN 0 THEN 'bona_fide' WHEN 1 THEN 'spoof' ELSE 'unknown' END AS b FROM documents)
   SELECT doc_id, CASE WHEN a = b THEN a WHEN a = 'unknown' THEN b WHEN b = 'unknown' THEN a ELSE 'unknown' END AS label FROM a""")
 def reconcile_labels(spark, sf_dir):
@@ -224,7 +242,8 @@ def incremental_sources(spark, sf_dir):
 @query(f"WITH {RECORDS} SELECT s.sample_id, a.split FROM rec s LEFT JOIN (SELECT sample_id, split FROM rec WHERE doc_id % 19 <> 0) a USING (sample_id) WHERE a.split IS NOT NULL")
 def assignment_join(spark, sf_dir):
     r = records(spark, sf_dir)
-    return r.select("sample_id").join(r.where(F.col("doc_id") % 19 != 0).select("sample_id", "split"), "sample_id")
+    some = r.where(F.col("doc_id") % 19 != 0).select("sample_id", "split")
+    return C.assigned(r.select("sample_id").join(some, "sample_id", "left_semi"), some)
 
 
 @query("""WITH f AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS band FROM embeddings)
@@ -270,6 +289,16 @@ def validate_all_measurements(spark, sf_dir):
     return _validated(spark, sf_dir).select("sample_id", "code", "reason")
 
 
+@query(f"""WITH {_MEASURED}, w AS (SELECT *, list_filter([CASE WHEN doc_id % 6 = 0 THEN 'clipping' END, CASE WHEN doc_id % 4 = 0 THEN 'low_snr' END], lambda x: x IS NOT NULL) AS warnings FROM va)
+  SELECT sample_id, coalesce(code, CASE WHEN len(warnings) > 0 THEN 'quality_warning' END) AS code, CASE WHEN code IS NULL AND len(warnings) > 0 THEN 'quality issues: ' || array_to_string(warnings, ', ') END AS warned FROM w""")
+def validate_with_warnings(spark, sf_dir):
+    """Every record, where quality issues reject those that pass the other checks."""
+    i = F.col("doc_id")
+    issues = F.filter(F.array(F.when(i % 6 == 0, "clipping"), F.when(i % 4 == 0, "low_snr")), lambda x: x.isNotNull())
+    v = C.validate(_validated(spark, sf_dir).drop("code", "reason").withColumn("warnings", issues), reject_warnings=True)
+    return v.select("sample_id", "code", F.when(F.col("code") == "quality_warning", F.col("reason")).alias("warned"))
+
+
 _DEDUPED = _MEASURED + """, de AS (SELECT *, CASE WHEN code IS NULL AND sample_id > min(sample_id) FILTER (code IS NULL) OVER (PARTITION BY file_hash) THEN 'duplicate' ELSE code END AS final FROM va)"""
 
 
@@ -326,6 +355,19 @@ def evaluation_boundaries(spark, sf_dir):
     return C.boundaries(records(spark, sf_dir))
 
 
+@query(f"""WITH {RECORDS}, ax AS (SELECT split, unnest(['speaker', 'session', 'language', 'device']) AS axis, unnest([speaker, session, language, device]) AS value FROM rec),
+  v AS (SELECT axis, count(DISTINCT split) > 1 AS leak FROM ax WHERE value IS NOT NULL GROUP BY axis, value), g AS (SELECT axis, count_if(leak) AS leaks FROM v GROUP BY 1),
+  a AS (SELECT axis, coalesce(leaks, 0) AS leaks, leaks IS NULL AS absent, axis IN ('speaker', 'session') AS needed FROM (SELECT DISTINCT axis FROM ax) LEFT JOIN g USING (axis)),
+  p AS (SELECT parent_id, bool_or(split = 'train') AS a, bool_or(split = 'dev') AS b, bool_or(split = 'test') AS t FROM rec GROUP BY 1),
+  f AS (SELECT CASE WHEN leaks > 0 AND needed THEN 'failure' ELSE 'warning' END AS kind, axis AS subject, CASE WHEN leaks > 0 THEN leaks || ' values in more than one split' ELSE 'no known values' END AS detail FROM a WHERE leaks > 0 OR (needed AND absent)
+    UNION ALL SELECT 'failure', 'train->test', count(*) || ' sources on both sides' FROM p WHERE a AND t HAVING count(*) > 0
+    UNION ALL SELECT 'failure', 'dev->test', count(*) || ' sources on both sides' FROM p WHERE b AND t HAVING count(*) > 0
+    UNION ALL SELECT 'failure', 'test_sources', count(*) || ' sources, at least 500' FROM p WHERE t HAVING count(*) < 500)
+  SELECT * FROM f UNION ALL SELECT 'gate', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) || ' failures' FROM f WHERE kind = 'failure'""")
+def gate_report(spark, sf_dir):
+    return C.gate_report(records(spark, sf_dir), ["speaker", "session"], ["speaker", "session", "language", "device"], least_test_sources=500)
+
+
 @query(f"""WITH {RECORDS} SELECT 'duplicate_ids' AS rule, (SELECT count(*) FROM (SELECT sample_id FROM rec GROUP BY 1 HAVING count(*) > 1)) AS rows UNION ALL
   SELECT 'cross_split_content', (SELECT count(*) FROM (SELECT file_hash FROM rec GROUP BY 1 HAVING count(DISTINCT split) > 1)) UNION ALL
   SELECT 'empty', (count(*) = 0)::BIGINT FROM rec UNION ALL SELECT 'stray_split', count_if(split NOT IN ('train', 'dev', 'test'))::BIGINT FROM rec""")

@@ -101,7 +101,7 @@ def test_rejected_copy_does_not_take_the_place(spark):
 
 
 def test_null_tokens_and_families(spark):
-    df = spark.createDataFrame([(" N/A ", "A07"), ("x", "HiFiGAN"), (None, None), ("-", "odd")], "v string, a string")
+    df = spark.createDataFrame([(" N/A ", "A07"), ("x", "Hi_Fi_GAN"), (None, None), ("-", "hifigan")], "v string, a string")
     got = df.select(R.known_or_unknown(F.col("v")), R.attack_family(F.col("a"))).collect()
     assert [tuple(r) for r in got] == [("unknown", "neural_waveform"), ("x", "vocoder"), ("unknown", None), ("unknown", "unclassified")]
 
@@ -274,3 +274,39 @@ def test_artifacts_round_trip(spark, tmp_path):
         assert want == got and back.calibrator.kind == kind
         with pytest.raises(ValueError):
             T.load_artifact(spark, f"file://{tmp_path}/{kind}", {"size": 3})
+
+
+def test_fields_of_odd_paths(spark):
+    paths = ["", "a.wav", "gen/x.wav", "test/Fake/HIFIGAN/en/LJ001-2.wav", "orig/gen/melgan/7/x.flac", "EN-us/real/.wav", "generated/ /x", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string").withColumn("p", R.path_parts(F.col("path")))
+    p = F.col("p")
+    got = df.orderBy("i").select(
+        R.folder_label(p).alias("l"), R.folder_generator(p).alias("g"), R.folder_split(p).alias("s"), R.folder_language(p, locale=True).alias("n"), R.stem_speaker(p).alias("k"), R.reading(p)["speaker"].alias("r")
+    )
+    u = "unknown"
+    assert [tuple(r) for r in got.collect()] == [
+        (u, u, u, u, u, u), (u, u, u, u, u, u), ("spoof", u, u, u, u, u), ("spoof", "hi_fi_gan", "test", "en", "LJ001", u),
+        ("bona_fide", u, u, u, u, "7"), ("bona_fide", u, u, "en-us", u, u), ("spoof", u, u, u, u, u), (u, u, u, u, u, u),
+    ]
+
+
+def test_gate_passes_warns_and_refuses(spark):
+    columns = "parent_id string, speaker string, device string, split string"
+    good = spark.createDataFrame([("p", "s", "d", "train"), ("q", "t", "d", "test")], columns)
+    report = C.gate_report(good, ["speaker"], ["speaker", "device"])
+    assert {tuple(r) for r in report.collect()} == {("warning", "device", "1 values in more than one split"), ("gate", "passed", "0 failures")}
+    C.assert_gates(report)
+    bad = spark.createDataFrame([("p", None, "d", "train"), ("p", None, "d", "test"), ("q", None, None, None)], columns)
+    report = C.gate_report(bad, ["speaker"], ["device"], fail_on_unavailable=True, least_test_sources=2)
+    assert {r.subject for r in report.collect() if r.kind == "failure"} == {"speaker", "train->test", "test_sources", "split"}
+    with pytest.raises(ValueError, match="speaker: no known values"):
+        C.assert_gates(report)
+    assert [r.subject for r in C.gate_report(good.limit(0), [], ["device"]).collect() if r.kind == "gate"] == ["failed"]
+
+
+def test_a_sample_without_assignment_is_refused(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    splits = spark.createDataFrame([("a", "train")], "sample_id string, split string")
+    assert C.assigned(rows.where("sample_id = 'a'"), splits).collect()[0].split == "train"
+    with pytest.raises(Exception, match="no split is assigned to b"):
+        C.assigned(rows, splits).collect()
