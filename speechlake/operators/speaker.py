@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from speechlake.functions.ranking import running_sum
 from speechlake.functions.vectors import cosine, dot, normalized
 from speechlake.sources.shared import written
 
@@ -14,13 +15,34 @@ def trial_id(a: Column, b: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", a, b), 256), 1, 16)
 
 
+def _ring_pairs(first: DataFrame, seed: str, wanted: int) -> DataFrame:
+    """(speaker_a, enrol, speaker_b, test): at least `wanted` pairs of two speakers, or all there are, each once, speaker_a the smaller."""
+    n = first.count()
+    steps = min(n // 2, -(-wanted // n)) if n else 0  # n // 2 steps each way reach every other speaker
+    h = F.sha2(F.concat_ws("|", F.lit(seed), "speaker_id"), 256)
+    places = running_sum(first.select("speaker_id", "enrol", h.alias("_h")), [], F.substring("_h", 1, 3), [F.col("_h")], F.lit(1), "_place")
+    places = written(places.select("speaker_id", "enrol", F.col("_place").cast("long").alias("_place")), "places")
+    ahead = places.select(F.col("speaker_id").alias("_a"), F.col("enrol").alias("_e"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_step"), "_place") if steps else None
+    if ahead is None:
+        return places.limit(0).select(F.col("speaker_id").alias("speaker_a"), "enrol", F.col("speaker_id").alias("speaker_b"), F.col("enrol").alias("test"))
+    ahead = ahead.where((2 * F.col("_step") < n) | (F.col("_place") < F.col("_step")))  # half way round, each pair once
+    met = ahead.withColumn("_place", (F.col("_place") + F.col("_step")) % n).join(places, "_place")
+    ordered = F.array_sort(F.array(F.struct(F.col("_a").alias("s"), F.col("_e").alias("r")), F.struct(F.col("speaker_id").alias("s"), F.col("enrol").alias("r"))))
+    pair = met.select(ordered.alias("p"))
+    side = lambda i, c: F.col("p")[i][c]
+    return pair.select(side(0, "s").alias("speaker_a"), side(0, "r").alias("enrol"), side(1, "s").alias("speaker_b"), side(1, "r").alias("test"))
+
+
 def build_trials(recordings: DataFrame, seed: str = "0", cap: int | None = None) -> DataFrame:
     """(trial_id, enrol, test, speaker_a, speaker_b, label, cross_session) from (recording_id, speaker_id, session).
 
     Genuine: one pair per speaker, across sessions where there is one, of two recordings; a speaker's
     recordings are ordered by hash and the first is paired with the first of another session, so no
     speaker is joined with itself. Impostors: each two speakers by their first recordings; that join runs
-    over one row per speaker. cap halves the trials between the classes by hash.
+    over one row per speaker. cap halves the trials between the classes by hash. Where each two speakers
+    would make more impostors than half the cap, the pairs are sampled before they are joined: speakers
+    stand in a ring by hash, and each meets the next few, as many as half the cap needs, by an equi-join
+    on places. So capped trials grow with speakers and the cap, never with the square of the speakers.
     """
     key = F.sha2(F.concat_ws("|", F.lit(seed), "recording_id"), 256)
     rows = recordings.where(F.col("speaker_id").isNotNull()).withColumn("_h", key)
@@ -29,8 +51,11 @@ def build_trials(recordings: DataFrame, seed: str = "0", cap: int | None = None)
     cross = ~F.col("session").eqNullSafe(F.col("_s"))
     genuine = others.groupBy("speaker_id", "enrol").agg(F.min(F.struct((~cross).alias("same"), "_h", "recording_id")).alias("t"))
     genuine = genuine.select("enrol", F.col("t.recording_id").alias("test"), F.col("speaker_id").alias("speaker_a"), F.col("speaker_id").alias("speaker_b"), F.lit(1).alias("label"), (~F.col("t.same")).alias("cross_session"))
-    other = first.select(F.col("speaker_id").alias("speaker_b"), F.col("enrol").alias("test"))
-    impostor = first.select(F.col("speaker_id").alias("speaker_a"), "enrol").join(other, F.col("speaker_a") < F.col("speaker_b"))
+    if cap is None:
+        other = first.select(F.col("speaker_id").alias("speaker_b"), F.col("enrol").alias("test"))
+        impostor = first.select(F.col("speaker_id").alias("speaker_a"), "enrol").join(other, F.col("speaker_a") < F.col("speaker_b"))
+    else:
+        impostor = _ring_pairs(written(first, "speakers"), seed, cap // 2)
     impostor = impostor.select("enrol", "test", "speaker_a", "speaker_b", F.lit(0).alias("label"), F.lit(True).alias("cross_session"))
     out = genuine.unionByName(impostor).withColumn("trial_id", trial_id(F.col("enrol"), F.col("test")))
     if cap is not None:

@@ -52,6 +52,17 @@ def speaker_trials(spark, sf_dir):
     return trials(spark, sf_dir)
 
 
+@query(f"""WITH {TRIALS}, n AS (SELECT *, row_number() OVER (ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER () AS n FROM fi),
+  st AS (SELECT *, unnest(range(1, least(n // 2, (1000 + n - 1) // n) + 1)) AS step FROM n),
+  pa AS (SELECT CASE WHEN a.speaker_id < b.speaker_id THEN a.recording_id ELSE b.recording_id END AS enrol, CASE WHEN a.speaker_id < b.speaker_id THEN b.recording_id ELSE a.recording_id END AS test,
+    least(a.speaker_id, b.speaker_id) AS speaker_a, greatest(a.speaker_id, b.speaker_id) AS speaker_b FROM st a JOIN n b ON b.place = (a.place + a.step) % a.n WHERE 2 * a.step < a.n OR a.place < a.step),
+  c AS (SELECT enrol, test, speaker_a, speaker_b, label FROM ge UNION ALL SELECT enrol, test, speaker_a, speaker_b, 0 FROM pa), d AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM c)
+  SELECT trial_id, enrol, test, speaker_a, speaker_b, label FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY trial_id) <= 1000""")
+def capped_trials(spark, sf_dir):
+    """At most 2000 trials over all splits, half of each class; impostor pairs are sampled before they are joined."""
+    return S.build_trials(recordings(spark, sf_dir), cap=2000).select("trial_id", "enrol", "test", "speaker_a", "speaker_b", "label")
+
+
 @query(f"""WITH {TRIALS}, sides AS (SELECT enrol AS r, speaker_a AS s, split FROM tr UNION ALL SELECT test, speaker_b, split FROM tr)
   SELECT 'self_pair' AS rule, count_if(enrol = test)::BIGINT AS broken FROM tr UNION ALL SELECT 'wrong_label', count_if((label = 1) <> (speaker_a = speaker_b))::BIGINT FROM tr
   UNION ALL SELECT 'two_speakers', count(*) FROM (SELECT r FROM sides GROUP BY r HAVING count(DISTINCT s) > 1) UNION ALL SELECT 'shared_speaker', count(*) FROM (SELECT s FROM sides GROUP BY s HAVING count(DISTINCT split) > 1)""")

@@ -310,3 +310,14 @@ def test_a_sample_without_assignment_is_refused(spark):
     assert C.assigned(rows.where("sample_id = 'a'"), splits).collect()[0].split == "train"
     with pytest.raises(Exception, match="no split is assigned to b"):
         C.assigned(rows, splits).collect()
+
+
+@pytest.mark.parametrize("speakers", [0, 1, 2, 5, 6])
+def test_ring_pairs_are_all_pairs_once_or_enough(spark, speakers):
+    rows = spark.createDataFrame([(i, f"s{i}", 0) for i in range(speakers)], "recording_id int, speaker_id string, session int")
+    pairs = lambda cap: [(r.speaker_a, r.speaker_b) for r in S.build_trials(rows, cap=cap).collect()]
+    every = {(f"s{i}", f"s{j}") for i in range(speakers) for j in range(i + 1, speakers)}
+    whole = pairs(1000)
+    assert len(whole) == len(set(whole)) and set(whole) == every
+    few = pairs(8)
+    assert len(few) == len(set(few)) == min(4, len(every)) and set(few) <= every
