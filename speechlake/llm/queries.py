@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.llm.conversation_repair import conversation_reports
 from speechlake.llm.line_dedup import line_dedup
 from speechlake.llm.minhash_forest import near_duplicates
 from speechlake.llm.mixing import mix
@@ -277,9 +278,95 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with faults by the checksum of each row's place; `there` is false for the rows that are dropped."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    rows = rows.withColumn("_copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") != 0).alias("there"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = conversation_reports(damaged(_read(spark, sf_dir, "conversations")), there="there")
+    return reports.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion from the last row of each conversation, with costs, audits and texts of the four states."""
+
+    def joined(line: str, rest: str) -> str:
+        return f"{line} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+
+    def option(cost: str, letter: str, to: str, line: str | None) -> str:
+        text = joined(line, f"{to}.r") if line else f"{to}.r"
+        return f"{{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 'r': {text}}}"
+
+    following = {"e": "u", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "user", "a": "assistant"}
+    never = "{'c': 1000000::BIGINT, 'a': '~', 'r': ''}"
+    rows, first, second = [], [], []
+    for q, f in following.items():
+        keep = [f"CASE WHEN m.ini = '{f}' AND NOT m.doomed THEN {option('m.extra', 'K', f'p.{f}', 'm.line')} ELSE {never} END"]
+        if q == "e":
+            keep.append(f"CASE WHEN m.ini = 's' AND NOT m.doomed THEN {option('m.extra', 'K', 'p.s', 'm.line')} ELSE {never} END")
+        reroled = "'" + name[f] + ":' || m.text"
+        options = [option("4", "D", f"p.{q}", None), *keep, f"CASE WHEN m.doomed THEN {never} ELSE {option('3 + m.extra', 'R', f'p.{f}', reroled)} END"]
+        rows.append(f"list_sort([{', '.join(options)}])[1] AS {q}")
+        inserted = "'" + name[f] + ":'"
+        first.append(f"list_sort([b.{q}, {option('3', 'I', f'b.{f}', inserted)}])[1] AS {q}1")
+        second.append(f"list_sort([b.{q}, {option('3', 'I', f'b.{f}1', inserted)}])[1] AS {q}")
+    end = {"e": (0, "", ""), "s": (6, "II", "user:\\nassistant:"), "u": (3, "I", "assistant:"), "a": (0, "", "")}
+    ends = ", ".join("{'c': %d::BIGINT, 'a': '%s', 'r': %s} AS %s" % (c, a, "'" + r.replace("\\n", "' || chr(10) || '") + "'", q) for q, (c, a, r) in end.items())
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS n))
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+                         lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) FROM k WHERE kind <> 0)
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         role || ':' || text AS line, substr(role, 1, 1) AS ini, body = '' OR nth > 1 AS doomed,
+         CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         CASE WHEN body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS extra
+  FROM seen
+), rec AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {ends} FROM m
+  UNION ALL
+  SELECT b.conv_id, b.i, {', '.join(second)} FROM (
+    SELECT b.*, {', '.join(first)} FROM (
+      SELECT m.conv_id, m.i, {', '.join(rows)} FROM rec p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i - 1) b) b
+), best AS (SELECT conv_id, e FROM rec WHERE i = 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM m) GROUP BY conv_id
+), every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(e.r, '')) AS repaired_sha256
+FROM every v LEFT JOIN counts c ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON v.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+OP11_SQL = _repair_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates)
+    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates, op11_conversation_repair)
 }
 
 SQL: dict[str, str] = {
@@ -289,4 +376,5 @@ SQL: dict[str, str] = {
     "op5_tool_calls": OP5_SQL,
     "op8_warc": OP8_SQL,
     "op10_near_duplicates": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
