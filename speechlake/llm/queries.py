@@ -10,6 +10,7 @@ from speechlake.llm.line_dedup import line_dedup
 from speechlake.llm.minhash_forest import near_duplicates
 from speechlake.llm.mixing import mix
 from speechlake.llm.packing import pack_documents
+from speechlake.llm.phrase_graph import collocations
 from speechlake.llm.pii import find_pii
 from speechlake.llm.quality_rules import quality_rules
 from speechlake.llm.simhash import fingerprint_documents
@@ -364,9 +365,42 @@ FROM every v LEFT JOIN counts c ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT
 OP11_SQL = _repair_sql()
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS row, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM w
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang)
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates, op11_conversation_repair)
+    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates, op11_conversation_repair, op12_collocations)
 }
 
 SQL: dict[str, str] = {
@@ -377,4 +411,5 @@ SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op10_near_duplicates": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
