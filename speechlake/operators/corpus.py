@@ -114,7 +114,7 @@ def gate_report(samples: DataFrame, required: Sequence[str], axes: Sequence[str]
     """(kind, subject, detail): every failure and warning of a split corpus, and one row of kind gate, which says passed or failed.
 
     Failures are required axes that leak (or are unavailable, with fail_on_unavailable), sources shared with
-    test, fewer sources in test than the least, and rows without a split. Warnings are optional axes that leak
+    test, fewer sources in test than the least, and rows whose split is none of the three. Warnings are optional axes that leak
     and required ones that are unavailable where that does not fail. An empty table fails by its test sources.
     """
     needed, leak, absent = F.col("axis").isin(*required), F.col("leaks") > 0, ~F.col("available")
@@ -127,8 +127,8 @@ def gate_report(samples: DataFrame, required: Sequence[str], axes: Sequence[str]
     shared = shared.select(F.lit("failure").alias("kind"), F.col("boundary").alias("subject"), F.concat("shared", F.lit(" sources on both sides")).alias("detail"))
     in_test = samples.where("split = 'test'").select(source).distinct().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least_test_sources)
     in_test = in_test.select(F.lit("failure"), F.lit("test_sources"), F.concat("n", F.lit(f" sources, at least {least_test_sources}")))
-    stray = samples.where("split is null").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    stray = stray.select(F.lit("failure"), F.lit("split"), F.concat("n", F.lit(" rows without a split")))
+    stray = samples.where(~F.coalesce(F.col("split").isin("train", "dev", "test"), F.lit(False))).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    stray = stray.select(F.lit("failure"), F.lit("split"), F.concat("n", F.lit(" rows outside train, dev and test")))
     found = written(by_axis.union(shared).union(in_test).union(stray), "gate")
     final = found.agg(F.count_if(F.col("kind") == "failure").alias("n"))
     return found.union(final.select(F.lit("gate"), F.when(F.col("n") == 0, "passed").otherwise("failed"), F.concat("n", F.lit(" failures"))))
@@ -148,15 +148,25 @@ def assigned(samples: DataFrame, assignments: DataFrame, key: str = "sample_id")
 
 
 def manifest_problems(samples: DataFrame) -> DataFrame:
-    """(rule, rows): how many rows or groups break each rule of a manifest."""
+    """(rule, rows): how many rows or groups break each rule of a manifest.
+
+    Retired rows (removed_reason, where there is such a column) still count for every rule but all_retired; null
+    build ids and null contents are unknown and contradict nothing; a null split is stray.
+    """
     ids = samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))
-    cross = samples.groupBy("file_hash").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))
-    plain = samples.agg((F.count(F.lit(1)) == 0).cast("long").alias("empty"), F.count_if(~F.col("split").isin("train", "dev", "test")).alias("stray_split"))
-    rows = [ids.select(F.lit("duplicate_ids").alias("rule"), F.col("v").alias("rows")), cross.select(F.lit("cross_split_content").alias("rule"), F.col("v").alias("rows"))]
-    rows += [plain.select(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in ("empty", "stray_split")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    per = samples.where("file_hash is not null").groupBy("file_hash", "split").agg(F.lit(1).alias("x"))  # a hot content is few rows
+    cross = per.groupBy("file_hash").agg(F.count("x").alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))
+    active = F.col("removed_reason").isNull() if "removed_reason" in samples.columns else F.lit(True)
+    build = F.col("build_id") if "build_id" in samples.columns else F.lit(None).cast("string")
+    n = F.count(F.lit(1))
+    plain = samples.agg(
+        (n == 0).cast("long").alias("empty"), F.count_if(~F.coalesce(F.col("split").isin("train", "dev", "test"), F.lit(False))).alias("stray_split"),
+        F.when((n > 0) & (F.count_if(active) == 0), n).otherwise(0).alias("all_retired"), (F.coalesce(F.min(build) != F.max(build), F.lit(False))).cast("long").alias("mixed_builds"),
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("rows")) for c in plain.columns])
+    out = plain.select(F.explode(rows).alias("r")).select("r.*")
+    for name, found in (("duplicate_ids", ids), ("cross_split_content", cross)):
+        out = out.unionByName(found.select(F.lit(name).alias("rule"), F.col("v").alias("rows")))
     return out
 
 

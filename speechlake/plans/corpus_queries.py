@@ -1,12 +1,15 @@
 """Queries over the corpus operators: inventory, fields, joins, dedup, validation, leakage, splits, statistics."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions import records as R
 from speechlake.operators import corpus as C
 from speechlake.operators import splitting as S
 from speechlake.plans.registry import RECORDS, SCORED, query, records, scored, table
-from speechlake.sources import files
+from speechlake.sources import files, manifests
 
 # ---- scans, sources, sinks
 
@@ -56,6 +59,26 @@ def manifest_roundtrip(spark, sf_dir):
     return files.read_manifest(spark, path, rows.schema)
 
 
+@query(f"""WITH {RECORDS}, one AS (SELECT *, CASE WHEN duration_s < 2 THEN 'short' END AS removed_reason FROM rec
+    QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY doc_id) = 1), named AS (
+  SELECT 'all' AS manifest, * FROM one UNION ALL SELECT split, * FROM one UNION ALL SELECT 'test_cross_language', * FROM one WHERE split = 'test' AND language = 'de'
+  UNION ALL SELECT 'test_cross_channel', * FROM one WHERE split = 'test' AND channel IN ('ch1', 'ch2'))
+  SELECT manifest, sample_id, split, language, channel, file_hash, removed_reason, 'b2' AS build_id, count(*) OVER (PARTITION BY manifest) AS published,
+         count(*) FILTER (removed_reason IS NULL) OVER (PARTITION BY manifest) AS active FROM named""")
+def manifest_set(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("removed_reason", F.when(F.col("duration_s") < 2, "short"))
+    first = r.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    rows = r.join(first, ["file_hash", "doc_id"], "left_semi").select("sample_id", "split", "language", "channel", "file_hash", "removed_reason")
+    path = files.new_path(spark, "manifests")
+    manifests.write_manifest_set(rows.where("split <> 'dev'"), path, "b1")  # replaced by the next build
+    manifests.write_manifest_set(rows, path, "b2", {"language": ["de"], "channel": ["ch1", "ch2"], "split": ["none"]}, overwrite=True)
+    parts = []
+    for name, n in manifests.manifest_names(spark, path).items():
+        counts = (F.lit(n["rows"]).cast("long").alias("published"), F.lit(n["active"]).cast("long").alias("active"))
+        parts.append(manifests.read_manifest_set(spark, path, name).select(F.lit(name).alias("manifest"), "*", *counts))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT 'r' || vec_id AS recording_id, 'spk' || label AS speaker_id, CASE WHEN label < 5 THEN 'dev' ELSE 'test' END AS split FROM embeddings")
 def recordings_jsonl(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -370,9 +393,12 @@ def gate_report(spark, sf_dir):
 
 @query(f"""WITH {RECORDS} SELECT 'duplicate_ids' AS rule, (SELECT count(*) FROM (SELECT sample_id FROM rec GROUP BY 1 HAVING count(*) > 1)) AS rows UNION ALL
   SELECT 'cross_split_content', (SELECT count(*) FROM (SELECT file_hash FROM rec GROUP BY 1 HAVING count(DISTINCT split) > 1)) UNION ALL
-  SELECT 'empty', (count(*) = 0)::BIGINT FROM rec UNION ALL SELECT 'stray_split', count_if(split NOT IN ('train', 'dev', 'test'))::BIGINT FROM rec""")
+  SELECT 'empty', (count(*) = 0)::BIGINT FROM rec UNION ALL SELECT 'stray_split', count_if(split NOT IN ('train', 'dev', 'test'))::BIGINT FROM rec UNION ALL
+  SELECT 'all_retired', CASE WHEN count_if(duration_s >= 2) = 0 THEN count(*) ELSE 0 END FROM rec UNION ALL
+  SELECT 'mixed_builds', (count(DISTINCT CASE WHEN doc_id % 100 = 0 THEN 'b0' ELSE 'b1' END) > 1)::BIGINT FROM rec""")
 def manifest_rules(spark, sf_dir):
-    return C.manifest_problems(records(spark, sf_dir))
+    r = records(spark, sf_dir).withColumn("removed_reason", F.when(F.col("duration_s") < 2, "short"))
+    return C.manifest_problems(r.withColumn("build_id", F.when(F.col("doc_id") % 100 == 0, "b0").otherwise("b1")))
 
 
 @query("SELECT (count(*) >= 10) AS enough_rows, count_if(quality = 0)::BIGINT AS spoof, count_if(quality = 1)::BIGINT AS bona_fide, count_if(quality = 0) >= 5 AND count_if(quality = 1) >= 5 AS both_classes FROM labels")

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from speechlake.operators import metrics as M
 from speechlake.operators import privacy as P
 from speechlake.operators import speaker as S
+from speechlake.operators.profiles import Profiles
 from speechlake.functions import vectors as V
 from speechlake.plans.registry import query, table
+from speechlake.sources.shared import new_path
+from speechlake.sources.versions import VersionedTable
 
 
 def _round(df, *names, digits=6):
@@ -134,6 +137,28 @@ def verify_probes(spark, sf_dir):
     return S.verify(e.withColumn("profile_id", i + 4), profiles, "embedding", now, threshold=0.05).select("vec_id", "decision")
 
 
+@query("""WITH p AS (SELECT *, vec_id % 2 = 0 AS made, vec_id % 6 = 0 AS updated, vec_id % 10 = 0 AS off, vec_id % 14 = 0 AS gone, md5(vec_id::VARCHAR) AS h FROM embeddings)
+  SELECT vec_id, (1 + updated::INT + off::INT)::INT AS version, (CASE WHEN updated THEN 2 ELSE 1 END)::BIGINT AS samples, NOT off AS active, NOT off AND vec_id % 4 <> 0 AS listed FROM p WHERE made AND NOT gone""")
+def profile_lifecycle(spark, sf_dir):
+    """Profiles are created, updated, switched off and deleted by tables of them."""
+    e = table(spark, sf_dir, "embeddings")
+    h, i = F.md5(F.col("vec_id").cast("string")), F.col("vec_id")
+    uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    at = lambda day: F.to_timestamp(F.lit(day))
+    new = e.where(i % 2 == 0).select(
+        "vec_id", uuid.alias("profile_id"), F.lit(1).alias("version"), F.lit("e1").alias("encoder"), F.size("embedding").alias("dimension"), V.normalized(F.col("embedding")).alias("centroid"),
+        F.lit(1).cast("long").alias("samples"), F.lit("form 7").alias("consent"), at("2024-01-01").alias("created_at"), F.when(i % 4 == 0, at("2024-02-01")).alias("expires_at"), F.lit(True).alias("active"),
+    )
+    store = Profiles(spark, new_path(spark, "profiles"))
+    store.create(new)
+    store.update(new.where(i % 6 == 0).withColumns({"version": F.lit(2), "samples": F.lit(2).cast("long")}))
+    store.deactivate(new.where(i % 10 == 0))
+    store.delete(new.where(i % 14 == 0))
+    listed = store.active(at("2024-06-01")).select("profile_id", F.lit(True).alias("listed"))
+    rows = store.all().join(listed, "profile_id", "left").join(new.select("vec_id", "profile_id"), "profile_id")
+    return rows.select("vec_id", "version", "samples", "active", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 @query("SELECT user_id, concat_ws(',', CASE WHEN n < 60 THEN 'too_few_samples' END, CASE WHEN m > 110 THEN 'too_loud' END, CASE WHEN lo < 0.5 THEN 'drop_outs' END) AS reasons, NOT (n < 60 OR m > 110 OR lo < 0.5) AS accepted FROM (SELECT user_id, count(*) AS n, avg(value) AS m, min(value) AS lo FROM events GROUP BY 1)")
 def speaker_sample_quality(spark, sf_dir):
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.min("value").alias("lo"))
@@ -188,11 +213,15 @@ def audit_retention(spark, sf_dir):
     return both.groupBy("event_type").agg(F.count_if(F.col("x") == 1).alias("expired"), F.count_if(F.col("x") == 0).alias("kept"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 1000 = 7 AND event_id % 3 <> 0")
+@query("SELECT event_id, event_type FROM events WHERE event_id % 10 = 7 AND event_id % 3 <> 0")
 def audit_lookup(spark, sf_dir):
+    """Two appends, a deletion that rewrites the log, and a lookup."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    deleted = e.where(F.col("event_id") % 3 == 0).select("event_id")
-    return e.join(deleted, "event_id", "left_anti").where(F.col("event_id") % 1000 == 7)
+    log = VersionedTable(spark, new_path(spark, "audit"), e.schema)
+    for part in (0, 1):
+        log.append(e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part))
+    log.rewrite(log.read().join(e.where(F.col("event_id") % 3 == 0).select("event_id"), "event_id", "left_anti"))
+    return log.read().where(F.col("event_id") % 10 == 7)
 
 
 @query("""WITH w AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN (length(text) % 100) / 99.0 END AS s FROM conversations), g AS (SELECT conv_id, count(s) AS n, least(1.0, greatest(0.0, coalesce(avg(s), 0.0))) AS m, coalesce(sum(CASE WHEN s IS NOT NULL THEN 0.5 END), 0.0) AS sec FROM w GROUP BY 1),
