@@ -117,6 +117,21 @@ def _plausible(kind: int, text: str) -> bool:
     return 7 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().+-]*[0-9]", text) is not None
 
 
+#: Characters that an addition of each kind must not stand beside: it would be cut out of something longer.
+_INSIDE = (re.compile(r"[\w@%+-]"), re.compile(r"[\w]"), re.compile(r"\w"), re.compile(r"\w"))
+_MARKED = re.compile(r"[0-9][ .()-]$")
+
+
+def _whole(kind: int, text: str, start: int, end: int) -> bool:
+    """Whether nothing at either side of a span makes it a part of a longer number or address."""
+    before, after = text[max(0, start - 2) : start], text[end : end + 2]
+    if _INSIDE[kind].match(before[-1:]) or _INSIDE[kind].match(after[:1]):
+        return False
+    if kind == 0:
+        return re.match(r"\.\w", after) is None and not before.endswith(".")
+    return _MARKED.match(before) is None and _MARKED.match(after[::-1]) is None
+
+
 class Finder:
     """The spans of many texts at a time: the patterns' and those that the tagger adds."""
 
@@ -132,7 +147,7 @@ class Finder:
         out = []
         for t, own, more in zip(texts, base, added, strict=True):
             taken = sorted((a, b) for _, a, b in own)
-            free = [(k, a, b) for k, a, b in more if all(b <= x or a >= y for x, y in taken) and _plausible(k, t[a:b])]
+            free = [(k, a, b) for k, a, b in more if all(b <= x or a >= y for x, y in taken) and _plausible(k, t[a:b]) and _whole(k, t, a, b)]
             out.append((own, sorted(own + free)))
         return out
 

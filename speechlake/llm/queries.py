@@ -16,6 +16,7 @@ from speechlake.llm.quality_rules import quality_rules
 from speechlake.llm.simhash import fingerprint_documents
 from speechlake.llm.token_files import read_token_files, write_token_files
 from speechlake.llm.tool_calls import Schemas, link_tool_calls
+from speechlake.llm.vector_graph import near_vectors
 from speechlake.llm.warc import read_warc, write_warc
 
 
@@ -398,9 +399,27 @@ QUALIFY rank <= 2000
 """
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT id AS vec_id, min(c) AS component_id FROM r GROUP BY id) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates, op11_conversation_repair, op12_collocations)
+    for f in (op1_quality_rules, op2_line_dedup, op3_pii, op4_mixing, op5_tool_calls, op6_packing, op7_simhash, op8_warc, op9_token_files, op10_near_duplicates, op11_conversation_repair, op12_collocations, op13_near_vectors)
 }
 
 SQL: dict[str, str] = {
@@ -412,4 +431,5 @@ SQL: dict[str, str] = {
     "op10_near_duplicates": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_near_vectors": OP13_SQL,
 }

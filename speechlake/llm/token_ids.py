@@ -28,8 +28,9 @@ def _byte_letters() -> list[str]:
 
 
 class Coder:
-    """Encodes texts as the tokenizer in `path` does, without special tokens.
+    """Encodes texts as the tokenizer in `path` does, adding no special tokens.
 
+    A text that contains one of the tokenizer's added tokens, in any case, goes to the whole tokenizer.
     The ids of a text are those of its pieces, which are looked up. Pieces of plain texts are those of the
     pre-tokenizer, so a new one goes straight to the tokenizer's model; other texts are cut at white space,
     where every pre-tokenizer cuts, and a new piece goes to the whole tokenizer. The cache holds about
@@ -43,7 +44,9 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.heads = {next((c for c in a if c == c.lower() == c.upper()), "") for a in added}  # a character that has no case
         self.split = self.tokenizer.model.tokenize
         self.spaced, self.letters = spaced, dict(enumerate(_byte_letters()))
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -66,6 +69,8 @@ class Coder:
         """The ids as little-endian unsigned 32-bit integers; none for null or empty text."""
         if not text:
             return b""
+        if any(h in text for h in self.heads) and self.added.search(text):
+            return self._whole(text)
         if _PLAIN.fullmatch(text):
             pieces = _SPACED.findall(text.encode()) if self.spaced else _BARE.findall(text.lower().encode())
             self.fine, out = self._looked_up(pieces, *self.fine, self._token)

@@ -20,7 +20,7 @@ from speechlake.llm.mixing import mix, mixed_documents
 from speechlake.llm.packing import pack, pack_documents
 from speechlake.llm.pii import base_spans, find_pii, train_tagger
 from speechlake.llm.quality_rules import host_rates, quality_rules
-from speechlake.llm.simhash import fingerprint_documents, near_fingerprints, with_next
+from speechlake.llm.simhash import fingerprint_documents, fingerprints, near_fingerprints, with_next
 from speechlake.llm.token_files import pack_bits, read_token_files, unpack_bits, write_token_files
 from speechlake.llm.token_ids import Coder
 from speechlake.llm.tool_calls import arguments_valid, link_tool_calls
@@ -157,6 +157,31 @@ def test_tagger_learns_and_adds(spark):
     assert sum(any(k == 3 for k, _, _ in every) for _, every in finder.find(bare)) >= 0.6 * len(bare)
 
 
+def test_additions_are_no_part_of_longer_numbers():
+    from speechlake.llm.pii import _whole
+
+    text = "card 9870157079875996, call 555 123 4567 or 1-555-123-4567x, mail a.b@c.org.uk end"
+    at = lambda part: (text.index(part), text.index(part) + len(part))
+    assert not _whole(3, text, *at("157079875996")) and not _whole(3, text, *at("987015707987"))
+    assert not _whole(3, text, *at("123 4567")) and not _whole(3, text, *at("555-123-4567"))
+    assert _whole(3, text, *at("555 123 4567")) and not _whole(0, text, *at("b@c.org.uk"))
+    assert not _whole(0, text, *at("a.b@c.org")) and _whole(0, text, *at("a.b@c.org.uk"))
+
+
+def test_tagger_on_withheld_documents(spark):
+    """Trained on one half of the table, the tagger alone finds the patterns' spans of others, and little else."""
+    from speechlake.llm.pii import Finder, _plausible, _whole
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    finder = Finder(train_tagger(docs.where("doc_id % 2 = 0")))
+    texts = [r.text or "" for r in docs.where("doc_id % 8 = 1").select("text").distinct().collect()]
+    equal = said = true = 0
+    for t, spans in zip(texts, finder._tagged(texts), strict=True):
+        tagged, base = {s for s in spans if _plausible(s[0], t[s[1] : s[2]]) and _whole(*s[:1], t, *s[1:])}, set(base_spans(t))
+        equal, said, true = equal + len(tagged & base), said + len(tagged), true + len(base)
+    assert true >= 50 and equal >= 0.97 * said and equal >= 0.9 * true, (equal, said, true)
+
+
 def test_find_pii(spark, docs, nothing):
     extra = spark.createDataFrame(pii_rows(80), SCHEMA).withColumns({c: F.lit(1) for c in docs.columns if c not in ("doc_id", "text", "source")})
     got = find_pii(docs.unionByName(extra.withColumn("doc_id", F.col("doc_id") + 1000)), sample=80).collect()
@@ -235,9 +260,7 @@ def test_argument_types(spark):
 
 @cache
 def reference_tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def reference_ids(path, text):
@@ -252,6 +275,9 @@ def test_coder_gives_the_tokenizers_ids(path, spaced):
     letters = "aBstÀé9 Z\n\t \x0b\x00\x7f'.,s-\u01c5\u024f\u0131llRE"  # cut as the pre-tokenizer does
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1200)]
     texts += [chr(c) + "a " + chr(c) + "." for c in range(0x250)]
+    added = [t.content for t in reference_tokenizer(path).get_added_tokens_decoder().values()]
+    parts = [*added, *map(str.upper, added), *(a[:-1] for a in added), "<|", "|>", " ", "a", "É", ".", "\n", "\u3000"]  # with every added token
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
     coder = Coder(path, spaced, most=50)
     for t in texts:
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == reference_ids(path, t)
@@ -318,10 +344,9 @@ def test_fingerprints(spark, docs, nothing):
 
 
 def plain_fingerprint(text):
-    """128 bits by the majority of the pair hashes, Spark's xxhash64 being XXH64 with the hash so far as its seed, 42 at first."""
-    w = WORD.findall((text or "").lower())
-    terms = [xxhash.xxh64_intdigest(b, seed=xxhash.xxh64_intdigest(a, seed=42)) for a, b in zip(map(str.encode, w), map(str.encode, w[1:]))]
-    terms = terms or [xxhash.xxh64_intdigest(a.encode(), seed=42) for a in w]
+    """128 bits by the weighted majority of the word hashes, Spark's xxhash64 being XXH64 with the hash so far as its seed, 42 at first."""
+    counts = Counter(WORD.findall((text or "").lower()))
+    terms = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w, n in counts.items() for _ in range(min(n, 6))]
     other = [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42)) for a in terms]
     bits = lambda hs: sum((2 * sum(h >> j & 1 for h in hs) > len(hs)) << j for j in range(64))
     return f"{bits(terms):016x}{bits(other):016x}"
@@ -348,10 +373,11 @@ def test_fingerprints_match_brute_force(spark):
 def test_next_of_sparse_ids(spark):
     rng = random.Random(9)
     ids = sorted(rng.sample(range(-(2**61), 2**61), 500)) + [None, None]
-    got = with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), width=16, most=20).collect()
-    assert len(got) == 502 and len({r.bucket for r in got}) > 10
     after = dict(zip(ids, ids[1:]))
-    assert all(r.next_id == after[r.doc_id] for r in got if r.doc_id is not None) and sorted(r.next_text for r in got if r.doc_id is None) == sorted(["None", str(ids[0])])
+    for most in (40, 6):  # ranges in one level, and in two
+        got = with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), width=16, most=most).collect()
+        assert len(got) == 502 and len({r.bucket for r in got}) > 25
+        assert all(r.next_id == after[r.doc_id] for r in got if r.doc_id is not None) and sorted(r.next_text for r in got if r.doc_id is None) == sorted(["None", str(ids[0])])
 
 
 def test_near_fingerprints_match_brute_force(spark):
@@ -378,6 +404,27 @@ def test_lightly_edited_texts_are_near(spark):
     assert sum(r.n_near == 1 for r in got) >= 0.9 * len(rows) and max(r.n_near for r in got) == 1
 
 
+def test_recall_of_near_texts(spark):
+    """Of the pairs of unequal texts whose sets of five-word shingles have a similarity of 0.8, nine tenths are within the radius."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = [*dict.fromkeys(r.text for r in docs.orderBy("doc_id").collect())]
+    by = defaultdict(list)
+    sets = [set(zip(*[t.lower().split()[i:] for i in range(5)])) for t in texts]
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    common = Counter()
+    for rows in by.values():
+        if len(rows) < 20:
+            common.update((a, b) for n, b in enumerate(rows) for a in rows[:n])
+    links = [(a, b) for (a, b), n in common.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    linked = sorted({i for pair in links for i in pair})
+    got = {r.i: r for r in fingerprints(spark.createDataFrame([(i, texts[i]) for i in linked], "i long, text string"), ["i"], "text").collect()}
+    differ = lambda a, b: bin((a.hi ^ b.hi) & (1 << 64) - 1).count("1") + bin((a.lo ^ b.lo) & (1 << 64) - 1).count("1")
+    near = sum(differ(got[a], got[b]) <= 10 for a, b in links)
+    assert len(links) >= 40 and near >= 0.9 * len(links), (near, len(links))
+
+
 @pytest.mark.parametrize("radius", [0, 7, 10])
 def test_near_fingerprints_of_any_radius(spark, radius):
     rng = random.Random(radius)
