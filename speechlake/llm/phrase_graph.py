@@ -5,7 +5,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +26,12 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
             yield words
 
 
-def longest_grams(words: list[bytes]) -> list[bytes]:
-    """For each word of a piece the longest gram that begins with it: four words, fewer at the piece's end."""
-    out = [*map(b" ".join, zip(words, words[1:], words[2:], words[3:]))]  # noqa: B905
-    return out + [b" ".join(words[i:]) for i in range(max(0, len(words) - LONGEST + 1), len(words))]
+def add_longest_grams(words: list[bytes], grams: list[list[bytes]]) -> None:
+    """Add for each word of a piece the longest gram that begins with it to grams[its number of words]: four, fewer at the piece's end."""
+    if len(words) >= LONGEST:
+        grams[LONGEST] += map(b" ".join, zip(words, words[1:], words[2:], words[3:]))  # noqa: B905
+    for k in range(1, min(LONGEST - 1, len(words)) + 1):
+        grams[k].append(b" ".join(words[-k:]))
 
 
 def _bucket(gram: bytes, buckets: int, hot: frozenset[bytes]) -> int:
@@ -40,29 +42,31 @@ def _bucket(gram: bytes, buckets: int, hot: frozenset[bytes]) -> int:
 
 
 def _gram_blocks(buckets: int, hot: frozenset[bytes], flush: int):
-    """(lang, bucket, grams, counts): the grams of a task, added up over some half a million words at a time, a row per bucket."""
-
-    def blocks(found: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for lang, grams in found.items():
-            dealt: dict[int, tuple[list, list]] = {}
-            for gram, n in Counter(grams).items():
-                names, counts = dealt.setdefault(_bucket(gram, buckets, hot), ([], []))
-                names.append(gram)
-                counts.append(n)
-            columns = [[lang] * len(dealt), [*dealt], [b"\n".join(g) for g, _ in dealt.values()], [c for _, c in dealt.values()]]
-            types = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "bucket", "grams", "counts"])
+    """(lang, bucket, k, grams, counts): the grams of a task, added up over some half a million words at a time, a row per bucket and length."""
+    names = ["lang", "bucket", "k", "grams", "counts"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+    def blocks(found: dict[str, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        for lang, by_length in found.items():
+            for k, grams in enumerate(by_length):
+                dealt: dict[int, tuple[list, list]] = {}
+                for gram, n in Counter(grams).items():
+                    held, counts = dealt.setdefault(_bucket(gram, buckets, hot), ([], []))
+                    held.append(gram)
+                    counts.append(n)
+                columns = [[lang] * len(dealt), [*dealt], [k] * len(dealt), [b"\n".join(g) for g, _ in dealt.values()], [c for _, c in dealt.values()]]
+                if dealt:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[bytes]] = {}
+        found: dict[str, list[list[bytes]]] = {}
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = found.setdefault(lang, [])
-                before = len(grams)
+                grams = found.setdefault(lang, [[] for _ in range(LONGEST + 1)])
                 for words in pieces(text):
-                    grams += longest_grams(words)
-                held += len(grams) - before
+                    add_longest_grams(words, grams)
+                    held += len(words)
                 if held >= flush:
                     yield from blocks(found)
                     found, held = {}, 0
@@ -71,6 +75,91 @@ def _gram_blocks(buckets: int, hot: frozenset[bytes], flush: int):
     return run
 
 
+class _Flows:
+    """The counts of one bucket and language: edges, and what flows from them into shorter grams."""
+
+    def __init__(self):
+        self.by_length: list[dict[bytes, int]] = [{} for _ in range(LONGEST + 1)]
+
+    def add(self, k: int, grams: list[bytes], counts: list[int]) -> None:
+        known = self.by_length[k]
+        for gram, n in zip(grams, counts, strict=True):
+            known[gram] = known.get(gram, 0) + n
+
+    def size(self) -> int:
+        return sum(map(len, self.by_length))
+
+    def counted(self, least: int, hot: frozenset[bytes]) -> tuple[dict[bytes, int], dict[bytes, int], dict[bytes, int], dict[bytes, int]]:
+        """The counts of grams of one word, all of them, and of two, three and four that have `least` or begin with a hot pair."""
+        _, ones, twos, threes, fours = self.by_length
+        # a node's flow is that of its edges, to which the ends of pieces come
+        for gram, n in fours.items():
+            node = gram[: gram.rfind(b" ")]
+            threes[node] = threes.get(node, 0) + n
+        nodes = {}
+        for gram, n in threes.items():
+            pair = gram[: gram.rfind(b" ")]
+            twos[pair] = twos.get(pair, 0) + n
+            if n >= least or pair in hot:
+                nodes[gram] = n
+        pairs = {}
+        for gram, n in twos.items():
+            word = gram[: gram.find(b" ")]
+            ones[word] = ones.get(word, 0) + n
+            if n >= least or gram in hot:
+                pairs[gram] = n
+        return ones, pairs, nodes, {g: n for g, n in fours.items() if n >= least}
+
+
+def _bucket_counts(least: int, hot: frozenset[bytes], room: int):
+    """(lang, k, phrase, n) from the blocks of grams, which come by bucket.
+
+    A bucket is added up whole where its distinct grams are `room` at most. One that has more is handed on
+    in parts, of which nothing is left out, and Spark adds them up. Words are added up over the buckets of a task.
+    """
+
+    def rows(lang: str, k: int, counts: dict[bytes, int]) -> pa.RecordBatch:
+        n = len(counts)
+        columns = [pa.array([lang] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array([*counts], pa.binary()).cast(pa.string()), pa.array([*counts.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, dict[bytes, int]] = {}
+        bucket, flows, parted = None, {}, False
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for lang, flow in flows.items():
+                ones, *longer = flow.counted(1 if parted else least, hot)
+                yield from (rows(lang, k, counts) for k, counts in enumerate(longer, 2) if counts)
+                known = words.setdefault(lang, {})
+                for word, n in ones.items():
+                    known[word] = known.get(word, 0) + n
+                if len(known) > room:
+                    yield from worded(lang)
+
+        def worded(lang: str) -> Iterator[pa.RecordBatch]:
+            known = words.pop(lang)
+            yield rows(lang, 1, known)
+            yield rows(lang, 0, {b"": sum(known.values())})
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "k", "grams", "counts")), strict=True):
+                of, lang, k, grams, counts = r
+                if of != bucket:
+                    yield from closed()
+                    bucket, flows, parted = of, {}, False
+                flows.setdefault(lang, _Flows()).add(k, grams.split(b"\n"), counts)
+                if sum(f.size() for f in flows.values()) > room:
+                    parted = True
+                    yield from closed()
+                    flows = {}
+        yield from closed()
+        for lang in [*words]:
+            yield from worded(lang)
+
+    return run
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
@@ -86,40 +175,20 @@ def frequent_phrases(docs: DataFrame, least: int = 30, flush: int = FLUSH, sampl
     docs: lang, text (binary). Each word begins one longest gram: an edge of the graph (four words, between
     the nodes of its first three and last three) or, at a piece's end, a shorter one. A node's count is the
     flow of its edges and the ends of three words; a pair's is that of its nodes and the ends of two; so
-    only longest grams are shuffled, once, added up by task and packed a bucket to a row. Then Spark
-    aggregates the edges and windows over the same order give the flows. A pair of words with more than
-    1 / HOT of a sample of the rows has its grams spread over all buckets, and its flows are added up behind
-    them; the sample serves the balance only.
+    only longest grams are shuffled, once, added up by task and packed a bucket to a row. A bucket holds all
+    grams that begin with the same two words, so its counts of two words and more are whole and the
+    rare ones are dropped there. A pair of words with more than 1 / HOT of a sample of the rows has its
+    grams spread over all buckets, and its flows are added up behind them; the sample serves the balance only. So does
+    a bucket with more than `flush` distinct grams, whose counts Spark adds up; no task holds more.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     pairs = docs.sample(sample, seed=7).select("text").mapInArrow(_pairs, "pair binary, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = written(pairs, "pairs")
     share = (pairs.agg(F.sum("n")).first()[0] or 0) // HOT + 1
     hot = frozenset(bytes(r.pair) for r in pairs.where(F.col("n") > share).collect())  # fewer than HOT
-    blocks = docs.mapInArrow(_gram_blocks(size // 1_000_000 + 1, hot, flush), "lang string, bucket bigint, grams binary, counts array<bigint>").repartition("bucket")
-    one = F.explode(F.arrays_zip(F.split(F.col("grams").cast("string"), "\n").alias("g"), F.col("counts").alias("n")))
-    rows = blocks.select("lang", "bucket", one.alias("r")).select("lang", "bucket", F.col("r.g").alias("g"), F.col("r.n").alias("n"))
-    rows = rows.groupBy("bucket", "lang", "g").agg(F.sum("n").alias("n"))
-    words = F.split("g", " ")
-    rows = rows.select("bucket", "lang", "n", "g", *[F.get(words, i).alias(c) for i, c in enumerate("abcd")])
-    three, two = W.partitionBy("bucket", "lang", "a", "b", "c"), W.partitionBy("bucket", "lang", "a", "b")
-    rows = rows.withColumns({"_n3": F.sum("n").over(three), "_first3": F.min("g").over(three)})
-    rows = rows.withColumns({"_n2": F.sum("n").over(two), "_first2": F.min("g").over(two)})
-    pair = F.concat_ws(" ", "a", "b")
-    spread = pair.isin(*[h.decode() for h in hot]) if hot else F.lit(False)
-    first3, first2 = F.col("g") == F.col("_first3"), F.col("g") == F.col("_first2")
-    enough = lambda n: (F.col(n) >= least) | spread
-
-    def entry(when: Column, k: int, phrase: Column, n: str) -> Column:
-        return F.when(when, F.struct(F.lit(k).alias("k"), phrase.alias("phrase"), F.col(n).alias("n")))
-
-    entries = F.array(
-        entry(F.col("d").isNotNull() & (F.col("n") >= least), 4, F.col("g"), "n"),
-        entry(first3 & F.col("c").isNotNull() & enough("_n3"), 3, F.concat_ws(" ", "a", "b", "c"), "_n3"),
-        entry(first2 & F.col("b").isNotNull() & enough("_n2"), 2, pair, "_n2"),
-        entry(first2, 1, F.col("a"), "_n2"), entry(first2, 0, F.lit(""), "_n2"),
-    )
-    out = rows.select("lang", F.explode(F.array_compact(entries)).alias("e")).groupBy("lang", "e.k", "e.phrase").agg(F.sum("e.n").alias("n"))
+    blocks = docs.mapInArrow(_gram_blocks(size // 1_000_000 + 1, hot, flush), "lang string, bucket bigint, k int, grams binary, counts array<bigint>")
+    counts = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_counts(least, hot, flush), "lang string, k int, phrase string, n bigint")
+    out = counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return written(out.where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
 
 
