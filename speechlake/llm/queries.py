@@ -189,21 +189,25 @@ TOOLS: Schemas = {
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """The conversations table read as an agent's log, for link_tool_calls.
 
-    Each assistant turn calls a tool, under the MD5 of its place and with arguments taken from its text;
-    each later user turn is the result of the call that the turn before it would have made.
+    Each assistant turn calls a tool, under the MD5 of its place and with its text as an argument;
+    each later user turn is the result of the call that the turn before it would have made. A call needs the
+    result of the assistant turn before it; in every seventh conversation that of the turn after it, in
+    every eleventh both, so that those wait for each other.
     """
     n, mine = F.length("text"), F.col("role") == "assistant"
     place = lambda turn: F.md5(F.concat_ws(":", "conv_id", turn))
     tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("count")), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
-    query = F.substring("text", 1, 20)
+    query = F.col("text")
     found = F.when(n % 5 == 0, F.to_json(F.struct(F.lit("many").alias("limit"), query.alias("query")))).otherwise(F.to_json(F.struct((n % 10).alias("limit"), query.alias("query"))))
     exact = F.to_json(F.struct(F.when(n % 5 > 0, n % 2 == 0).alias("exact"), query.alias("query")))
     arguments = F.when(tool == "search", found).when(tool == "lookup", exact).otherwise(F.to_json(F.struct((n % 10).alias("limit"))))
     answer = (F.col("role") == "user") & (F.col("turn") > 0)
+    before, behind = place(F.col("turn") - 2), place(F.col("turn") + 2)
+    depends = F.when(F.col("conv_id") % 11 == 0, F.array(before, behind)).when(F.col("conv_id") % 7 == 0, F.array(behind)).otherwise(F.array(before))
     return conversations.select(
         "conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"), "text",
         F.when(mine, place(F.col("turn"))).when(answer, place(F.col("turn") - 1)).alias("call_id"),
-        F.when(mine, tool).alias("tool"), F.when(mine, arguments).alias("arguments"),
+        F.when(mine, tool).alias("tool"), F.when(mine, arguments).alias("arguments"), F.when(mine, depends).alias("depends"),
     )
 
 
@@ -215,7 +219,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH m AS (
   SELECT *, length(text) AS n, role = 'assistant' AS is_call, role = 'user' AND turn > 0 AS answer,
-         ['search', 'lookup', 'count'][turn % 3 + 1] AS tool, to_json(substr(text, 1, 20))::VARCHAR AS q
+         ['search', 'lookup', 'count'][turn % 3 + 1] AS tool, to_json(text)::VARCHAR AS q
   FROM conversations
 ), a AS (
   SELECT *, CASE WHEN is_call THEN md5(conv_id || ':' || turn) WHEN answer THEN md5(conv_id || ':' || (turn - 1)) END AS cid,
@@ -226,13 +230,20 @@ WITH m AS (
   FROM m
 ), calls AS (
   SELECT conv_id, cid, min(turn) AS call_turn FROM a WHERE is_call GROUP BY 1, 2
+), runs AS (
+  SELECT *, max(call_turn) OVER run AS last, count(*) OVER run AS calls
+  FROM (SELECT *, call_turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY call_turn) AS start FROM calls) WINDOW run AS (PARTITION BY conv_id, start)
+), placed AS (
+  SELECT conv_id, cid, call_turn, conv_id % 11 = 0 AND calls > 1 AS stuck, CASE WHEN conv_id % 11 <> 0 AND conv_id % 7 = 0 THEN last ELSE call_turn END AS key,
+         CASE WHEN conv_id % 11 <> 0 AND conv_id % 7 = 0 THEN (last - call_turn) // 2 ELSE 0 END AS depth
+  FROM runs
 ), l AS (
-  SELECT a.*, c.call_turn AS ct FROM a LEFT JOIN calls c ON a.conv_id = c.conv_id AND a.cid = c.cid AND a.answer
+  SELECT a.*, CASE WHEN answer THEN c.call_turn END AS ct, key, depth, coalesce(stuck, false) AS stuck FROM a LEFT JOIN placed c ON a.conv_id = c.conv_id AND a.cid = c.cid
 ), s AS (
   SELECT conv_id, turn, CASE WHEN answer AND ct IS NOT NULL THEN 'tool' ELSE role END AS role,
          CASE WHEN is_call OR ct IS NOT NULL THEN cid END AS call_id, ct AS call_turn,
-         CASE WHEN is_call AND valid THEN 'call' WHEN is_call THEN 'bad_call' WHEN ct IS NOT NULL THEN 'result'
-              WHEN answer THEN 'orphan' ELSE 'message' END AS status, text, args, tool, is_call
+         CASE WHEN is_call AND stuck THEN 'stuck' WHEN is_call AND valid THEN 'call' WHEN is_call THEN 'bad_call' WHEN ct IS NOT NULL THEN 'result'
+              WHEN answer THEN 'orphan' ELSE 'message' END AS status, text, args, tool, is_call, key, depth
   FROM l
 ), j AS (
   SELECT *, '{' || CASE WHEN is_call THEN '"call":{"arguments":' || args || ',"id":"' || call_id || '","name":"' || tool || '"},' ELSE '' END
@@ -240,7 +251,7 @@ WITH m AS (
          || '"role":"' || role || '"}' AS json
   FROM s
 )
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(call_turn, turn), (status = 'result')::INT, turn, json) - 1 AS position,
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(key, turn), coalesce(depth, 0), (status = 'result')::INT, turn, json) - 1 AS position,
        role, call_id, call_turn, status, sha256(json) AS json_sha256
 FROM j
 """

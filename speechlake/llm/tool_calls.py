@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions.ranking import running_sum
+from speechlake.sources.shared import written
 
 #: For each tool the type of each argument, or the strings that it may be, and whether it must be there.
 Schemas = dict[str, dict[str, tuple[str | tuple[str, ...], bool]]]
@@ -31,41 +32,105 @@ def arguments_valid(tool: Column, arguments: Column, schemas: Schemas) -> Column
     return F.coalesce(F.when(parsed.isNotNull() & names.isNotNull(), out), F.lit(False))
 
 
+def _same(a: DataFrame, b: DataFrame, conv: str, call: str, other: str = "call_id") -> Column:
+    return a["conv_id"].eqNullSafe(b[conv]) & (a[other] == b[call])
+
+
+def _put_off(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, turn, key, depth, stuck): the largest (key, depth) of each call, by a join a round over what has changed."""
+    out = known.withColumns({"key": F.col("turn"), "depth": F.lit(0).cast("long"), "stuck": F.lit(False)})
+    fresh = out.select("conv_id", "call_id", "key", "depth")
+    while True:
+        ready = fresh.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"), F.col("key").alias("_key"), (F.col("depth") + 1).alias("_depth"))
+        waits = edges.join(ready, _same(edges, ready, "_c", "_d", "dep")).groupBy(F.col("conv_id").alias("_cc"), F.col("call_id").alias("_cd")).agg(F.max(F.struct("_key", "_depth")).alias("_w"))
+        met = out.join(waits, _same(out, waits, "_cc", "_cd"), "left")
+        later = F.coalesce(F.col("_w") > F.struct(F.col("key").alias("_key"), F.col("depth").alias("_depth")), F.lit(False)) & ~F.col("stuck")
+        new = [F.when(later, F.col(f"_w._{c}")).otherwise(F.col(c)).alias(c) for c in ("key", "depth")]
+        met = written(met.select("conv_id", "call_id", "turn", *new, "stuck", later.alias("moved")), "places")
+        if met.where("moved").isEmpty():
+            return met.drop("moved")
+        most = met.where("depth > 0").groupBy(F.col("conv_id").alias("_cc")).agg(F.count(F.lit(1)).alias("_most"))
+        out = met.join(most, met["conv_id"].eqNullSafe(most["_cc"]), "left").withColumn("stuck", F.col("stuck") | F.coalesce(F.col("depth") > F.col("_most"), F.lit(False)))
+        out = written(out.drop("_cc", "_most"), "placed")
+        fresh = out.where("moved").select("conv_id", "call_id", "key", "depth")
+        out = out.drop("moved")
+
+
+def call_places(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, key, depth, stuck) of calls: conv_id, call_id, turn, depends (the ids of calls whose results a call waits for).
+
+    key is the turn at which all that a call waits for is there, its own or a later one, and depth how many calls
+    that wait for that turn come before it. Both are the largest of (turn, 0) and (key, depth + 1) over what it
+    waits for, found by repeated joins: a round for each call of the longest chain of calls that are put off,
+    over those alone that changed. Calls in order need no round. A call that waits for itself, by whatever way, is
+    stuck, as is one that waits for such a call; both stand by their turn. The first are known by a depth above the number
+    of calls of the conversation that are put off; the others are found from them, and the rest is placed
+    without them. Ids that are no call of the conversation are not waited for; a null turn comes last.
+    """
+    known = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(2**63 - 1)).alias("turn"), F.coalesce("depends", F.array().cast("array<string>")).alias("depends"))
+    known = written(known.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.array_distinct(F.flatten(F.collect_list("depends"))).alias("depends")), "calls")
+    edges = known.select("conv_id", "call_id", F.explode("depends").alias("dep"))
+    there = known.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"))
+    edges = written(edges.join(there, _same(edges, there, "_c", "_d", "dep"), "left_semi"), "waits")
+    known = known.drop("depends")
+    placed = _put_off(known, edges)
+    stuck = fresh = written(placed.where("stuck").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")), "stuck")
+    if stuck.isEmpty():
+        return placed.drop("turn")
+    while not fresh.isEmpty():
+        behind = edges.join(fresh, _same(edges, fresh, "_c", "_d", "dep"), "left_semi").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")).distinct()
+        seen = stuck.select(F.col("_c").alias("conv_id"), F.col("_d").alias("call_id"))
+        fresh = written(behind.join(seen, _same(seen, behind, "_c", "_d"), "left_anti"), "stuck")
+        stuck = stuck.unionByName(fresh)
+    stuck = written(stuck, "stuck")
+    free = written(known.join(stuck, _same(known, stuck, "_c", "_d"), "left_anti"), "calls")
+    placed = _put_off(free, edges.join(stuck, _same(edges, stuck, "_c", "_d"), "left_anti"))
+    out = known.join(stuck, _same(known, stuck, "_c", "_d"), "left_semi").select("conv_id", "call_id", F.col("turn").alias("key"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("stuck"))
+    return placed.drop("turn").unionByName(out)
+
+
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """Link calls and results, order each conversation topologically and serialise each message.
 
-    messages: conv_id, turn, role, text, call_id, tool, arguments (JSON text). A call is a row with a
+    messages: conv_id, turn, role, text, call_id, tool, arguments (JSON text) and, if there are such, depends: the ids
+    of calls of the conversation whose results a call needs. A call is a row with a
     tool; a result is a row of role "tool". They meet by (conv_id, call_id) in a hash join; where an id
     has several calls the first turn counts. In a conversation a result stands right after its call,
-    whatever its turn; all other rows stand by their turn. Returns conv_id, turn, position (from 0), role,
-    call_id, call_turn (of a linked result), status and json.
+    whatever its turn, and a call behind the results that it needs (see call_places); all other rows stand by their
+    turn. Returns conv_id, turn, position (from 0), role, call_id, call_turn (of a linked result), status and json.
 
-    status: call (arguments fit the schema), bad_call, result, orphan (a result without a call, which
-    becomes a user message) or message. json is canonical: keys sorted, no white space, absent values
+    status: call (arguments fit the schema), bad_call, stuck (a call that waits for itself), result, orphan (a
+    result without a call, which becomes a user message) or message. json is canonical: keys sorted, no white space, absent values
     left out; arguments that are no JSON are left out. A null conv_id is a conversation, null turns come
     last and equal rows take neighbouring positions. Places come from buckets of 1024 turns, so one long
     conversation is not one group. Other columns are left behind.
     """
-    messages = messages.select("conv_id", "turn", "role", "text", "call_id", "tool", "arguments")
-    calls = messages.where(F.col("tool").isNotNull() & F.col("call_id").isNotNull()).groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
-    calls = calls.agg(F.min("turn").alias("_turn"), F.lit(True).alias("_found"))
-    is_result = (F.col("role") == "tool") & F.col("tool").isNull()
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")) & is_result
-    rows = messages.join(calls.hint("shuffle_hash"), same, "left")
-    linked = F.coalesce("_found", F.lit(False))
+    depends = F.col("depends") if "depends" in messages.columns else F.lit(None).cast("array<string>")
+    messages = messages.select("conv_id", "turn", "role", "text", "call_id", "tool", "arguments", depends.alias("depends"))
+    calls = messages.where(F.col("tool").isNotNull() & F.col("call_id").isNotNull())
+    places = call_places(calls).select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "key", "depth", "stuck")
+    calls = calls.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")).agg(F.min("turn").alias("_turn"))
+    calls = calls.join(places, calls["_c"].eqNullSafe(places["_conv"]) & (calls["_i"] == places["_call"])).select("_conv", "_call", "_turn", "key", "depth", "stuck", F.lit(True).alias("_found"))
     is_call = F.col("tool").isNotNull()
+    is_result = (F.col("role") == "tool") & ~is_call
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")) & (is_result | is_call)
+    rows = messages.join(calls.hint("shuffle_hash"), same, "left").drop("depends")
+    linked = F.coalesce("_found", F.lit(False)) & ~is_call
     status = (
-        F.when(is_call & arguments_valid(F.col("tool"), F.col("arguments"), schemas), "call").when(is_call, "bad_call")
+        F.when(is_call & F.coalesce("stuck", F.lit(False)), "stuck").when(is_call & arguments_valid(F.col("tool"), F.col("arguments"), schemas), "call").when(is_call, "bad_call")
         .when(linked, "result").when(F.coalesce(is_result, F.lit(False)), "orphan").otherwise("message")
     )
     rows = rows.withColumns({"status": status, "call_turn": F.when(linked, F.col("_turn"))})
     rows = rows.withColumn("role", F.when(F.col("status") == "orphan", "user").otherwise(F.col("role")))
-    rows = rows.withColumn("call_id", F.when(F.col("status").isin("call", "bad_call", "result"), F.col("call_id")))
+    rows = rows.withColumn("call_id", F.when(F.col("status").isin("call", "bad_call", "stuck", "result"), F.col("call_id")))
     call = F.when(is_call, F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name")))
     json = F.to_json(F.struct(call.alias("call"), F.col("text").alias("content"), F.when(linked, F.col("call_id")).alias("in_reply_to"), "role"))
-    rows = rows.select("conv_id", "turn", "role", "call_id", "call_turn", "status", json.alias("json"))
     last = F.lit(2**63 - 1)
-    place = F.coalesce("call_turn", "turn", last)
-    order = [place, (F.col("status") == "result").cast("int"), F.coalesce("turn", last), F.col("json")]
+    own = F.coalesce("turn", last)
+    again = is_call & (own > F.col("key"))  # a call whose id has come before
+    place, depth = F.when(again, own).otherwise(F.coalesce("key", own)), F.when(again, 0).otherwise(F.coalesce("depth", F.lit(0)))
+    rows = rows.select("conv_id", "turn", "role", "call_id", "call_turn", "status", json.alias("json"), place.alias("_place"), depth.alias("_depth"))
+    place = F.col("_place")
+    order = [place, F.col("_depth"), (F.col("status") == "result").cast("int"), F.coalesce("turn", last), F.col("json")]
     out = running_sum(rows, ["conv_id"], F.floor(place / 1024), order, F.lit(1), "position")
     return out.select("conv_id", "turn", "position", "role", "call_id", "call_turn", "status", "json")
