@@ -1,9 +1,5 @@
 """Audit records: screening for identifiers, scrubbing, expiry and clip decisions."""
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,43 +44,56 @@ def screen(rows: DataFrame, json: str, longest: int = LONGEST) -> DataFrame:
     return rows.withColumn("problem", F.when(broken, "not_json").when(key, "forbidden_key").when(value, "identifier_value").when(numbers, "long_sequence"))
 
 
-def scrub_value(value: object, depth: int = 0) -> object:
-    """A parsed JSON value fit for a log: see scrub."""
-    if isinstance(value, dict):
-        hidden = {k: re.search(_KEY, k.lower()) and not re.search(_METRIC, k.lower()) for k in value}
-        return {k: "[redacted]" if hidden[k] else scrub_value(v) for k, v in value.items()}
-    if depth > 6:
-        return "[truncated]"
-    if isinstance(value, list):
-        return f"[list len={len(value)} redacted]" if len(value) > LONGEST else [scrub_value(v, depth + 1) for v in value]
-    if isinstance(value, str):
-        return "[redacted]" if re.search(_VALUE, value.strip()) else re.sub(USER_PATH, "[redacted]", value)
-    return value
+#: The tokens of JSON: strings, with the colon if they are keys, brackets, commas, and numbers and names.
+_TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?|[{}\[\],]|[^\s{}\[\],:"]+'
+_OPEN = "array<struct<at:int,commas:int,list:boolean,hidden:boolean>>"
+_HIDDEN = '"[redacted]"'
 
 
-def scrub(text: Column) -> Column:
-    """JSON with what must not be logged taken out, at every level.
+def _encoded(value: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
-    Values of forbidden keys (unless these end like a metric), identifiers and users' folders are
-    redacted, sequences of more than LONGEST values are summed up, deep nests of lists are cut. Null
-    stays null, text that is no JSON becomes "[redacted]". Nested values need recursion, which columns
-    cannot express, so this is an Arrow-batched function.
+
+def _scrubbed(out: Column, token: Column) -> Column:
+    """The state behind one more token: what is written, whether the value that follows is hidden, and the brackets that are open.
+
+    A bracket remembers how long the text was before it, so that closing it can put a summary in place of
+    all that was written since.
     """
+    written, hide, stack = out["text"], out["hide"], out["open"]
+    kind, top = F.left(token, F.lit(1)), F.try_element_at(stack, F.lit(-1))
+    string = F.try_variant_get(F.try_parse_json(F.regexp_replace(token, r"\s*:$", "")), "$", "string")
+    name = F.lower(string)
+    scalar = F.when(hide, _HIDDEN).when(kind != '"', token).when(F.trim(string).rlike(_VALUE), _HIDDEN).otherwise(_encoded(F.regexp_replace(string, USER_PATH, "[redacted]")))
+    before = F.left(written, top["at"])
+    long = top["list"] & (top["commas"] >= LONGEST)
+    summary = F.concat(before, F.lit('"[list len='), (top["commas"] + 1).cast("string"), F.lit(' redacted]"'))
+    key, opening, closing, comma = token.endswith(":"), kind.isin("{", "["), kind.isin("}", "]"), kind == ","
+    text = (
+        F.when(key, F.concat(written, _encoded(string), F.lit(":"))).when(closing & top["hidden"], F.concat(before, F.lit(_HIDDEN))).when(closing & long, summary)
+        .when(opening | closing | comma, F.concat(written, token)).otherwise(F.concat(written, scalar))
+    )
+    bracket = lambda at, commas, list_, hidden: F.array(F.struct(at.alias("at"), commas.alias("commas"), list_.alias("list"), hidden.alias("hidden"))).cast(_OPEN)
+    below = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+    counted = F.concat(below, bracket(top["at"], top["commas"] + 1, top["list"], top["hidden"]))
+    now = F.when(opening, F.concat(stack, bracket(F.length(written), F.lit(0), kind == "[", hide))).when(closing, below).when(comma, counted).otherwise(stack)
+    forbidden = key & name.rlike(_KEY) & ~name.rlike(_METRIC)
+    return F.struct(text.alias("text"), F.coalesce(forbidden, F.lit(False)).alias("hide"), now.alias("open"))
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        def one(s: str | None) -> str | None:
-            if s is None:
-                return None
-            try:
-                parsed = json.loads(s)
-            except ValueError:
-                parsed = "[redacted]"
-            return json.dumps(scrub_value(parsed), separators=(",", ":"), ensure_ascii=False)
 
-        return batch.map(one)
+def scrub(text: Column) -> Column:
+    """JSON with what must not be logged taken out, at every level.
 
-    return run(text)
+    Values of forbidden keys (unless these end like a metric), identifiers and users' folders are
+    redacted, lists of more than LONGEST values are summed up. White space between tokens goes, strings are
+    brought into one form. Null stays null; text that is no JSON becomes "[redacted]", as does what Spark's
+    parser refuses: a key that comes twice, or brackets a thousand deep. All of it is one fold over the
+    tokens of a row, in columns and without recursion; its time grows with the square of a record's length.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("hide"), F.array().cast(_OPEN).alias("open"))
+    out = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, _scrubbed, lambda s: s["text"])
+    return F.when(F.try_parse_json(text).isNotNull(), out).when(text.isNotNull(), _HIDDEN)
 
 
 def session_id(value: Column) -> Column:

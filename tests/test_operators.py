@@ -9,7 +9,6 @@ from speechlake.functions import records as R
 from speechlake.functions.components import connected_components
 from speechlake.functions.prefix import prefix_sums
 from speechlake.functions.ranking import range_bucket
-from speechlake.functions.successors import successors
 from speechlake.operators import baselines as B
 from speechlake.operators import corpus as C
 from speechlake.operators import metrics as M
@@ -79,12 +78,6 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "u int, v int")).count() == 0
 
 
-def test_successors(spark):
-    keys = sorted(random.Random(3).sample(range(-5000, 10**7), 300))
-    got = {r.k: r.next for r in successors(spark.createDataFrame([(k,) for k in keys], "k long"), "k", width=64, levels=2).collect()}
-    assert got == dict(zip(keys, keys[1:] + keys[:1]))
-
-
 def test_best_described_copy_is_kept(spark):
     rows = [("d", "a", "h", None, None), ("d", "b", "h", "s1", "c"), ("c", "z", "h", "s1", None), ("d", "n", None, None, None)]
     df = spark.createDataFrame(rows, "dataset_id string, sample_id string, file_hash string, speaker string, channel string")
@@ -229,7 +222,10 @@ def test_screening_sees_every_level(spark):
 def test_scrubbing_sees_every_level(spark):
     rows = {
         '{"a": {"email": {"x": 1}}, "audio_seconds": 3}': '{"a":{"email":"[redacted]"},"audio_seconds":3}', '{"a": [{"t": "a@b.org"}, "/home/me/x y"]}': '{"a":[{"t":"[redacted]"},"[redacted] y"]}',
-        '{"a": ' + str(list(range(33))) + "}": '{"a":"[list len=33 redacted]"}', "[[[[[[[[1]]]]]]]]": '[[[[[[["[truncated]"]]]]]]]', "no json": '"[redacted]"', None: None, '{"é": null}': '{"é":null}',
+        '{"a": ' + str(list(range(33))) + "}": '{"a":"[list len=33 redacted]"}', "[[[[[[[[1]]]]]]]]": "[[[[[[[[1]]]]]]]]", "no json": '"[redacted]"', None: None, '{"é": null}': '{"é":null}',
+        '{"phone": {"x": [1, {"y": "a, b"}]}, "k": [[], {}, -1.5e3, true]}': '{"phone":"[redacted]","k":[[],{},-1.5e3,true]}', '{"em\\u0061il": 1, "k": "a\\u0040b.org"}': '{"email":"[redacted]","k":"[redacted]"}',
+        "[" + ",".join(["[1]"] * 33) + "]": '"[list len=33 redacted]"', "[" + ",".join(["0"] * 32) + "]": "[" + ",".join(["0"] * 32) + "]", '{"a":1,"a":2}': '"[redacted]"', '"say \\"x\\" [,{"': '"say \\"x\\" [,{"',
+        '{"a":' * 400 + "1" + "}" * 400: '{"a":' * 400 + "1" + "}" * 400, '{"a":' * 5000 + "1" + "}" * 5000: '"[redacted]"', "[" * 5000 + "]" * 5000: '"[redacted]"',
     }
     got = {r.j: r.s for r in spark.createDataFrame([(j,) for j in rows], "j string").select("j", privacy.scrub(F.col("j")).alias("s")).collect()}
     assert got == rows
