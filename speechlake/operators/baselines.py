@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechlake.functions.quantiles import exact_quantiles
+from speechlake.sources.shared import written
+
 
 def enroll(features: DataFrame, speaker: str, sample: str, least_features: int = 3, least_samples: int = 3) -> DataFrame:
     """(speaker, feature, n, mean, sd, median, mad) from valid values of samples with enough of them.
@@ -13,9 +16,12 @@ def enroll(features: DataFrame, speaker: str, sample: str, least_features: int =
     good = valid.groupBy(speaker, sample).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_features)
     enough = good.groupBy(speaker).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_samples).select(speaker)
     rows = valid.join(good.select(speaker, sample), [speaker, sample], "left_semi").join(enough, speaker, "left_semi")
-    base = rows.groupBy(speaker, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", 0.5).alias("median")).where(F.col("n") >= least_samples)
-    off = rows.join(base.select(speaker, "feature", "median"), [speaker, "feature"]).groupBy(speaker, "feature").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    return base.join(off, [speaker, "feature"])
+    rows = written(rows.select(speaker, sample, "feature", "value"), "enrolled")
+    base = rows.groupBy(speaker, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).where(F.col("n") >= least_samples)
+    middle = written(exact_quantiles(rows, [speaker, "feature"], "value", [0.5]).select(speaker, "feature", F.col("q")[0].alias("median")), "medians")
+    off = rows.join(middle, [speaker, "feature"]).select(speaker, "feature", F.abs(F.col("value") - F.col("median")).alias("_off"))
+    mad = exact_quantiles(off, [speaker, "feature"], "_off", [0.5]).select(speaker, "feature", F.col("q")[0].alias("mad"))
+    return base.join(middle, [speaker, "feature"]).join(mad, [speaker, "feature"])
 
 
 def compare(features: DataFrame, baselines: DataFrame, speaker: str, limit: float = 3.5, confident: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechlake.functions.prefix import prefix_sums
+from speechlake.functions.quantiles import exact_quantiles
 from speechlake.sources.shared import written
 
 # Coefficients of Acklam's rational approximation of the inverse normal distribution: fixed values.
@@ -214,11 +215,20 @@ def subgroups(scores: DataFrame, axes: Sequence[str], threshold: float, least: i
     return out.withColumn("reliable", (F.col("tp") + F.col("fn") >= least) & (F.col("fp") + F.col("tn") >= least))
 
 
+def _beside(figures: DataFrame, quantiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Figures with the quantiles of their keys, null where there are none."""
+    other = quantiles.select(*[F.col(k).alias(f"_q{i}") for i, k in enumerate(keys)], "q")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_q{i}"))
+    return figures.join(other, same, "left").drop(*[f"_q{i}" for i in range(len(keys))])
+
+
 def latency(rows: DataFrame, value: str, keys: Sequence[str] = (), audio_s: str | None = None, least: int = 5) -> DataFrame:
     """(keys, n, mean, median, p95, p99, most[, audio_per_wall]): exact; null figures with fewer than `least` rows. value is in milliseconds."""
-    q = F.percentile(value, [0.5, 0.95, 0.99])
+    q = exact_quantiles(rows, keys, value, [0.5, 0.95, 0.99])
     extra = [F.try_divide(F.sum(audio_s), F.sum(value) / 1000).alias("audio_per_wall")] if audio_s else []
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("q"), F.max(value).alias("most"), *extra)
+    out = _beside(rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"), *extra), q, keys)
     enough = F.col("n") >= least
     figures = {"mean": F.col("mean"), "median": F.col("q")[0], "p95": F.col("q")[1], "p99": F.col("q")[2], "most": F.col("most")} | ({"audio_per_wall": F.col("audio_per_wall")} if audio_s else {})
     return out.select(*keys, "n", *[F.when(enough, v).alias(k) for k, v in figures.items()])
@@ -226,8 +236,8 @@ def latency(rows: DataFrame, value: str, keys: Sequence[str] = (), audio_s: str
 
 def score_distribution(scores: DataFrame, keys: Sequence[str] = ("label",), score: str = "score") -> DataFrame:
     """(keys, n, mean, sd, least, p05, median, p95, most); sd is of the population."""
-    q = F.percentile(score, [0.05, 0.5, 0.95])
-    out = scores.groupBy(*keys).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.min(score).alias("least"), q.alias("q"), F.max(score).alias("most"))
+    q = exact_quantiles(scores, keys, score, [0.05, 0.5, 0.95])
+    out = _beside(scores.groupBy(*keys).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.min(score).alias("least"), F.max(score).alias("most")), q, keys)
     return out.select(*keys, "n", "mean", "sd", "least", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "most")
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions.components import connected_components
@@ -25,11 +25,17 @@ def components(records: DataFrame, axes: Sequence[str] = ("channel",)) -> DataFr
 
 
 def group_sizes(grouped: DataFrame, holdouts: dict[str, Sequence[str]] | None = None, labels: bool = False) -> DataFrame:
-    """(grp, size, pinned): one row per group; pinned where any row has a held-out value, which takes the whole group to test."""
+    """(grp, size, pinned[, classes]): one row per group; pinned where any row has a held-out value, which takes the whole group to test.
+
+    classes holds the group's labels, of which there are few, with their numbers of rows.
+    """
     pin = F.lit(False)
     for column, values in (holdouts or {}).items():
         pin = pin | F.coalesce(F.col(column).isin(*values), F.lit(False))
-    return grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.bool_or(pin).alias("pinned"), *([F.min("label").alias("lo"), F.max("label").alias("hi")] if labels else []))
+    if not labels:
+        return grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.bool_or(pin).alias("pinned"))
+    per = grouped.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"), F.bool_or(pin).alias("pinned"))
+    return per.groupBy("grp").agg(F.sum("n").alias("size"), F.bool_or("pinned").alias("pinned"), F.sort_array(F.collect_list(F.struct("label", "n"))).alias("classes"))
 
 
 def capacity_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float = 0.15, total: int | None = None) -> DataFrame:
@@ -42,8 +48,7 @@ def capacity_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float
     groups = written(groups, "groups")
     n = total if total is not None else groups.agg(F.sum("size")).first()[0] or 0
     room = groups.sparkSession.range(1).select(F.bround(F.lit(n * train)).alias("t"), F.bround(F.lit(n * dev)).alias("d")).first()
-    head = F.conv(F.rpad(F.hex(F.substring(order, 1, 7)), 14, "0"), 16, 10).cast("long")
-    bucket = range_bucket(head, range_cuts(groups, head, min(4096, -(-groups.count() // 10_000))))
+    bucket = _heads(groups, order)
     first = running_sum(groups.where(~F.col("pinned")), [], bucket, [F.col(order), F.col("grp")], F.col("size"), "before")
     rest = running_sum(first.where(F.col("before") >= room["t"]), [], bucket, [F.col(order), F.col("grp")], F.col("size"), "before_dev")
     out = first.where(F.col("before") < room["t"]).select("grp", F.lit("train").alias("split"))
@@ -51,21 +56,58 @@ def capacity_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float
     return out.unionByName(groups.where("pinned").select("grp", F.lit("test").alias("split")))
 
 
-def stratified_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float = 0.15) -> DataFrame:
-    """(grp, split): as capacity_fill, but for each label on its own quota; groups of mixed labels share a quota of theirs.
+def _heads(groups: DataFrame, order: str) -> Column:
+    """The range of a group's place in an order, a string: quantiles of its first bytes cut ranges of about 10,000 groups, 4096 at most."""
+    head = F.conv(F.rpad(F.hex(F.substring(order, 1, 7)), 14, "0"), 16, 10).cast("long")
+    return range_bucket(head, range_cuts(groups, head, min(4096, -(-groups.count() // 10_000))))
+
+
+def _shares(owed: dict[str, Column], size: Column) -> tuple[Column, Column]:
+    """How far train and how far dev reach when `size` rows go, bit by bit, to the split that is owed most.
 
-    Needs lo and hi, the least and the largest label of a group.
+    That leaves all splits that get any owed the same, the level; the largest of what the first, the first two
+    and all three splits would be left with, by what they are owed.
+    """
+    falling = F.sort_array(F.array(*owed.values()), asc=False)
+    upto = lambda k: F.aggregate(F.slice(falling, 1, k), F.lit(0.0), lambda s, x: s + x)
+    level = F.greatest(*[(upto(k) - size) / k for k in (1, 2, 3)])
+    share = {s: F.greatest(d - level, F.lit(0.0)) for s, d in owed.items()}
+    return F.round(share["train"], 6), F.round(share["train"] + share["dev"], 6)
+
+
+def _dealt(groups: DataFrame, keys: Sequence[str], bounds: DataFrame, order: str) -> DataFrame:
+    """Groups in an order with split: those that begin before `train_end` go to train, before `dev_end` to dev, the others to test."""
+    rows = running_sum(groups, keys, _heads(groups, order), [F.col(order), F.col("grp")], F.col("size"), "before")
+    rows = rows.join(bounds, list(keys)) if keys else rows.join(F.broadcast(bounds))  # then bounds is one row
+    return rows.withColumn("split", F.when(F.col("before") < F.col("train_end"), "train").when(F.col("before") < F.col("dev_end"), "dev").otherwise("test"))
+
+
+def stratified_fill(groups: DataFrame, order: str, train: float = 0.7, dev: float = 0.15) -> DataFrame:
+    """(grp, split): whole groups, so that each split gets its share of each label; pinned groups go to test.
+
+    groups: grp, size, pinned, classes (see group_sizes) and an order. Of each label a split is owed its share of
+    all rows that are not pinned. Groups of one label go to the splits as these are owed most, one label at
+    a time, and then groups of several labels by what all their labels are still owed. Where groups are placed
+    one by one, each to the split that is owed most, all splits end owed about the same; so that level is computed, and the
+    groups fill the splits' shares in their order by running sums. A split's rows of a label
+    differ from those of the one by one placement by no more than a few groups.
     """
-    groups = groups.withColumn("stratum", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("mixed")))
     groups = written(groups, "strata")
-    quota = groups.where(~F.col("pinned")).groupBy("stratum").agg(F.bround(F.sum("size") * train).alias("t"), F.bround(F.sum("size") * dev).alias("d"))
-    bucket = F.substring(order, 1, 2)
-    rows = running_sum(groups.where(~F.col("pinned")), ["stratum"], bucket, [F.col(order), F.col("grp")], F.col("size"), "before").join(quota, "stratum")
-    late = rows.where(F.col("before") >= F.col("t"))
-    late = running_sum(late, ["stratum"], bucket, [F.col(order), F.col("grp")], F.col("size"), "before_dev")
-    out = rows.where(F.col("before") < F.col("t")).select("grp", F.lit("train").alias("split"))
-    out = out.unionByName(late.select("grp", F.when(F.col("before_dev") < F.col("d"), "dev").otherwise("test").alias("split")))
-    return out.unionByName(groups.where("pinned").select("grp", F.lit("test").alias("split")))
+    free = groups.where("not pinned")
+    ratios = {"train": train, "dev": dev, "test": 1 - train - dev}
+    totals = free.select(F.explode("classes").alias("c")).groupBy(F.col("c.label").alias("label")).agg(F.sum("c.n").alias("all"))
+    single = written(free.where("size(classes) = 1").select("grp", "size", order, F.col("classes")[0]["label"].alias("label")), "single")
+    sizes = single.groupBy("label").agg(F.sum("size").alias("size"))
+    quota = totals.join(sizes, "label", "left").select("label", "all", F.coalesce("size", F.lit(0)).alias("size"))
+    train_end, dev_end = _shares({s: F.col("all") * r for s, r in ratios.items()}, F.col("size"))
+    one = written(_dealt(single, ["label"], quota.select("label", train_end.alias("train_end"), dev_end.alias("dev_end")), order), "placed")
+    placed = one.groupBy("label").pivot("split", ["train", "dev", "test"]).agg(F.sum("size"))
+    owed = totals.join(placed, "label", "left").agg(*[F.coalesce(F.sum(F.greatest(F.col("all") * r - F.coalesce(F.col(s), F.lit(0)), F.lit(0.0))), F.lit(0.0)).alias(s) for s, r in ratios.items()])
+    several = written(free.where("size(classes) > 1").select("grp", "size", order), "several")
+    rest = owed.join(F.broadcast(several.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))))  # a row each
+    train_end, dev_end = _shares({s: F.col(s) for s in ratios}, F.col("size"))
+    two = _dealt(several, [], rest.select(train_end.alias("train_end"), dev_end.alias("dev_end")), order)
+    return one.select("grp", "split").unionByName(two.select("grp", "split")).unionByName(groups.where("pinned").select("grp", F.lit("test").alias("split")))
 
 
 def split_problems(assigned: DataFrame, min_train_groups: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechlake.functions import records as R
 from speechlake.operators import corpus as C
 from speechlake.operators import splitting as S
+from speechlake.operators.sampling import weighted_draws
 from speechlake.plans.registry import RECORDS, SCORED, query, records, scored, table
 from speechlake.sources import files, manifests
 
@@ -447,10 +448,20 @@ def split_capacity(spark, sf_dir):
     return S.capacity_fill(g, "key")
 
 
-@query(f"""WITH {_GROUPS}, o AS (SELECT *, sha256(grp) AS o, CASE WHEN lo = hi THEN lo ELSE 'mixed' END AS stratum FROM gr), q AS (SELECT stratum, round_even(sum(size) * 0.7, 0) AS tc, round_even(sum(size) * 0.15, 0) AS dc FROM o WHERE NOT pinned GROUP BY 1),
-  b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o JOIN q USING (stratum) WHERE NOT pinned),
-  d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bd FROM b WHERE before >= tc)
-  SELECT grp, 'train' AS split FROM b WHERE before < tc UNION ALL SELECT grp, CASE WHEN bd < dc THEN 'dev' ELSE 'test' END FROM d UNION ALL SELECT grp, 'test' FROM gr WHERE pinned""")
+_LEVEL = "greatest(list_max({d}) - {m}, (list_sum({d}) - list_min({d}) - {m}) / 2, (list_sum({d}) - {m}) / 3)"
+
+
+@query(f"""WITH {_GROUPS}, o AS (SELECT *, sha256(grp) AS o FROM gr WHERE NOT pinned), cl AS (SELECT coalesce('speaker:' || speaker, 'parent:' || parent_id) AS grp, label, count(*) AS n FROM rec GROUP BY 1, 2),
+  tot AS (SELECT label, sum(n) AS c FROM cl JOIN o USING (grp) GROUP BY 1), si AS (SELECT *, lo AS label FROM o WHERE lo = hi), ss AS (SELECT label, sum(size) AS m FROM si GROUP BY 1),
+  q AS (SELECT label, [c * 0.7::DOUBLE, c * 0.15::DOUBLE, c * (1 - 0.7::DOUBLE - 0.15::DOUBLE)] AS d, coalesce(m, 0) AS m FROM tot LEFT JOIN ss USING (label)), l AS (SELECT *, {_LEVEL.format(d='d', m='m')} AS l FROM q),
+  e AS (SELECT label, round(greatest(d[1] - l, 0), 6) AS t, round(greatest(d[1] - l, 0) + greatest(d[2] - l, 0), 6) AS v FROM l),
+  b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY label ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM si JOIN e USING (label)),
+  one AS (SELECT grp, label, size, CASE WHEN before < t THEN 'train' WHEN before < v THEN 'dev' ELSE 'test' END AS split FROM b),
+  got AS (SELECT label, sum(size) FILTER (split = 'train') AS a, sum(size) FILTER (split = 'dev') AS b, sum(size) FILTER (split = 'test') AS c FROM one GROUP BY 1),
+  ow AS (SELECT [sum(greatest(d[1] - coalesce(a, 0), 0)), sum(greatest(d[2] - coalesce(b, 0), 0)), sum(greatest(d[3] - coalesce(c, 0), 0))] AS d, (SELECT coalesce(sum(size), 0) FROM o WHERE lo <> hi) AS m FROM q LEFT JOIN got USING (label)),
+  ol AS (SELECT *, {_LEVEL.format(d='d', m='m')} AS l FROM ow), oe AS (SELECT round(greatest(d[1] - l, 0), 6) AS t, round(greatest(d[1] - l, 0) + greatest(d[2] - l, 0), 6) AS v FROM ol),
+  w AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o, oe WHERE lo <> hi)
+  SELECT grp, split FROM one UNION ALL SELECT grp, CASE WHEN before < t THEN 'train' WHEN before < v THEN 'dev' ELSE 'test' END FROM w UNION ALL SELECT grp, 'test' FROM gr WHERE pinned""")
 def split_stratified(spark, sf_dir):
     return S.stratified_fill(_groups(spark, sf_dir).withColumn("key", F.sha2("grp", 256)), "key")
 
@@ -547,13 +558,16 @@ def augmentation_plan(spark, sf_dir):
     return records(spark, sf_dir).where("split = 'train'").select("sample_id", noise.alias("noise"), F.when(noise, F.round(5 + 20 * u("snr"), 4)).alias("snr_db"), codec.alias("codec"))
 
 
-@query(f"""WITH {RECORDS}, w AS (SELECT sample_id, label, (SELECT count(*) FROM rec) / (2.0 * count(*) OVER (PARTITION BY label)) AS w FROM rec)
-  SELECT sample_id, floor(w)::BIGINT + (({_AUG.format('draw')} < w - floor(w)))::BIGINT AS times FROM w""")
+@query(f"""WITH {RECORDS}, w AS (SELECT sample_id, (SELECT count(*) FROM rec) / (2.0::DOUBLE * count(*) OVER (PARTITION BY label)) AS w, sha256('7|' || sample_id) AS h FROM rec),
+  c AS (SELECT sample_id, h, coalesce(sum(w) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(w) OVER () AS total FROM w),
+  d AS (SELECT ('0x' || substr(sha256('7|' || i), 1, 13))::BIGINT / 4503599627370496.0 * (SELECT max(total) FROM c) AS u FROM (SELECT unnest(range((SELECT count(*) FROM rec))) AS i)),
+  n AS (SELECT sample_id, count(*) AS times FROM d ASOF JOIN c ON d.u >= c.low GROUP BY 1) SELECT sample_id, coalesce(times, 0) AS times FROM w LEFT JOIN n USING (sample_id)""")
 def balanced_sampling(spark, sf_dir):
-    """Each row as often as its class weight, the fraction by a seeded draw; classes come out even in expectation."""
+    """As many draws with replacement as there are rows, by class weight; how often each row is drawn."""
     r = records(spark, sf_dir)
     per = r.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = r.agg(F.count(F.lit(1)).alias("all"))
     weights = per.join(F.broadcast(total)).select("label", (F.col("all") / (2.0 * F.col("n"))).alias("w"))
-    draw = R.hash_uniform(F.lit("aug"), F.col("sample_id"), F.lit("draw"))
-    return r.join(F.broadcast(weights), "label").select("sample_id", (F.floor("w") + (draw < F.col("w") - F.floor("w")).cast("long")).alias("times"))
+    weighted = r.join(F.broadcast(weights), "label").select("sample_id", "w")  # a row a class
+    drawn = weighted_draws(weighted, "sample_id", "w", r.count(), seed="7").groupBy("sample_id").agg(F.count(F.lit(1)).alias("times"))
+    return r.select("sample_id").join(drawn, "sample_id", "left").select("sample_id", F.coalesce("times", F.lit(0)).alias("times"))

@@ -22,9 +22,13 @@ def recordings(spark, sf_dir):
     return e.select("vec_id", "embedding", F.col("vec_id").alias("recording_id"), F.concat(F.lit("s"), (F.col("vec_id") % 40), F.lit("-"), "label").alias("speaker_id"), (F.col("vec_id") % 3).alias("session"), split.alias("split"))
 
 
-def trials(spark, sf_dir):
+#: Trials of a split, half of each class at most.
+CAP = 4000
+
+
+def trials(spark, sf_dir, cap=CAP):
     r = recordings(spark, sf_dir)
-    parts = [S.build_trials(r.where(F.col("split") == s)).withColumn("split", F.lit(s)) for s in ("dev", "test")]
+    parts = [S.build_trials(r.where(F.col("split") == s), cap=cap).withColumn("split", F.lit(s)) for s in ("dev", "test")]
     return parts[0].unionByName(parts[1])
 
 
@@ -33,13 +37,23 @@ def scored_trials(spark, sf_dir):
     return S.score_trials(trials(spark, sf_dir), r, "recording_id", "embedding")
 
 
-TRIALS = """
+_GENUINE = """
 re AS (SELECT vec_id AS recording_id, 's' || (vec_id % 40) || '-' || label AS speaker_id, vec_id % 3 AS session, CASE WHEN label < 5 THEN 'dev' ELSE 'test' END AS split, sha256('0|' || vec_id) AS h, embedding::DOUBLE[] AS v FROM embeddings),
 fi AS (SELECT * FROM re QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY h) = 1),
 ge AS (SELECT fi.recording_id AS enrol, re.recording_id AS test, fi.speaker_id AS speaker_a, fi.speaker_id AS speaker_b, 1 AS label, re.session <> fi.session AS cross_session, fi.split
-  FROM re JOIN fi USING (speaker_id) WHERE re.recording_id <> fi.recording_id QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY re.session = fi.session, re.h) = 1),
+  FROM re JOIN fi USING (speaker_id) WHERE re.recording_id <> fi.recording_id QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY re.session = fi.session, re.h) = 1)
+"""
+#: Each two speakers, which only small tables allow.
+EVERY_TRIAL = _GENUINE + """,
 im AS (SELECT a.recording_id AS enrol, b.recording_id AS test, a.speaker_id AS speaker_a, b.speaker_id AS speaker_b, 0 AS label, true AS cross_session, a.split FROM fi a JOIN fi b ON a.split = b.split AND a.speaker_id < b.speaker_id),
-tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im)),
+tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im))
+"""
+TRIALS = _GENUINE + f""",
+pl AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER (PARTITION BY split) AS n FROM fi),
+st AS (SELECT *, unnest(range(1, least(n // 2, ({CAP // 2} + n - 1) // n) + 1)) AS step FROM pl),
+im AS (SELECT CASE WHEN a.speaker_id < b.speaker_id THEN a.recording_id ELSE b.recording_id END AS enrol, CASE WHEN a.speaker_id < b.speaker_id THEN b.recording_id ELSE a.recording_id END AS test,
+  least(a.speaker_id, b.speaker_id) AS speaker_a, greatest(a.speaker_id, b.speaker_id) AS speaker_b, 0 AS label, true AS cross_session, a.split FROM st a JOIN pl b ON b.split = a.split AND b.place = (a.place + a.step) % a.n WHERE 2 * a.step < a.n OR a.place < a.step),
+tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im) QUALIFY row_number() OVER (PARTITION BY split, label ORDER BY trial_id) <= {CAP // 2}),
 ts AS (SELECT tr.*, list_cosine_similarity(a.v, b.v) AS score FROM tr JOIN re a ON a.recording_id = enrol JOIN re b ON b.recording_id = test)
 """
 
@@ -50,9 +64,10 @@ def vector_norms(spark, sf_dir):
     return _round(table(spark, sf_dir, "embeddings").select("vec_id", V.norm(F.col("embedding")).alias("norm"), V.cosine(V.normalized(F.col("embedding"), 64), axis).alias("first_axis")), "norm", "first_axis")
 
 
-@query(f"WITH {TRIALS} SELECT trial_id, enrol, test, speaker_a, speaker_b, label, cross_session, split FROM tr")
+@query(f"WITH {EVERY_TRIAL} SELECT trial_id, enrol, test, speaker_a, speaker_b, label, cross_session, split FROM tr")
 def speaker_trials(spark, sf_dir):
-    return trials(spark, sf_dir)
+    """Every two speakers of a split, for tables of few speakers; the other queries take capped trials."""
+    return trials(spark, sf_dir, cap=None)
 
 
 @query(f"""WITH {TRIALS}, n AS (SELECT *, row_number() OVER (ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER () AS n FROM fi),
