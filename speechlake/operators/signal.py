@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from speechlake.functions.islands import merged_intervals, with_runs
+from speechlake.functions.islands import merged_intervals, with_previous, with_runs
+from speechlake.functions.quantiles import exact_quantiles
+from speechlake.functions.ranking import running_sum
 from speechlake.functions.records import all_reasons, dbfs
+from speechlake.sources.shared import written
 
 
 def frames(samples: DataFrame, signal: str, idx: str, value: str, size: int, hop: int) -> DataFrame:
     """(signal, frame, n, rms, energy_db, zcr) of complete frames of `size` samples every `hop`.
 
     idx counts each signal's samples from 0. A sample lies in at most size / hop frames; samples are
-    exploded to those and added up, so a long signal is spread over tasks by frame.
+    exploded to those and added up. A long signal is spread over tasks by frame, and by ranges where a sample
+    is held against the one before.
     """
-    o = W.partitionBy(signal).orderBy(idx)
-    crossed = (F.signum(value) != F.signum(F.lag(value).over(o))) & (F.lag(value).over(o).isNotNull())
+    before = with_previous(samples, [signal], idx, value, "_p")
+    crossed = (F.signum(value) != F.signum("_p")) & F.col("_p").isNotNull()
     first = F.greatest(F.lit(0), F.ceil((F.col(idx) - size + 1) / hop))
-    rows = samples.withColumn("_x", crossed).withColumn("frame", F.explode(F.sequence(first.cast("long"), F.floor(F.col(idx) / hop).cast("long"))))
+    rows = before.withColumn("_x", crossed).withColumn("frame", F.explode(F.sequence(first.cast("long"), F.floor(F.col(idx) / hop).cast("long"))))
     inner = F.col("_x") & (F.col(idx) != F.col("frame") * hop)
     out = rows.groupBy(signal, "frame").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"), F.count_if(inner).alias("_z"))
     return out.where(F.col("n") == size).select(signal, "frame", "n", "rms", dbfs(F.col("rms")).alias("energy_db"), (F.col("_z") / (size - 1)).alias("zcr"))
@@ -28,12 +32,14 @@ def frames(samples: DataFrame, signal: str, idx: str, value: str, size: int, hop
 def speech_mask(frames: DataFrame, signal: str, floor_db: float = -60.0, below_db: float = 40.0, max_zcr: float = 1.0) -> DataFrame:
     """Add threshold_db and speech. The loudest frames (90th percentile less 6 dB) set a reference, their 20th percentile.
 
-    Two exact percentiles per signal; a frame is speech at or above max(floor, reference - below) and with few sign changes.
+    Two exact quantiles per signal, by running counts; a frame is speech at or above max(floor, reference - below) and with few sign changes.
     """
-    seed = frames.groupBy(signal).agg((F.percentile("energy_db", 0.9) - 6).alias("_seed"))
-    rows = frames.join(seed, signal)
-    loud = F.when(F.col("energy_db") >= F.col("_seed"), F.col("energy_db"))
-    reference = rows.groupBy(signal).agg(F.coalesce(F.percentile(loud, 0.2), F.max("energy_db")).alias("_ref"))
+    frames = written(frames, "frames")
+    seed = exact_quantiles(frames, [signal], "energy_db", [0.9]).select(signal, (F.col("q")[0] - 6).alias("_seed"))
+    loud = frames.select(signal, "energy_db").join(seed, signal).where(F.col("energy_db") >= F.col("_seed"))
+    low = exact_quantiles(loud, [signal], "energy_db", [0.2]).select(signal, F.col("q")[0].alias("_q"))
+    most = frames.groupBy(signal).agg(F.max("energy_db").alias("_most"))
+    reference = most.join(low, signal, "left").select(signal, F.coalesce("_q", "_most").alias("_ref"))
     out = frames.join(reference, signal)
     threshold = F.greatest(F.lit(floor_db), F.col("_ref") - below_db)
     return out.withColumn("threshold_db", threshold).withColumn("speech", (F.col("energy_db") >= F.col("threshold_db")) & (F.col("zcr") <= max_zcr)).drop("_ref")
@@ -61,24 +67,29 @@ def regions(frames: DataFrame, signal: str, order: str, flag: str, frame_s: floa
 def segments(frames: DataFrame, signal: str, order: str, flag: str, window: int, hop: int, least_coverage: float = 0.25, pad_short: bool = True) -> DataFrame:
     """(signal, segment, start, stop, speech, coverage): windows of frames every hop and one anchored at the end.
 
-    Speech in a window is the difference of two running counts. A signal shorter than a window gives one
-    padded window (or none); a window inside its predecessor and one of too little speech are dropped.
+    Frames count from 0 without gaps. Speech in a window is the difference of two running counts, which come from
+    ranges of frames. A signal shorter than a window gives one padded window (or none); a window of too little speech is
+    dropped. As starts and stops both rise, none lies inside its predecessor.
     """
-    o = W.partitionBy(signal).orderBy(order)
-    counts = frames.select(signal, (F.col(order) + 1).alias("at"), F.sum(F.col(flag).cast("long")).over(o.rowsBetween(W.unboundedPreceding, 0)).alias("cum"))
-    n = frames.groupBy(signal).agg((F.max(order) + 1).alias("n"))
-    last = F.col("n") - window
-    regular = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)), F.lit(hop).cast("long"))).otherwise(F.array(F.lit(0).cast("long")) if pad_short else F.array().cast("array<bigint>"))
-    starts = F.array_distinct(F.concat(regular, F.when(last >= 0, F.array(last)).otherwise(F.array().cast("array<bigint>"))))
-    rows = n.select(signal, "n", F.explode(starts).alias("start")).withColumn("stop", F.least(F.col("start") + window, "n"))
+    frames = written(frames.select(signal, order, flag), "frames")
+    width = 4096
+    counts = running_sum(frames, [signal], F.floor(F.col(order) / width), [F.col(order)], F.col(flag).cast("long"), "_before")
+    counts = written(counts.select(signal, (F.col(order) + 1).alias("at"), (F.col("_before") + F.coalesce(F.col(flag).cast("long"), F.lit(0))).alias("cum")), "counts")
+    n = frames.groupBy(signal).agg((F.max(order) + 1).alias("n")).withColumn("last", F.col("n") - window)
+    # windows begin at frames, so that they come from many rows, and at the last place where one fits
+    regular = frames.where(F.col(order) % hop == 0).select(signal, F.col(order).cast("long").alias("start")).join(n, signal).where("start <= last")
+    tail = n.where(F.col("last") % hop != 0).where("last >= 0").select(signal, F.col("last").cast("long").alias("start"), "n", "last")
+    rows = regular.unionByName(tail)
+    if pad_short:
+        rows = rows.unionByName(n.where("last < 0").select(signal, F.lit(0).cast("long").alias("start"), "n", "last"))
+    rows = rows.select(signal, "n", "start", F.least(F.col("start") + window, "n").alias("stop"))
     low = counts.select(F.col(signal).alias("_a"), F.col("at").alias("_b"), F.col("cum").alias("_low"))
     high = counts.select(F.col(signal).alias("_c"), F.col("at").alias("_d"), F.col("cum").alias("_high"))
     met = rows.join(low, (F.col(signal) == F.col("_a")) & (F.col("start") == F.col("_b")), "left").join(high, (F.col(signal) == F.col("_c")) & (F.col("stop") == F.col("_d")), "left")
     speech = F.coalesce("_high", F.lit(0)) - F.coalesce("_low", F.lit(0))
     out = met.select(signal, "start", "stop", speech.alias("speech"), (speech / window).alias("coverage"))
-    s = W.partitionBy(signal).orderBy("start")
-    out = out.withColumn("_inside", F.coalesce(F.col("stop") <= F.lag("stop").over(s), F.lit(False))).where(~F.col("_inside") & (F.col("coverage") >= least_coverage)).drop("_inside")
-    return out.withColumn("segment", F.row_number().over(s) - 1)
+    out = written(out.where(F.col("coverage") >= least_coverage), "segments")
+    return running_sum(out, [signal], F.floor(F.col("start") / width), [F.col("start")], F.lit(1), "segment")
 
 
 def quality(samples: DataFrame, signal: str, value: str, frames: DataFrame, clip: float = 0.99, silence_db: float = -60.0) -> DataFrame:
