@@ -5,6 +5,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ from speechlake.sources.shared import written
 _TABLE = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of a gram; grams that a task adds up before it hands them on; pairs of words with a larger share than 1 / HOT are spread.
 LONGEST, FLUSH, HOT = 4, 1 << 19, 500
+#: Buckets that grams are dealt into at a time, and the bytes of text that a last bucket may stand for.
+FAN, BUCKET = 512, 4_000_000
+_NAMES = ["lang", "bucket", "k", "grams", "counts"]
+_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+_BLOCKS = "lang string, bucket bigint, k int, grams binary, counts array<bigint>"
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -34,29 +40,36 @@ def add_longest_grams(words: list[bytes], grams: list[list[bytes]]) -> None:
         grams[k].append(b" ".join(words[-k:]))
 
 
-def _bucket(gram: bytes, buckets: int, hot: frozenset[bytes]) -> int:
-    """By the first two words, which keeps what a count of two or three words adds up in one bucket; hot pairs by the whole gram."""
+def _bucket(gram: bytes, hot: frozenset[bytes]) -> int:
+    """A checksum of the first two words, which keeps what a count of two or three words adds up in one bucket; of hot pairs of the whole gram."""
     at = gram.find(b" ", gram.find(b" ") + 1)
     pair = gram if at < 0 else gram[:at]
-    return zlib.crc32(gram if pair in hot else pair) % buckets
-
-
-def _gram_blocks(buckets: int, hot: frozenset[bytes], flush: int):
-    """(lang, bucket, k, grams, counts): the grams of a task, added up over some half a million words at a time, a row per bucket and length."""
-    names = ["lang", "bucket", "k", "grams", "counts"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-
-    def blocks(found: dict[str, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        for lang, by_length in found.items():
-            for k, grams in enumerate(by_length):
-                dealt: dict[int, tuple[list, list]] = {}
-                for gram, n in Counter(grams).items():
-                    held, counts = dealt.setdefault(_bucket(gram, buckets, hot), ([], []))
-                    held.append(gram)
-                    counts.append(n)
-                columns = [[lang] * len(dealt), [*dealt], [k] * len(dealt), [b"\n".join(g) for g, _ in dealt.values()], [c for _, c in dealt.values()]]
-                if dealt:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    return zlib.crc32(gram if pair in hot else pair)
+
+
+def _blocks(found: dict[str, list], buckets: int, hot: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+    """Counted grams of each language and length, a row per bucket, packed."""
+    for lang, by_length in found.items():
+        for k, grams in enumerate(by_length):
+            dealt: dict[int, tuple[list, list]] = {}
+            for gram, n in (grams if isinstance(grams, dict) else Counter(grams)).items():
+                held, counts = dealt.setdefault(_bucket(gram, hot) % buckets, ([], []))
+                held.append(gram)
+                counts.append(n)
+            if dealt:
+                packed = [zstandard.compress(b"\n".join(g), 1) for g, _ in dealt.values()]
+                columns = [[lang] * len(dealt), [*dealt], [k] * len(dealt), packed, [c for _, c in dealt.values()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, list[bytes], list[int]]]:
+    for batch in batches:
+        for of, lang, k, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "k", "grams", "counts")), strict=True):
+            yield of, lang, k, zstandard.decompress(grams).split(b"\n"), counts
+
+
+def _gram_blocks(hot: frozenset[bytes], flush: int):
+    """The grams of a task's texts, added up over some half a million words at a time, in FAN buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[list[bytes]]] = {}
@@ -68,9 +81,24 @@ def _gram_blocks(buckets: int, hot: frozenset[bytes], flush: int):
                     add_longest_grams(words, grams)
                     held += len(words)
                 if held >= flush:
-                    yield from blocks(found)
+                    yield from _blocks(found, FAN, hot)
                     found, held = {}, 0
-        yield from blocks(found)
+        yield from _blocks(found, FAN, hot)
+
+    return run
+
+
+def _dealt_again(buckets: int, hot: frozenset[bytes], flush: int):
+    """The same grams in more buckets, each of which lies within one that it was in; they come by bucket, so that copies meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, _Flows] = {}
+        for _, lang, k, grams, counts in _unpacked(batches):
+            found.setdefault(lang, _Flows()).add(k, grams, counts)
+            if sum(f.size() for f in found.values()) >= flush:
+                yield from _blocks({x: f.by_length for x, f in found.items()}, buckets, hot)
+                found = {}
+        yield from _blocks({x: f.by_length for x, f in found.items()}, buckets, hot)
 
     return run
 
@@ -142,17 +170,15 @@ def _bucket_counts(least: int, hot: frozenset[bytes], room: int):
             yield rows(lang, 1, known)
             yield rows(lang, 0, {b"": sum(known.values())})
 
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "k", "grams", "counts")), strict=True):
-                of, lang, k, grams, counts = r
-                if of != bucket:
-                    yield from closed()
-                    bucket, flows, parted = of, {}, False
-                flows.setdefault(lang, _Flows()).add(k, grams.split(b"\n"), counts)
-                if sum(f.size() for f in flows.values()) > room:
-                    parted = True
-                    yield from closed()
-                    flows = {}
+        for of, lang, k, grams, counts in _unpacked(batches):
+            if of != bucket:
+                yield from closed()
+                bucket, flows, parted = of, {}, False
+            flows.setdefault(lang, _Flows()).add(k, grams, counts)
+            if sum(f.size() for f in flows.values()) > room:
+                parted = True
+                yield from closed()
+                flows = {}
         yield from closed()
         for lang in [*words]:
             yield from worded(lang)
@@ -169,25 +195,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.binary()), pa.array([*counts.values()], pa.int64())], ["pair", "n"])
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, flush: int = FLUSH, sample: float = 1 / 64) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 30, flush: int = FLUSH, sample: float = 1 / 64, bucket: int = BUCKET) -> DataFrame:
     """(lang, k, phrase, n): the phrases of k = 1 to 4 words that occur `least` times or more, and k = 0 for all words of a language.
 
     docs: lang, text (binary). Each word begins one longest gram: an edge of the graph (four words, between
     the nodes of its first three and last three) or, at a piece's end, a shorter one. A node's count is the
     flow of its edges and the ends of three words; a pair's is that of its nodes and the ends of two; so
-    only longest grams are shuffled, once, added up by task and packed a bucket to a row. A bucket holds all
+    only longest grams are shuffled, added up by task and packed a bucket to a row. A bucket holds all
     grams that begin with the same two words, so its counts of two words and more are whole and the
-    rare ones are dropped there. A pair of words with more than 1 / HOT of a sample of the rows has its
+    rare ones are dropped there. Grams are dealt into FAN buckets at a time, and again where a bucket would stand for more than
+    `bucket` bytes of text; so rows grow with the grams, at any size, and 1 TB of text takes a second or third shuffle. A pair of words with more than 1 / HOT of a sample of the rows has its
     grams spread over all buckets, and its flows are added up behind them; the sample serves the balance only. So does
-    a bucket with more than `flush` distinct grams, whose counts Spark adds up; no task holds more.
+    a bucket with more than twice `flush` distinct grams, whose counts Spark adds up; no task holds more.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     pairs = docs.sample(sample, seed=7).select("text").mapInArrow(_pairs, "pair binary, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = written(pairs, "pairs")
     share = (pairs.agg(F.sum("n")).first()[0] or 0) // HOT + 1
     hot = frozenset(bytes(r.pair) for r in pairs.where(F.col("n") > share).collect())  # fewer than HOT
-    blocks = docs.mapInArrow(_gram_blocks(size // 1_000_000 + 1, hot, flush), "lang string, bucket bigint, k int, grams binary, counts array<bigint>")
-    counts = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_counts(least, hot, flush), "lang string, k int, phrase string, n bigint")
+    blocks, buckets = docs.mapInArrow(_gram_blocks(hot, flush), _BLOCKS), FAN
+    while buckets * bucket < size:
+        buckets *= FAN
+        blocks = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_dealt_again(buckets, hot, flush), _BLOCKS)
+    counts = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_counts(least, hot, 2 * flush), "lang string, k int, phrase string, n bigint")
     out = counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return written(out.where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
 
