@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Nodes may be of any ordered type. Edges with a null end and loops count for nothing; an empty table
     gives an empty one. Each round is written to the shared folder; rounds grow with the logarithm of
-    the longest path. The smallest neighbours are pre-aggregated, so a hub does not meet one task.
+    the longest path. The smallest neighbours are pre-aggregated; the edges of a hub meet its one row in a join, whose large
+    partitions Spark splits where adaptive execution is on.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"), F.col(u).alias("_a"), F.col(v).alias("_b"))
     e = written(e.where("_a is not null and _b is not null and u <> v").select("u", "v").distinct(), "edges")

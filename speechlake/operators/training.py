@@ -1,7 +1,7 @@
 """Baseline detectors on pyspark.ml: fit on train, calibrate and pick a threshold on dev, score test once."""
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -52,10 +52,16 @@ class Calibrator:
     """A column expression for calibrated scores, its kind and a note on why it is not a better one."""
 
     kind: str
-    apply: Callable[[Column], Column]
+    apply: Callable[[Column], Column] | None  # none where it takes a join
     note: str | None = None
     params: tuple = ()
 
+    def calibrated(self, rows: DataFrame, score: str = "score", name: str = "score") -> DataFrame:
+        """rows with the calibrated score under a name; null stays null."""
+        if self.apply is None:
+            return _interpolated(rows, score, name, *self.params)
+        return rows.withColumn(name, self.apply(F.col(score)))
+
 
 def calibrator(kind: str, params: tuple = (), note: str | None = None) -> Calibrator:
     """The calibrator of a kind from its parameters: none, (slope, intercept) or (boundaries, values)."""
@@ -66,15 +72,25 @@ def calibrator(kind: str, params: tuple = (), note: str | None = None) -> Calibr
         return Calibrator(kind, lambda s: 1 / (1 + F.exp(-(a * _logit(s) + b))), note, (a, b))
     if kind != "isotonic":
         raise ValueError(f"unknown calibrator {kind}")
-    xs, ys = params
+    return Calibrator(kind, None, note, params)
+
 
-    def interpolate(s: Column) -> Column:
-        x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-        at = F.size(F.filter(x, lambda b: b <= s))
-        x0, x1, y0, y1 = F.get(x, at - 1), F.get(x, at), F.get(y, at - 1), F.get(y, at)
-        return F.when(at == 0, ys[0]).when(at == len(xs), ys[-1]).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
+def _interpolated(rows: DataFrame, score: str, name: str, xs: Sequence[float], ys: Sequence[float]) -> DataFrame:
+    """rows with the score's value between the boundaries that it lies between, kept within 0 and 1; the ends' values beyond them.
 
-    return Calibrator(kind, lambda s: F.least(F.greatest(interpolate(s), F.lit(0.0)), F.lit(1.0)), note, (xs, ys))
+    The boundaries are a table, so the plan does not grow with them. The range of scores is cut into as many cells
+    as there are boundaries; a stretch between two of them lies in the cells that it crosses, a score in one,
+    and an equi-join on cells brings them together.
+    """
+    first, last, cells = xs[0], xs[-1], max(1, len(xs))
+    cell = lambda x: F.floor((x - first) / max(last - first, 1e-300) * cells)
+    known = F.col(score).isNotNull() & ~F.isnan(score)
+    out = F.when(known, F.when(F.col(score) < first, F.lit(ys[0])).when(F.col(score) >= last, F.lit(ys[-1])).otherwise(F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(score) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))))
+    table = rows.sparkSession.createDataFrame(list(zip(xs, xs[1:], ys, ys[1:], strict=False)), "_x0 double, _x1 double, _y0 double, _y1 double").where("_x0 < _x1")
+    table = written(table.withColumn("_c", F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1"))))), "boundaries")
+    at = rows.withColumn("_cell", F.when(known & (F.col(score) >= first) & (F.col(score) < last), cell(F.col(score))))
+    met = at.join(table, (F.col("_cell") == F.col("_c")) & (F.col(score) >= F.col("_x0")) & (F.col(score) < F.col("_x1")), "left")
+    return met.withColumn(name, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))).drop("_cell", "_c", "_x0", "_x1", "_y0", "_y1")
 
 
 def _logit(p: Column) -> Column:
@@ -127,7 +143,7 @@ def load_artifact(spark: SparkSession, path: str, spec: dict) -> Artifact:
 def rescore(artifact: Artifact, rows: DataFrame, vector: str) -> DataFrame:
     """Rows with score, calibrated, and flagged (score at or above the threshold); rows need no label."""
     s = scores(artifact.model, rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).drop("features")
-    return s.withColumn("score", artifact.calibrator.apply(F.col("score"))).withColumn("flagged", F.col("score") >= artifact.threshold)
+    return artifact.calibrator.calibrated(s).withColumn("flagged", F.col("score") >= artifact.threshold)
 
 
 def run_baseline(rows: DataFrame, vector: str, strength: float = 1.0, policy: str = "eer") -> DataFrame:
@@ -145,9 +161,9 @@ def run_baseline(rows: DataFrame, vector: str, strength: float = 1.0, policy: st
     model = fit_logistic(train, strength)
     on_dev = scores(model, dev)
     fitted = fit_calibrator(on_dev)
-    on_dev = on_dev.withColumn("score", fitted.apply(F.col("score")))
+    on_dev = fitted.calibrated(on_dev)
     threshold = M.select_threshold(M.operating_points(on_dev), policy).first().threshold
-    on_test = written(scores(model, test).withColumn("score", fitted.apply(F.col("score"))).select("label", "score"), "test-scores")  # once
+    on_test = written(fitted.calibrated(scores(model, test)).select("label", "score"), "test-scores")  # once
     reports = [M.detect(x.select("label", "score"), threshold).withColumn("stage", F.lit(s)) for s, x in (("dev", on_dev), ("test", on_test))]
     return reports[0].unionByName(reports[1]).withColumn("outcome", F.lit("measured")).withColumn("calibrator", F.lit(fitted.kind))
 

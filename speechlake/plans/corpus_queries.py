@@ -20,6 +20,27 @@ def inventory(spark, sf_dir):
     return files.inventory(table(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "doc_id").alias("sample_id"), F.encode("text", "UTF-8").alias("content")), 20_000)
 
 
+_PAGES = "f AS (SELECT page_id, strlen(coalesce(html, '') || chr(10))::BIGINT AS size_bytes, 'sha256:' || sha256(coalesce(html, '') || chr(10)) AS hash FROM pages)"
+
+
+def _page_files(spark, sf_dir, max_bytes):
+    """The pages as files, one each, under a folder named after the page."""
+    path = files.new_path(spark, "pages")
+    table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).write.partitionBy("page_id").text(path)
+    found = files.file_inventory(spark, path, ("txt",), max_bytes)
+    return found.withColumn("page_id", F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, size_bytes, CASE WHEN size_bytes <= 1500 THEN hash END AS file_hash, CASE WHEN size_bytes > 1500 THEN 'file_too_large' END AS problem FROM f")
+def file_inventory(spark, sf_dir):
+    return _page_files(spark, sf_dir, 1500).drop("path")
+
+
+@query(f"WITH {_PAGES} SELECT hash AS file_hash, size_bytes, count(*) AS copies FROM f GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_files(spark, sf_dir):
+    return files.duplicate_files(_page_files(spark, sf_dir, 1_000_000)).drop("paths")
+
+
 @query(f"""WITH {RECORDS}, k AS (
   SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY (speaker IS NOT NULL)::INT + (channel IS NOT NULL)::INT + (generator IS NOT NULL)::INT + 2 DESC, dataset_id, sample_id) AS r FROM rec)
   SELECT dataset_id, count(*) AS found, count_if(r = 1)::BIGINT AS kept, count_if(r > 1)::BIGINT AS dropped FROM k GROUP BY dataset_id""")

@@ -1,10 +1,14 @@
 """Queries over streams, training and whole jobs."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechlake.functions import records as R
 from speechlake.operators import corpus as C
+from speechlake.operators import jobs as J
 from speechlake.operators import metrics as M
 from speechlake.operators import privacy as P
 from speechlake.operators import signal as G
@@ -12,6 +16,7 @@ from speechlake.operators import splitting as S
 from speechlake.operators import training as T
 from speechlake.plans.registry import RECORDS, query, records, scored, table
 from speechlake.plans.signal_queries import CLEAN, cleaned
+from speechlake.sources.manifests import read_manifest_set
 from speechlake.sources.shared import new_path, written
 from speechlake.streaming import jobs, windows
 
@@ -105,7 +110,8 @@ def calibrated_scores(spark, sf_dir):
     s = scored(spark, sf_dir)
     dev = s.where("split = 'dev'")
     platt, isotonic = (T.fit_calibrator(dev, k) for k in ("platt", "isotonic"))
-    return s.where("split = 'test'").select("sample_id", platt.apply(F.col("score")).alias("platt"), isotonic.apply(F.col("score")).alias("isotonic"))
+    both = isotonic.calibrated(platt.calibrated(s.where("split = 'test'"), name="platt"), name="isotonic")
+    return both.select("sample_id", "platt", "isotonic")
 
 
 @query("SELECT vec_id, round(least(1.0, abs(embedding[1]::DOUBLE) * 2), 6) AS score, 'v1' AS model_version FROM embeddings")
@@ -123,7 +129,7 @@ def rescore_artifact(spark, sf_dir):
     model = T.fit_logistic(ready.where("split = 'train'"))
     dev = T.scores(model, ready.where("split = 'dev'"))
     fitted = T.fit_calibrator(dev)
-    points = M.operating_points(dev.withColumn("score", fitted.apply(F.col("score"))))
+    points = M.operating_points(fitted.calibrated(dev))
     spec = {"vector": "embedding", "size": 64}
     made = T.Artifact(model, fitted, M.select_threshold(points, "eer").first().threshold, spec)
     path = new_path(spark, "artifact")
@@ -143,12 +149,15 @@ def rescore_artifact(spark, sf_dir):
 # ---- jobs
 
 
-@query(f"""WITH {RECORDS}, v AS (SELECT *, CASE WHEN speaker IS NULL THEN 'missing_metadata' WHEN file_bytes > 20000 THEN 'file_too_large' WHEN duration_s < 2 THEN 'too_short' WHEN duration_s > 60 THEN 'too_long' END AS code FROM rec),
+_BUILT = f"""WITH {RECORDS}, v AS (SELECT *, CASE WHEN speaker IS NULL THEN 'missing_metadata' WHEN file_bytes > 20000 THEN 'file_too_large' WHEN duration_s < 2 THEN 'too_short' WHEN duration_s > 60 THEN 'too_long' END AS code FROM rec),
   a AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY sample_id) AS r FROM v WHERE code IS NULL), k AS (SELECT *, 'speaker:' || speaker AS grp FROM a WHERE r = 1), g AS (SELECT grp, count(*) AS size, sha256(grp) AS o FROM k GROUP BY 1),
   n AS (SELECT sum(size) AS n FROM g), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), t AS (SELECT *, before < (SELECT round_even(n * 0.7, 0) FROM n) AS tr FROM b),
   d AS (SELECT *, coalesce(sum(size) OVER (ORDER BY o, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bd FROM t WHERE NOT tr),
   s AS (SELECT grp, 'train' AS split FROM t WHERE tr UNION ALL SELECT grp, CASE WHEN bd < (SELECT round_even(n * 0.15, 0) FROM n) THEN 'dev' ELSE 'test' END FROM d)
-  SELECT s.split, k.label, count(*) AS samples, count(DISTINCT k.speaker) AS speakers, round(sum(duration_s), 4) AS seconds FROM k JOIN s USING (grp) GROUP BY 1, 2""")
+  SELECT s.split, k.label, count(*) AS samples, count(DISTINCT k.speaker) AS speakers, round(sum(duration_s), 4) AS seconds FROM k JOIN s USING (grp) GROUP BY 1, 2"""
+
+
+@query(_BUILT)
 def build_dataset(spark, sf_dir):
     """Inventory, validation, dedup, split and statistics in one job; a split that shares a speaker would end it."""
     r = records(spark, sf_dir).withColumns({"speech_s": F.col("duration_s"), "usable": F.lit(True), "content_hash": F.col("file_hash")})
@@ -161,6 +170,35 @@ def build_dataset(spark, sf_dir):
     return samples.groupBy("split", "label").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("speaker").alias("speakers"), F.round(F.sum("duration_s"), 4).alias("seconds"))
 
 
+def _sources(spark, sf_dir):
+    return records(spark, sf_dir).withColumns({"speech_s": F.col("duration_s"), "usable": F.lit(True), "content_hash": F.col("file_hash")})
+
+
+@query(_BUILT)
+def publish_dataset(spark, sf_dir):
+    """The same build, published with its reports and read back from the manifests of its splits."""
+    path = new_path(spark, "build")
+    J.publish_job(_sources(spark, sf_dir), f"{path}/manifests", f"{path}/reports", "b1", source="grp")
+    rows = reduce(DataFrame.unionByName, [read_manifest_set(spark, f"{path}/manifests", s) for s in ("train", "dev", "test")])
+    return rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("speaker").alias("speakers"), F.round(F.sum("duration_s"), 4).alias("seconds"))
+
+
+@query(f"""WITH {RECORDS}, v AS (SELECT *, CASE WHEN speaker IS NULL THEN 'missing_metadata' WHEN file_bytes > 20000 THEN 'file_too_large' WHEN duration_s < 2 THEN 'too_short' WHEN duration_s > 60 THEN 'too_long' END AS code FROM rec),
+  d AS (SELECT *, CASE WHEN code IS NULL AND sample_id > min(sample_id) FILTER (code IS NULL) OVER (PARTITION BY file_hash) THEN 'duplicate' ELSE code END AS final FROM v)
+  SELECT 'validation' AS report, dataset_id || ' ' || coalesce(final, 'accepted') AS subject, count(*) AS n FROM d GROUP BY 2 UNION ALL
+  SELECT 'rejected', build || ' ' || final, count(*) FROM d, (SELECT unnest(['b1', 'b2']) AS build) WHERE final IS NOT NULL GROUP BY 2 UNION ALL SELECT 'repeated_ids', '', count(*) - count(DISTINCT sample_id) FROM rec""")
+def validation_reports(spark, sf_dir):
+    """What two runs of the validation job leave: the last report of outcomes, and what both rejected."""
+    path = new_path(spark, "reports")
+    for build in ("b1", "b2"):
+        J.validate_job(_sources(spark, sf_dir), path, build)
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    outcomes = read("validation", "dataset_id string, outcome string, n bigint").select(F.lit("validation").alias("report"), F.concat_ws(" ", "dataset_id", "outcome").alias("subject"), "n")
+    rejected = read("rejected", "build_id string, code string").groupBy(F.lit("rejected").alias("report"), F.concat_ws(" ", "build_id", "code").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    ids = read("scopes", "repeated_ids bigint").select(F.lit("repeated_ids").alias("report"), F.lit("").alias("subject"), F.col("repeated_ids").alias("n"))
+    return outcomes.unionByName(rejected).unionByName(ids)
+
+
 @query(f"WITH {CLEAN}, s AS (SELECT signal, count(*) AS frames, count_if(speech) AS speech FROM cl GROUP BY 1) SELECT count(*) AS signals, sum(frames)::BIGINT AS frames, sum(speech)::BIGINT AS speech_frames, round(sum(speech) / sum(frames), 6) AS speech_ratio FROM s")
 def processing_summary(spark, sf_dir):
     c = cleaned(spark, sf_dir)

@@ -4,22 +4,29 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from speechlake.functions.records import known
-from speechlake.sources.shared import new_path
+from speechlake.sources.shared import new_path, written
 
-__all__ = ["inventory", "new_path", "read_jsonl_leniently", "read_manifest", "read_seeded_jsonl", "read_sidecar", "scan_files", "sidecar_join", "write_manifest", "write_seeded_jsonl"]
+__all__ = ["duplicate_files", "file_inventory", "inventory", "new_path", "read_jsonl_leniently", "read_manifest", "read_seeded_jsonl", "read_sidecar", "scan_files", "sidecar_join", "write_manifest", "write_seeded_jsonl"]
 
 #: The version of manifests that this engine writes; newer ones are refused.
 SCHEMA_VERSION = 1
 EXTENSIONS = ("flac", "wav", "mp3", "ogg", "m4a", "opus")
 
 
-def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """(path, modificationTime, length, content) of the files with an allowed extension; hidden folders are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of the files with an allowed extension; hidden folders are left out.
+
+    Files longer than max_bytes are never opened, as the source is asked for shorter ones only. Files that cannot be read
+    are left out as well; file_inventory lists both.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
+    if max_bytes is not None:
+        found = found.where(F.col("length") <= max_bytes)
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.col("path").rlike(r"/\.[^/]+/"))
 
 
@@ -29,6 +36,27 @@ def inventory(rows: DataFrame, max_bytes: int) -> DataFrame:
     return rows.withColumns({"size_bytes": n, "file_hash": F.concat(F.lit("sha256:"), F.sha2("content", 256)), "quarantined": n > max_bytes}).drop("content")
 
 
+def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int = 1 << 30) -> DataFrame:
+    """(path, size_bytes, file_hash, problem): every file with content, with its SHA-256, or file_too_large or unreadable.
+
+    A listing gives all paths and lengths without opening a file; a second scan reads those of max_bytes at most.
+    What the listing has and the scan has not is unreadable, so one broken file costs its own row. Spark does not list
+    files of no bytes.
+    """
+    listed = scan_files(spark, path, extensions).select("path", F.col("length").alias("size_bytes"))
+    read = scan_files(spark, path, extensions, max_bytes).select(F.col("path").alias("_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"))
+    met = listed.join(written(read, "inventory"), F.col("path") == F.col("_path"), "left")
+    problem = F.when(F.col("size_bytes") > max_bytes, "file_too_large").when(F.col("file_hash").isNull(), "unreadable")
+    return met.select("path", "size_bytes", "file_hash", problem.alias("problem"))
+
+
+def duplicate_files(found: DataFrame, examples: int = 8) -> DataFrame:
+    """(file_hash, size_bytes, copies, paths): contents that several files hold, with the first paths, one of which is kept."""
+    good = found.where("problem is null").withColumn("_n", F.row_number().over(W.partitionBy("file_hash").orderBy("path")))
+    groups = good.groupBy("file_hash").agg(F.max("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(F.when(F.col("_n") <= examples, F.col("path")))).alias("paths"))
+    return groups.where("copies > 1")
+
+
 def read_sidecar(spark: SparkSession, paths: Sequence[str], aliases: dict[str, Sequence[str]], sep: str = ",") -> DataFrame:
     """One column for each key of aliases from tables whose headers vary.
 
@@ -67,7 +95,14 @@ def sidecar_join(files: DataFrame, side: DataFrame, path: str, key: str, columns
 
 
 def write_manifest(rows: DataFrame, path: str, build_id: str) -> None:
-    """Write rows as JSON lines per split, and a header with their number; the header comes last, so a manifest without one is unfinished."""
+    """Write rows as JSON lines per split, and a header with their number.
+
+    A header that is there goes first and the new one comes last, so a manifest without one is unfinished. A
+    set that readers may use while it is replaced is written by manifests.write_manifest_set.
+    """
+    context = rows.sparkSession.sparkContext
+    header = context._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    header.getFileSystem(context._jsc.hadoopConfiguration()).delete(header, True)
     rows.sortWithinPartitions("sample_id").write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
     n = rows.sparkSession.read.schema(rows.schema).json(f"{path}/rows").count()
     header = rows.sparkSession.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(build_id).alias("build_id"), F.lit(n).alias("rows"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,11 +135,27 @@ def test_calibration_and_fallbacks(spark):
     base = M.brier(df).first().brier
     for kind in ("platt", "isotonic"):
         c = T.fit_calibrator(df, kind)
-        assert c.kind == kind and M.brier(df.withColumn("score", c.apply(F.col("score")))).first().brier < base
+        assert c.kind == kind and M.brier(c.calibrated(df)).first().brier < base
     assert T.fit_calibrator(df.limit(3)).kind == "identity"
     assert T.fit_calibrator(df.limit(60), "isotonic").kind == "platt"
 
 
+def test_isotonic_scores_between_boundaries(spark):
+    rng = random.Random(5)
+    xs = sorted({round(rng.random(), 6) for _ in range(500)} | {0.3, 0.300001})
+    ys = sorted(rng.uniform(-0.1, 1.1) for _ in xs)
+    scores = [rng.uniform(-0.2, 1.2) for _ in range(400)] + xs[:50] + [xs[-1], None]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(scores)], "i int, score double, _cell int")
+    got = {r.i: r.y for r in T.calibrator("isotonic", (xs, ys)).calibrated(df, name="y").collect()}
+    assert len(got) == len(scores) and got[len(scores) - 1] is None
+    for i, x in enumerate(scores[:-1]):
+        assert abs(got[i] - min(1.0, max(0.0, np.interp(x, xs, ys)))) < 1e-9
+    one = T.calibrator("isotonic", ([0.5], [0.7])).calibrated(df, name="y").where("score is not null")
+    assert {r.y for r in one.collect()} == {0.7}
+    sizes = [len(T.calibrator("isotonic", ([i / n for i in range(n)], [i / n for i in range(n)])).calibrated(df)._jdf.queryExecution().toString()) for n in (10, 100_000)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
 def test_logistic_learns_a_separable_table(spark):
     rng = random.Random(5)
     rows = [([(y := i % 2) * 2 + rng.gauss(0, 0.4), rng.gauss(0, 1)], y, ("train", "dev", "test")[i % 3]) for i in range(300)]
