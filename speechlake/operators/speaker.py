@@ -142,6 +142,33 @@ def centroids(accepted: DataFrame, profile: str, least: int = 1) -> DataFrame:
     return mean.join(n, profile).where(F.col("samples") >= least).select(profile, normalized(F.col("m")).alias("centroid"), "samples")
 
 
+def enroll(samples: DataFrame, profile: str, sample: str, vector: str, measures: Sequence[str] = ("duration_s",), size: int | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(profiles, outcomes) of samples with authorized, consent (a reference) and accepted (the quality gate's verdict).
+
+    Outcomes, a row a sample: consent_required where the sample's profile lacks an authorization, or a consent reference that is
+    not blank, in any of its rows; quality where the gate refused the sample; then those of accepted_samples,
+    which the others never take the place of. Profiles, a row for each with `least` accepted samples: centroid, samples, consent,
+    and the mean of each measure over the accepted ones. A null profile is none and needs consent.
+    """
+    sound = F.coalesce(F.col("authorized"), F.lit(False)) & (F.trim(F.coalesce("consent", F.lit(""))) != "")
+    allowed = samples.groupBy(F.col(profile).alias("_p")).agg(F.bool_and(sound).alias("_sound"), F.min("consent").alias("_consent")).where("_p is not null and _sound")
+    rows = written(samples.join(allowed, F.col(profile) == F.col("_p"), "left"), "samples")
+    gate = F.when(F.col("_p").isNull(), "consent_required").when(~F.coalesce("accepted", F.lit(False)), "quality")
+    rows = rows.withColumn("outcome", gate)
+    good = written(accepted_samples(rows.where("outcome is null").drop("outcome"), profile, sample, vector, size=size), "outcomes")
+    out = rows.where("outcome is not null").select(profile, sample, "outcome").unionByName(good.select(profile, sample, "outcome"))
+    summary = good.where("outcome = 'accepted'").groupBy(profile).agg(F.min("_consent").alias("consent"), *[F.avg(m).alias(f"mean_{m}") for m in measures])
+    return centroids(good, profile, least).join(summary, profile), out
+
+
+def verification_events(verified: DataFrame, probe: str, profiles: DataFrame, threshold: float, policy: str, at: Column) -> DataFrame:
+    """What is kept of each verification: ids, decision, score, threshold, policy and the profile's version, but no vector."""
+    known = profiles.select("profile_id", F.col("version").alias("profile_version"))
+    event = F.substring(F.sha2(F.concat_ws("|", F.col(probe).cast("string"), F.col("profile_id").cast("string"), at.cast("string")), 256), 1, 32)
+    rows = verified.join(known, "profile_id", "left")
+    return rows.select(event.alias("verification_id"), probe, "profile_id", "decision", "score", F.lit(threshold).alias("threshold"), F.lit(policy).alias("policy"), "profile_version", at.alias("created_at"))
+
+
 def verify(probes: DataFrame, profiles: DataFrame, vector: str, now: Column, threshold: float = 0.75) -> DataFrame:
     """Probes with score and decision against the profile that each one names, never against others.
 

@@ -8,7 +8,7 @@ from speechlake.operators import speaker as S
 from speechlake.operators.profiles import Profiles
 from speechlake.functions import vectors as V
 from speechlake.plans.registry import query, table
-from speechlake.sources.shared import new_path
+from speechlake.sources.shared import new_path, written
 from speechlake.sources.versions import VersionedTable
 
 
@@ -152,6 +152,56 @@ def verify_probes(spark, sf_dir):
     return S.verify(e.withColumn("profile_id", i + 4), profiles, "embedding", now, threshold=0.05).select("vec_id", "decision")
 
 
+_ENROLLED = """r AS (SELECT vec_id AS i, vec_id // 20 AS p, vec_id % 7 <> 3 AS quality, (vec_id // 20) % 5 <> 2 AS authorized, CASE WHEN (vec_id // 20) % 6 = 4 AND vec_id % 20 = 7 THEN ' ' ELSE 'form ' || (vec_id // 20) END AS consent,
+    1 + vec_id % 9 AS duration_s, embedding::DOUBLE[] AS v, embedding AS e FROM embeddings),
+  ok AS (SELECT p FROM r GROUP BY p HAVING bool_and(authorized AND trim(consent) <> '')), a AS (SELECT r.* FROM r JOIN ok USING (p) WHERE quality),
+  w AS (SELECT b.p, b.i, count_if(x.e = b.e) AS equal, count_if(list_cosine_similarity(x.v, b.v) >= 0.99999) AS near FROM a b LEFT JOIN a x ON x.p = b.p AND x.i < b.i GROUP BY 1, 2),
+  oc AS (SELECT r.p, r.i, r.duration_s, r.v, CASE WHEN ok.p IS NULL THEN 'consent_required' WHEN NOT quality THEN 'quality' WHEN equal > 0 THEN 'duplicate' WHEN near > 0 THEN 'near_duplicate' ELSE 'accepted' END AS outcome
+    FROM r LEFT JOIN ok ON ok.p = r.p LEFT JOIN w ON w.p = r.p AND w.i = r.i)"""
+
+
+_MEANS = """f AS (SELECT p, unnest(v) AS x, generate_subscripts(v, 1) AS d, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM oc WHERE outcome = 'accepted'), m AS (SELECT p, d, avg(x / n) AS m FROM f GROUP BY 1, 2)"""
+
+
+def _enrolled(spark, sf_dir):
+    i = F.col("vec_id")
+    group = F.floor(i / 20)
+    consent = F.when((group % 6 == 4) & (i % 20 == 7), " ").otherwise(F.concat(F.lit("form "), group))
+    rows = table(spark, sf_dir, "embeddings").select(group.alias("profile_id"), i.alias("recording_id"), "embedding", (i % 7 != 3).alias("accepted"), (group % 5 != 2).alias("authorized"), consent.alias("consent"), (1 + i % 9).alias("duration_s"))
+    return S.enroll(rows, "profile_id", "recording_id", "embedding", size=64)
+
+
+@query(f"WITH {_ENROLLED} SELECT p AS profile_id, i AS recording_id, outcome FROM oc")
+def enrolment_with_consent(spark, sf_dir):
+    """What becomes of each sample where profiles need consent and samples a quality."""
+    return _enrolled(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_ENROLLED}, {_MEANS}, c AS (SELECT p, list_transform(list(m ORDER BY d), lambda x: round(x / sqrt(sum(m * m)), 4) + 0.0) AS c FROM m GROUP BY p)
+  SELECT p AS profile_id, count(*) AS samples, 'form ' || p AS consent, round(avg(duration_s), 6) AS mean_duration_s, array_to_string(list_transform(any_value(c), lambda x: printf('%.4f', x)), ',') AS centroid FROM oc JOIN c USING (p) WHERE outcome = 'accepted' GROUP BY p""")
+def profiles_with_consent(spark, sf_dir):
+    """The profiles, all dimensions, and what is summed up of their samples."""
+    made = _enrolled(spark, sf_dir)[0]
+    numbers = F.transform("centroid", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0))
+    return _round(made.select("profile_id", "samples", "consent", "mean_duration_s", F.array_join(numbers, ",").alias("centroid")), "mean_duration_s")
+
+
+@query(f"""WITH {_ENROLLED}, {_MEANS}, c AS (SELECT p, list(m ORDER BY d) AS c FROM m GROUP BY p)
+  SELECT i AS recording_id, r.p AS profile_id, CASE WHEN c.p IS NULL THEN 'unknown_profile' WHEN list_cosine_similarity(v, c) >= 0.2 THEN 'MATCH' ELSE 'NON_MATCH' END AS decision, round(list_cosine_similarity(v, c), 6) AS score, CASE WHEN c.p IS NOT NULL THEN 1 END AS profile_version,
+    substr(sha256(i || '|' || r.p || '|2024-06-01 00:00:00'), 1, 32) AS verification_id FROM r LEFT JOIN c USING (p)""")
+def verification_audit(spark, sf_dir):
+    """Every recording against the profile of its group; the events are appended to a log in two writes and read back."""
+    at = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+    made = _enrolled(spark, sf_dir)[0].withColumns({"active": F.lit(True), "expires_at": F.lit(None).cast("timestamp"), "version": F.lit(1)})
+    probes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), F.floor(F.col("vec_id") / 20).alias("profile_id"), "embedding")
+    made = written(made, "profiles")
+    events = S.verification_events(S.verify(probes, made, "embedding", at, threshold=0.2), "recording_id", made, 0.2, "p1", at)
+    log = VersionedTable(spark, new_path(spark, "verifications"), events.schema)
+    for part in (0, 1):
+        log.append(events.where(F.pmod(F.xxhash64("recording_id"), F.lit(2)) == part))
+    return _round(log.read().select("verification_id", "recording_id", "profile_id", "decision", "score", "profile_version"), "score")
+
+
 @query("""WITH p AS (SELECT *, vec_id % 2 = 0 AS made, vec_id % 6 = 0 AS updated, vec_id % 10 = 0 AS off, vec_id % 14 = 0 AS gone, md5(vec_id::VARCHAR) AS h FROM embeddings)
   SELECT vec_id, (1 + updated::INT + off::INT)::INT AS version, (CASE WHEN updated THEN 2 ELSE 1 END)::BIGINT AS samples, NOT off AS active, NOT off AND vec_id % 4 <> 0 AS listed FROM p WHERE made AND NOT gone""")
 def profile_lifecycle(spark, sf_dir):
