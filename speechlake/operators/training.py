@@ -57,7 +57,7 @@ class Calibrator:
     params: tuple = ()
 
     def calibrated(self, rows: DataFrame, score: str = "score", name: str = "score") -> DataFrame:
-        """rows with the calibrated score under a name; null stays null."""
+        """rows with the calibrated score under a name; null stays null, and is what isotonic calibration makes of nan."""
         if self.apply is None:
             return _interpolated(rows, score, name, *self.params)
         return rows.withColumn(name, self.apply(F.col(score)))
@@ -85,12 +85,12 @@ def _interpolated(rows: DataFrame, score: str, name: str, xs: Sequence[float], y
     first, last, cells = xs[0], xs[-1], max(1, len(xs))
     cell = lambda x: F.floor((x - first) / max(last - first, 1e-300) * cells)
     known = F.col(score).isNotNull() & ~F.isnan(score)
-    out = F.when(known, F.when(F.col(score) < first, F.lit(ys[0])).when(F.col(score) >= last, F.lit(ys[-1])).otherwise(F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(score) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))))
+    out = F.when(F.col(score) < first, F.lit(ys[0])).when(F.col(score) >= last, F.lit(ys[-1])).otherwise(F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(score) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
     table = rows.sparkSession.createDataFrame(list(zip(xs, xs[1:], ys, ys[1:], strict=False)), "_x0 double, _x1 double, _y0 double, _y1 double").where("_x0 < _x1")
     table = written(table.withColumn("_c", F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1"))))), "boundaries")
     at = rows.withColumn("_cell", F.when(known & (F.col(score) >= first) & (F.col(score) < last), cell(F.col(score))))
     met = at.join(table, (F.col("_cell") == F.col("_c")) & (F.col(score) >= F.col("_x0")) & (F.col(score) < F.col("_x1")), "left")
-    return met.withColumn(name, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))).drop("_cell", "_c", "_x0", "_x1", "_y0", "_y1")
+    return met.withColumn(name, F.when(known, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))).drop("_cell", "_c", "_x0", "_x1", "_y0", "_y1")
 
 
 def _logit(p: Column) -> Column:
