@@ -70,7 +70,7 @@ def speaker_trials(spark, sf_dir):
     return trials(spark, sf_dir, cap=None)
 
 
-@query(f"""WITH {TRIALS}, n AS (SELECT *, row_number() OVER (ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER () AS n FROM fi),
+@query(f"""WITH {_GENUINE}, n AS (SELECT *, row_number() OVER (ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER () AS n FROM fi),
   st AS (SELECT *, unnest(range(1, least(n // 2, (1000 + n - 1) // n) + 1)) AS step FROM n),
   pa AS (SELECT CASE WHEN a.speaker_id < b.speaker_id THEN a.recording_id ELSE b.recording_id END AS enrol, CASE WHEN a.speaker_id < b.speaker_id THEN b.recording_id ELSE a.recording_id END AS test,
     least(a.speaker_id, b.speaker_id) AS speaker_a, greatest(a.speaker_id, b.speaker_id) AS speaker_b FROM st a JOIN n b ON b.place = (a.place + a.step) % a.n WHERE 2 * a.step < a.n OR a.place < a.step),
