@@ -89,7 +89,22 @@ def segments(frames: DataFrame, signal: str, order: str, flag: str, window: int,
     speech = F.coalesce("_high", F.lit(0)) - F.coalesce("_low", F.lit(0))
     out = met.select(signal, "start", "stop", speech.alias("speech"), (speech / window).alias("coverage"))
     out = written(out.where(F.col("coverage") >= least_coverage), "segments")
-    return running_sum(out, [signal], F.floor(F.col("start") / width), [F.col("start")], F.lit(1), "segment")
+    return running_sum(out, [signal], F.floor(F.col("start") / width), [F.col("start")], F.lit(1), "segment").withColumn("segment", F.col("segment").cast("int"))
+
+
+def sample_records(segments: DataFrame, sources: DataFrame, signal: str, frame_s: float, window: int) -> DataFrame:
+    """A record for each segment: sample_id (<source>#0007), parent_id, start_s, end_s, speech_s, coverage, padded, content_hash, and what its source has.
+
+    sources: signal, file_hash and any metadata, the split among it, one row a signal; all columns but file_hash are
+    inherited. The content is told by the source's content and the place. Segments of a signal without a source are left out.
+    """
+    met = segments.join(sources, signal)
+    place = [F.format_string("%d", F.col(c).cast("long")) for c in ("start", "stop")]
+    kept = [c for c in sources.columns if c not in (signal, "file_hash")]
+    return met.select(
+        F.format_string("%s#%04d", F.col(signal).cast("string"), "segment").alias("sample_id"), F.col(signal).cast("string").alias("parent_id"), (F.col("start") * frame_s).alias("start_s"), (F.col("stop") * frame_s).alias("end_s"),
+        (F.col("speech") * frame_s).alias("speech_s"), "coverage", (F.col("stop") - F.col("start") < window).alias("padded"), F.sha2(F.concat_ws("|", "file_hash", *place), 256).alias("content_hash"), *kept,
+    )
 
 
 def quality(samples: DataFrame, signal: str, value: str, frames: DataFrame, clip: float = 0.99, silence_db: float = -60.0) -> DataFrame:

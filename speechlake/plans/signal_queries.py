@@ -77,20 +77,28 @@ def speech_regions(spark, sf_dir):
     return S.regions(cleaned(spark, sf_dir), "signal", "frame", "speech", 0.5, 0.25, 0.5, 1.0)
 
 
-@query(f"""WITH {CLEAN}, n AS (SELECT signal, max(frame) + 1 AS n FROM cl GROUP BY 1), st AS (SELECT DISTINCT signal, n, unnest(CASE WHEN n >= 6 THEN list_append(range(0, n - 5, 3), n - 6) ELSE [0] END) AS start FROM n),
+SEGMENTS = CLEAN + """, n AS (SELECT signal, max(frame) + 1 AS n FROM cl GROUP BY 1), st AS (SELECT DISTINCT signal, n, unnest(CASE WHEN n >= 6 THEN list_append(range(0, n - 5, 3), n - 6) ELSE [0] END) AS start FROM n),
   v AS (SELECT st.signal, start, least(start + 6, st.n) AS stop, count_if(speech) AS speech FROM st JOIN cl ON cl.signal = st.signal AND frame >= start AND frame < least(start + 6, st.n) GROUP BY 1, 2, 3),
-  k2 AS (SELECT *, speech / 6 AS coverage, coalesce(stop <= lag(stop) OVER (PARTITION BY signal ORDER BY start), false) AS inside FROM v), f AS (SELECT * FROM k2 WHERE NOT inside AND coverage >= 0.25)
-  SELECT signal, start, stop, speech::BIGINT AS speech, round(coverage, 8) AS coverage, (row_number() OVER (PARTITION BY signal ORDER BY start) - 1)::INT AS segment FROM f""")
+  k2 AS (SELECT *, speech / 6 AS coverage, coalesce(stop <= lag(stop) OVER (PARTITION BY signal ORDER BY start), false) AS inside FROM v), f AS (SELECT * FROM k2 WHERE NOT inside AND coverage >= 0.25),
+  seg AS (SELECT signal, start, stop, speech::BIGINT AS speech, round(coverage, 8) AS coverage, (row_number() OVER (PARTITION BY signal ORDER BY start) - 1)::INT AS segment FROM f)"""
+
+
+@query(f"WITH {SEGMENTS} SELECT * FROM seg")
 def segment_windows(spark, sf_dir):
     return _round(S.segments(cleaned(spark, sf_dir), "signal", "frame", "speech", 6, 3), "coverage", digits=8)
 
 
-@query(f"WITH {CLEAN}, d AS (SELECT signal, max(frame) + 1 AS n FROM cl GROUP BY 1) SELECT signal || '#' || printf('%04d', frame) AS sample_id, sha256(signal || '|' || frame || '|' || n) AS content_hash FROM cl JOIN d USING (signal) WHERE frame % 6 = 0")
+@query(f"""WITH {SEGMENTS} SELECT signal || '#' || printf('%04d', segment) AS sample_id, signal::VARCHAR AS parent_id, start * 0.5::DOUBLE AS start_s, stop * 0.5::DOUBLE AS end_s, speech * 0.5::DOUBLE AS speech_s, coverage, stop - start < 6 AS padded,
+  sha256(sha256(signal::VARCHAR) || '|' || start || '|' || stop) AS content_hash, CASE WHEN signal % 10 < 7 THEN 'train' WHEN signal % 10 = 7 THEN 'dev' ELSE 'test' END AS split, 'spk' || (signal % 40) AS speaker, CASE WHEN signal % 3 = 0 THEN 'spoof' ELSE 'bona_fide' END AS label
+  FROM seg WHERE signal % 13 <> 5""")
 def window_records(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    n = c.groupBy("signal").agg((F.max("frame") + 1).alias("total"))
-    w = c.where(F.col("frame") % 6 == 0).join(n, "signal")
-    return w.select(F.format_string("%s#%04d", F.col("signal").cast("string"), F.col("frame")).alias("sample_id"), F.sha2(F.concat_ws("|", "signal", "frame", "total"), 256).alias("content_hash"))
+    """The windows of each signal as records that inherit its source's fields; signals without a source have none."""
+    i = F.col("signal")
+    made = S.segments(cleaned(spark, sf_dir), "signal", "frame", "speech", 6, 3)
+    split = F.when(i % 10 < 7, "train").when(i % 10 == 7, "dev").otherwise("test")
+    sources = table(spark, sf_dir, "events").select(F.col("user_id").alias("signal")).distinct().where(i % 13 != 5)
+    sources = sources.select("signal", F.sha2(i.cast("string"), 256).alias("file_hash"), split.alias("split"), F.concat(F.lit("spk"), i % 40).alias("speaker"), F.when(i % 3 == 0, "spoof").otherwise("bona_fide").alias("label"))
+    return _round(S.sample_records(made, sources, "signal", 0.5, 6), "coverage", digits=8)
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT signal, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms, avg(x) AS dc, count_if(abs(x) >= 0.9) / count(*) AS clipped FROM smp GROUP BY 1),
@@ -133,17 +141,20 @@ def _prosody(spark, sf_dir):
     return S.prosody(c, "signal", "frame", frame_s=0.5)
 
 
-@query(f"""WITH {CLEAN}, p AS (SELECT *, CASE WHEN zcr < 0.5 AND speech THEN 100 + 200 * rms END AS pitch FROM cl), {_runs('z', 'cl')}, ru AS (SELECT signal, run, any_value(speech) AS sp, any_value(first_run) AS fi, any_value(last_run) AS la, count(*) * 0.5 AS s FROM z GROUP BY 1, 2),
+_PROSODY = f"""{CLEAN}, p AS (SELECT *, CASE WHEN zcr < 0.5 AND speech THEN 100 + 200 * rms END AS pitch FROM cl), {_runs('z', 'cl')}, ru AS (SELECT signal, run, any_value(speech) AS sp, any_value(first_run) AS fi, any_value(last_run) AS la, count(*) * 0.5 AS s FROM z GROUP BY 1, 2),
   g AS (SELECT signal, count_if(NOT sp AND NOT fi AND NOT la)::DOUBLE AS pause_count, quantile_cont(s, 0.5) FILTER (NOT sp AND NOT fi AND NOT la) AS pause_median_s, count_if(sp)::DOUBLE AS segment_count FROM ru GROUP BY 1),
   b AS (SELECT signal, count(pitch) AS voiced, quantile_cont(pitch, 0.5) AS pitch_median_hz, stddev_pop(pitch) AS pitch_std_hz, max(pitch) - min(pitch) AS pitch_range_hz, quantile_cont(energy_db, 0.5) FILTER (speech) AS energy_median_db, stddev_pop(energy_db) FILTER (speech) AS energy_std_db,
     quantile_cont(energy_db, 0.9) FILTER (speech) - quantile_cont(energy_db, 0.1) FILTER (speech) AS energy_range_db, count_if(speech) / count(*) AS speech_ratio FROM p GROUP BY 1),
-  j AS (SELECT * FROM b JOIN g USING (signal)), u AS (SELECT signal, voiced, unnest([{", ".join("{'f': '" + f + "', 'v': " + f + "}" for f in S.PROSODY)}]) AS x FROM j)
-  SELECT signal, x.f AS feature, round(CASE WHEN x.f NOT LIKE 'pitch%' OR voiced >= 3 THEN x.v END, 6) AS value, CASE WHEN x.f LIKE 'pitch%' THEN voiced >= 3 ELSE x.v IS NOT NULL END AS valid FROM u""")
+  j AS (SELECT * FROM b JOIN g USING (signal)), u AS (SELECT signal, voiced, unnest([{", ".join("{'f': '" + f + "', 'v': " + f + "}" for f in S.PROSODY)}]) AS x FROM j),
+  fe AS (SELECT signal, x.f AS feature, round(CASE WHEN x.f NOT LIKE 'pitch%' OR voiced >= 3 THEN x.v END, 6) AS value, CASE WHEN x.f LIKE 'pitch%' THEN voiced >= 3 ELSE x.v IS NOT NULL END AS valid FROM u)"""
+
+
+@query(f"WITH {_PROSODY} SELECT * FROM fe")
 def prosody_features(spark, sf_dir):
     return _round(_prosody(spark, sf_dir).select("signal", "feature", "value", "valid"), "value")
 
 
-@query()
+@query(f"""WITH {_PROSODY} SELECT signal, count_if(valid)::BIGINT AS valid_features, CASE WHEN count_if(valid) = count(*) THEN 'PASS' WHEN count_if(valid) >= 3 THEN 'WARN' ELSE 'INCONCLUSIVE' END AS status, count_if(valid) >= 3 AS comparable FROM fe GROUP BY 1""")
 def prosody_status(spark, sf_dir):
     return S.prosody_status(_prosody(spark, sf_dir), "signal")
 

@@ -111,7 +111,9 @@ def stratified_trials(spark, sf_dir):
     return _round(M.score_distribution(long, ["axis", "value", "label"]).select("axis", "value", "label", "n", "mean", "sd", "median"), "mean", "sd", "median")
 
 
-@query()
+@query(f"""WITH {TRIALS}, p AS (SELECT split, score AS t, sum(label) AS p, sum(1 - label) AS n FROM ts GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER a AS ap, sum(n) OVER a AS an FROM p WINDOW w AS (PARTITION BY split ORDER BY t DESC), a AS (PARTITION BY split)),
+  o AS (SELECT *, fp / an AS far, (ap - tp) / ap AS frr FROM c), k AS ((SELECT 'eer' AS policy, * FROM o WHERE split = 'dev' ORDER BY round(abs(far - frr), 12), t DESC LIMIT 1) UNION ALL (SELECT 'target_far', * FROM o WHERE split = 'dev' AND far <= 0.01 ORDER BY frr, far, t DESC LIMIT 1))
+  SELECT policy, round(k.t, 6) AS t, round(any_value(k.far), 8) AS dev_far, round(any_value(k.frr), 8) AS dev_frr, round(max(o.far), 8) AS test_far, round(min(o.frr), 8) AS test_frr FROM k JOIN o ON o.split = 'test' AND o.t >= k.t GROUP BY policy, k.t""")
 def speaker_thresholds(spark, sf_dir):
     """Thresholds picked on dev, with their error rates on test."""
     s = scored_trials(spark, sf_dir)
@@ -122,7 +124,7 @@ def speaker_thresholds(spark, sf_dir):
         near = test.join(F.broadcast(pick), F.col("threshold") >= F.col("t"))  # pick is one row
         part = near.groupBy("policy", "t", "dev_far", "dev_frr").agg(F.max("far").alias("test_far"), F.min("frr").alias("test_frr"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return _round(_round(out, "t"), "dev_far", "dev_frr", "test_far", "test_frr", digits=8)
 
 
 def _profiles(spark, sf_dir):

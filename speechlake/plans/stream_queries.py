@@ -15,7 +15,7 @@ from speechlake.operators import signal as G
 from speechlake.operators import splitting as S
 from speechlake.operators import training as T
 from speechlake.plans.registry import RECORDS, query, records, scored, table
-from speechlake.plans.signal_queries import CLEAN, cleaned
+from speechlake.plans.signal_queries import CLEAN, SEGMENTS, cleaned
 from speechlake.sources.manifests import read_manifest_set
 from speechlake.sources.shared import new_path, written
 from speechlake.streaming import jobs, windows
@@ -54,20 +54,24 @@ def count_windows_batch(spark, sf_dir):
     return _rounded(windows.count_windows_batch(_samples(spark, sf_dir).drop("ts"), "stream", "idx", "x", SIZE, HOP, gain_db=-6.0))
 
 
-@query("SELECT event_type, to_timestamp(0)::TIMESTAMP + INTERVAL 1 DAY * d AS start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, unnest([date_diff('day', TIMESTAMP '1970-01-01', ts), date_diff('day', TIMESTAMP '1970-01-01', ts) - 1]) AS d FROM events) GROUP BY 1, 2".replace("to_timestamp(0)::TIMESTAMP", "TIMESTAMP '1970-01-01'"))
+_TIME_WINDOWS = "SELECT event_type, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * d AS start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, unnest([date_diff('day', TIMESTAMP '1970-01-01', ts), date_diff('day', TIMESTAMP '1970-01-01', ts) - 1]) AS d FROM events) GROUP BY 1, 2"
+
+
+@query(_TIME_WINDOWS)
 def time_windows(spark, sf_dir):
     out = windows.time_windows(table(spark, sf_dir, "events"), "ts", ["event_type"], "2 days", "1 day", "value")
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
-@query()
+@query(_TIME_WINDOWS)
 def time_windows_stream(spark, sf_dir):
     """The same windows over a stream; a last row later than all windows closes them, and its own is never emitted."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     last = rows.groupBy().agg((F.max("ts") + F.expr("INTERVAL 4 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value")).where("ts is not null")
     stream = jobs.file_stream(spark, rows.unionByName(last), "events", order="ts", files=3)
-    return jobs.run_available(windows.time_windows(stream, "ts", ["event_type"], "2 days", "1 day", "value", late="1 day"), "time-windows")
+    out = jobs.run_available(windows.time_windows(stream, "ts", ["event_type"], "2 days", "1 day", "value", late="1 day"), "time-windows")
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query("""WITH g AS (SELECT event_id, least(value / 491.0, 1.0) AS score, ts FROM events) SELECT event_id, round(score, 8) AS score, CASE WHEN score < 0.5 THEN 'log_only' WHEN score < 0.8 THEN 'challenge_mfa' ELSE 'escalate_to_analyst' END AS action, ts + INTERVAL 30 DAY AS expires_at FROM g""")
@@ -216,8 +220,11 @@ def speaker_evaluation(spark, sf_dir):
     return M.detect(s.where("split = 'test'"), threshold, ["cross_session"])
 
 
-@query()
+@query(f"""WITH {SEGMENTS}, g AS (SELECT signal, least(1.0, avg(speech / 6)) AS m, sum(speech * 0.5) AS sec FROM seg GROUP BY 1), b AS (SELECT *, CASE WHEN sec < 1 THEN 'INSUFFICIENT_SPEECH' ELSE 'DECIDED' END AS outcome FROM g),
+  d AS (SELECT *, CASE WHEN outcome = 'DECIDED' THEN CASE WHEN m < 0.5 THEN 'LOW' WHEN m < 0.8 THEN 'MEDIUM' ELSE 'HIGH' END END AS band FROM b)
+  SELECT signal, round(CASE WHEN band IS NOT NULL THEN m END, 8) AS score, band, CASE WHEN band IS NULL THEN 'none' WHEN band = 'LOW' THEN 'log_only' WHEN band = 'MEDIUM' THEN 'challenge_mfa' ELSE 'escalate_to_analyst' END AS action, outcome FROM d""")
 def window_decisions(spark, sf_dir):
     """Signals to speech windows to scores to one decision each."""
     seg = G.segments(cleaned(spark, sf_dir), "signal", "frame", "speech", 6, 3)
-    return P.decide(seg.select("signal", F.col("coverage").alias("score"), (F.col("speech") * 0.5).alias("seconds")), "signal", "score", "seconds", "m1")
+    out = P.decide(seg.select("signal", F.col("coverage").alias("score"), (F.col("speech") * 0.5).alias("seconds")), "signal", "score", "seconds", "m1")
+    return out.withColumn("score", F.round("score", 8))
