@@ -204,7 +204,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, flush: int = FLUSH, sampl
     only longest grams are shuffled, added up by task and packed a bucket to a row. A bucket holds all
     grams that begin with the same two words, so its counts of two words and more are whole and the
     rare ones are dropped there. Grams are dealt into FAN buckets at a time, and again where a bucket would stand for more than
-    `bucket` bytes of text; so rows grow with the grams, at any size, and 1 TB of text takes a second or third shuffle. A pair of words with more than 1 / HOT of a sample of the rows has its
+    `bucket` bytes of text; so rows grow with the grams, at any size: 2 GB of text take
+    one shuffle, 1 TB two, 500 TB three. A pair of words with more than 1 / HOT of a sample of the rows has its
     grams spread over all buckets, and its flows are added up behind them; the sample serves the balance only. So does
     a bucket with more than twice `flush` distinct grams, whose counts Spark adds up; no task holds more.
     """
