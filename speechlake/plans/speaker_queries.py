@@ -22,7 +22,7 @@ def recordings(spark, sf_dir):
     return e.select("vec_id", "embedding", F.col("vec_id").alias("recording_id"), F.concat(F.lit("s"), (F.col("vec_id") % 40), F.lit("-"), "label").alias("speaker_id"), (F.col("vec_id") % 3).alias("session"), split.alias("split"))
 
 
-#: Trials of a split, half of each class at most.
+#: Trials of a split, half of each class at most, where a query's SQL has the cap.
 CAP = 4000
 
 
@@ -32,9 +32,9 @@ def trials(spark, sf_dir, cap=CAP):
     return parts[0].unionByName(parts[1])
 
 
-def scored_trials(spark, sf_dir):
+def scored_trials(spark, sf_dir, cap=CAP):
     r = recordings(spark, sf_dir)
-    return S.score_trials(trials(spark, sf_dir), r, "recording_id", "embedding")
+    return S.score_trials(trials(spark, sf_dir, cap), r, "recording_id", "embedding")
 
 
 _GENUINE = """
@@ -43,18 +43,20 @@ fi AS (SELECT * FROM re QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER
 ge AS (SELECT fi.recording_id AS enrol, re.recording_id AS test, fi.speaker_id AS speaker_a, fi.speaker_id AS speaker_b, 1 AS label, re.session <> fi.session AS cross_session, fi.split
   FROM re JOIN fi USING (speaker_id) WHERE re.recording_id <> fi.recording_id QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY re.session = fi.session, re.h) = 1)
 """
-#: Each two speakers, which only small tables allow.
+_SCORES = """,
+ts AS (SELECT tr.*, list_cosine_similarity(a.v, b.v) AS score FROM tr JOIN re a ON a.recording_id = enrol JOIN re b ON b.recording_id = test)"""
+#: Each two speakers of a split.
 EVERY_TRIAL = _GENUINE + """,
 im AS (SELECT a.recording_id AS enrol, b.recording_id AS test, a.speaker_id AS speaker_a, b.speaker_id AS speaker_b, 0 AS label, true AS cross_session, a.split FROM fi a JOIN fi b ON a.split = b.split AND a.speaker_id < b.speaker_id),
 tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im))
 """
+EVERY_SCORE = EVERY_TRIAL + _SCORES
 TRIALS = _GENUINE + f""",
 pl AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('0|' || speaker_id)) - 1 AS place, count(*) OVER (PARTITION BY split) AS n FROM fi),
 st AS (SELECT *, unnest(range(1, least(n // 2, ({CAP // 2} + n - 1) // n) + 1)) AS step FROM pl),
 im AS (SELECT CASE WHEN a.speaker_id < b.speaker_id THEN a.recording_id ELSE b.recording_id END AS enrol, CASE WHEN a.speaker_id < b.speaker_id THEN b.recording_id ELSE a.recording_id END AS test,
   least(a.speaker_id, b.speaker_id) AS speaker_a, greatest(a.speaker_id, b.speaker_id) AS speaker_b, 0 AS label, true AS cross_session, a.split FROM st a JOIN pl b ON b.split = a.split AND b.place = (a.place + a.step) % a.n WHERE 2 * a.step < a.n OR a.place < a.step),
-tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im) QUALIFY row_number() OVER (PARTITION BY split, label ORDER BY trial_id) <= {CAP // 2}),
-ts AS (SELECT tr.*, list_cosine_similarity(a.v, b.v) AS score FROM tr JOIN re a ON a.recording_id = enrol JOIN re b ON b.recording_id = test)
+tr AS (SELECT *, substr(sha256(enrol || '|' || test), 1, 16) AS trial_id FROM (SELECT * FROM ge UNION ALL SELECT * FROM im) QUALIFY row_number() OVER (PARTITION BY split, label ORDER BY trial_id) <= {CAP // 2}){_SCORES}
 """
 
 
@@ -66,7 +68,7 @@ def vector_norms(spark, sf_dir):
 
 @query(f"WITH {EVERY_TRIAL} SELECT trial_id, enrol, test, speaker_a, speaker_b, label, cross_session, split FROM tr")
 def speaker_trials(spark, sf_dir):
-    """Every two speakers of a split, for tables of few speakers; the other queries take capped trials."""
+    """Every two speakers of a split; recordings() makes at most 400 of them, however many rows there are."""
     return trials(spark, sf_dir, cap=None)
 
 
@@ -88,9 +90,9 @@ def trial_integrity(spark, sf_dir):
     return S.trial_problems(trials(spark, sf_dir))
 
 
-@query(f"WITH {TRIALS} SELECT trial_id, label, round(score, 6) AS score FROM ts")
+@query(f"WITH {EVERY_SCORE} SELECT trial_id, label, round(score, 6) AS score FROM ts")
 def trial_scores(spark, sf_dir):
-    return _round(scored_trials(spark, sf_dir).select("trial_id", "label", "score"), "score")
+    return _round(scored_trials(spark, sf_dir, cap=None).select("trial_id", "label", "score"), "score")
 
 
 @query(f"""WITH {TRIALS}, p AS (SELECT split, round(score, 9) AS threshold, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM ts GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY split ORDER BY threshold DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY threshold DESC) AS fp,

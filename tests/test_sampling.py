@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from speechlake.functions.quantiles import exact_quantiles
 from speechlake.operators import speaker as S
 from speechlake.operators.sampling import weighted_draws
 from speechlake.operators.splitting import group_sizes, stratified_fill
+from speechlake.plans import QUERIES, SQL
+from tests.test_queries import rows as plain_rows
 
 
 def greedy(groups, ratios):
@@ -94,3 +97,26 @@ def test_capped_trials_have_no_join_of_all_pairs(spark):
     out = S.build_trials(df, cap=100)
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
     assert Counter(r.label for r in out.collect()) == {0: 50, 1: 50}
+
+
+@pytest.fixture(scope="module")
+def many_speakers(spark, tmp_path_factory):
+    """A folder with embeddings of 200 and 120 speakers, two recordings each."""
+    path, rng = str(tmp_path_factory.mktemp("speakers")), random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], i // 40 % 8) for i in range(640)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["trial_scores"])
+def test_scores_are_of_every_trial(spark, many_speakers, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{many_speakers}/embeddings.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, many_speakers), con.sql(SQL[name])
+    found = got.collect()
+    assert plain_rows(got.columns, found) == plain_rows(want.columns, want.fetchall())
+    every = 200 * 199 // 2 + 120 * 119 // 2 + 320
+    if name == "trial_scores":
+        assert len(found) == every
+    if name == "stratified_trials":
+        assert sum(r.n for r in found if r.axis == "split") == every
