@@ -95,11 +95,11 @@ def trial_scores(spark, sf_dir):
     return _round(scored_trials(spark, sf_dir, cap=None).select("trial_id", "label", "score"), "score")
 
 
-@query(f"""WITH {TRIALS}, p AS (SELECT split, round(score, 9) AS threshold, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM ts GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY split ORDER BY threshold DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY threshold DESC) AS fp,
+@query(f"""WITH {EVERY_SCORE}, p AS (SELECT split, round(score, 9) AS threshold, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM ts GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY split ORDER BY threshold DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY threshold DESC) AS fp,
   sum(p) OVER (PARTITION BY split) AS ap, sum(n) OVER (PARTITION BY split) AS an FROM p), o AS (SELECT *, fp / an AS far, (ap - tp) / ap AS frr FROM c), e AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY split ORDER BY round(abs(far - frr), 12), threshold DESC) = 1),
   a AS (SELECT split, sum(p * (2 * (an - fp) + n)) / (2.0 * sum(p) * sum(n)) AS auc FROM o GROUP BY 1) SELECT split, round(auc, 8) AS auc, round((far + frr) / 2, 8) AS eer, threshold AS eer_threshold FROM e JOIN a USING (split)""")
 def verification_metrics(spark, sf_dir):
-    s = scored_trials(spark, sf_dir).withColumn("score", F.round("score", 9))
+    s = scored_trials(spark, sf_dir, cap=None).withColumn("score", F.round("score", 9))
     p = M.operating_points(s, ["split"])
     return _round(M.gap_eer(p, ["split"]).join(M.auc(p, ["split"]), "split"), "auc", "eer", digits=8)
 
