@@ -104,10 +104,10 @@ def verification_metrics(spark, sf_dir):
     return _round(M.gap_eer(p, ["split"]).join(M.auc(p, ["split"]), "split"), "auc", "eer", digits=8)
 
 
-@query(f"""WITH {TRIALS}, g AS (SELECT 'session' AS axis, cross_session::VARCHAR AS value, label, score FROM ts UNION ALL SELECT 'split', split, label, score FROM ts)
+@query(f"""WITH {EVERY_SCORE}, g AS (SELECT 'session' AS axis, cross_session::VARCHAR AS value, label, score FROM ts UNION ALL SELECT 'split', split, label, score FROM ts)
   SELECT axis, value, label, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, round(quantile_cont(score, 0.5), 6) AS median FROM g GROUP BY 1, 2, 3""")
 def stratified_trials(spark, sf_dir):
-    s = scored_trials(spark, sf_dir)
+    s = scored_trials(spark, sf_dir, cap=None)
     pairs = F.array(F.struct(F.lit("session").alias("axis"), F.col("cross_session").cast("string").alias("value")), F.struct(F.lit("split").alias("axis"), F.col("split").alias("value")))
     long = s.select("label", "score", F.explode(pairs).alias("p")).select("label", "score", "p.axis", "p.value")
     return _round(M.score_distribution(long, ["axis", "value", "label"]).select("axis", "value", "label", "n", "mean", "sd", "median"), "mean", "sd", "median")

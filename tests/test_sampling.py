@@ -108,7 +108,7 @@ def many_speakers(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["trial_scores", "verification_metrics"])
+@pytest.mark.parametrize("name", ["trial_scores", "verification_metrics", "stratified_trials"])
 def test_scores_are_of_every_trial(spark, many_speakers, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{many_speakers}/embeddings.parquet/*.parquet'")
