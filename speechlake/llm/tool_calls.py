@@ -36,24 +36,30 @@ def _same(a: DataFrame, b: DataFrame, conv: str, call: str, other: str = "call_i
     return a["conv_id"].eqNullSafe(b[conv]) & (a[other] == b[call])
 
 
-def _put_off(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, turn, key, depth, stuck): the largest (key, depth) of each call, by a join a round over what has changed."""
-    out = known.withColumns({"key": F.col("turn"), "depth": F.lit(0).cast("long"), "stuck": F.lit(False)})
-    fresh = out.select("conv_id", "call_id", "key", "depth")
+def _settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (conv_id, call_id, key, depth) with the largest (key, depth + steps) over edges (conv_id, call_id, dep, steps), and stuck.
+
+    In a round each edge to a call without edges goes, and leaves that call's place with the caller; each to a call with one
+    edge is led on to where that one ends, so chains halve. Where no edge ends at a call without edges, all calls that
+    still have some wait for themselves or for such.
+    """
+    nodes, edges = written(nodes, "calls"), written(edges, "waits")
     while True:
-        ready = fresh.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"), F.col("key").alias("_key"), (F.col("depth") + 1).alias("_depth"))
-        waits = edges.join(ready, _same(edges, ready, "_c", "_d", "dep")).groupBy(F.col("conv_id").alias("_cc"), F.col("call_id").alias("_cd")).agg(F.max(F.struct("_key", "_depth")).alias("_w"))
-        met = out.join(waits, _same(out, waits, "_cc", "_cd"), "left")
-        later = F.coalesce(F.col("_w") > F.struct(F.col("key").alias("_key"), F.col("depth").alias("_depth")), F.lit(False)) & ~F.col("stuck")
-        new = [F.when(later, F.col(f"_w._{c}")).otherwise(F.col(c)).alias(c) for c in ("key", "depth")]
-        met = written(met.select("conv_id", "call_id", "turn", *new, "stuck", later.alias("moved")), "places")
-        if met.where("moved").isEmpty():
-            return met.drop("moved")
-        most = met.where("depth > 0").groupBy(F.col("conv_id").alias("_cc")).agg(F.count(F.lit(1)).alias("_most"))
-        out = met.join(most, met["conv_id"].eqNullSafe(most["_cc"]), "left").withColumn("stuck", F.col("stuck") | F.coalesce(F.col("depth") > F.col("_most"), F.lit(False)))
-        out = written(out.drop("_cc", "_most"), "placed")
-        fresh = out.where("moved").select("conv_id", "call_id", "key", "depth")
-        out = out.drop("moved")
+        out = edges.groupBy(F.col("conv_id").alias("_oc"), F.col("call_id").alias("_od")).agg(F.count(F.lit(1)).alias("_n"), F.min("dep").alias("_to"), F.min("steps").alias("_more"))
+        state = nodes.join(out, _same(nodes, out, "_oc", "_od"), "left").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"), "key", "depth", F.coalesce("_n", F.lit(0)).alias("_n"), "_to", "_more")
+        met = edges.join(state, _same(edges, state, "_c", "_d", "dep"))
+        led = (F.col("_n") == 1) & (F.col("_to") != F.col("dep"))
+        met = met.select("conv_id", "call_id", "dep", "steps", "_n", F.when(led, F.col("_to")).alias("_to"), "_more", F.when(led | (F.col("_n") == 0), F.struct("key", (F.col("depth") + F.col("steps")).alias("depth"))).alias("_w"))
+        met = written(met, "places")
+        if met.where("_n = 0").isEmpty():
+            waiting = edges.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")).distinct().withColumn("_stuck", F.lit(True))
+            return nodes.join(waiting, _same(nodes, waiting, "_c", "_d"), "left").select("conv_id", "call_id", "key", "depth", F.coalesce("_stuck", F.lit(False)).alias("stuck"))
+        most = met.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")).agg(F.max("_w").alias("_w"))
+        place = F.greatest(F.struct("key", "depth"), F.col("_w"))
+        nodes = written(nodes.join(most, _same(nodes, most, "_c", "_d"), "left").select("conv_id", "call_id", place["key"].alias("key"), place["depth"].alias("depth")), "calls")
+        steps = F.when(F.col("_to").isNull(), F.col("steps")).otherwise(F.least(F.col("steps") + F.col("_more"), F.lit(1 << 40)))  # no longer but in a circle
+        edges = met.where("_n > 0").groupBy("conv_id", "call_id", F.coalesce("_to", "dep").alias("dep")).agg(F.max(steps).alias("steps"))
+        edges = written(edges, "waits")
 
 
 def call_places(calls: DataFrame) -> DataFrame:
@@ -61,32 +67,41 @@ def call_places(calls: DataFrame) -> DataFrame:
 
     key is the turn at which all that a call waits for is there, its own or a later one, and depth how many calls
     that wait for that turn come before it. Both are the largest of (turn, 0) and (key, depth + 1) over what it
-    waits for, found by repeated joins: a round for each call of the longest chain of calls that are put off,
-    over those alone that changed. Calls in order need no round. A call that waits for itself, by whatever way, is
-    stuck, as is one that waits for such a call; both stand by their turn. The first are known by a depth above the number
-    of calls of the conversation that are put off; the others are found from them, and the rest is placed
-    without them. Ids that are no call of the conversation are not waited for; a null turn comes last.
+    waits for. Calls in order need no join: a conversation's calls before the first that waits for its own turn or a later one,
+    and those behind the last turn waited for so, stand by their turn. The others are placed in rounds of joins
+    (see _settle): the logarithm of the longest chain of calls that wait for one call each, and one for each
+    further call of a chain of calls that wait for several. A call that waits for itself, by whatever way, is
+    stuck, as is one that waits for such a call; both stand by their turn. All circles are known in the same round. Only in their
+    conversations the calls behind the last turn are placed so as well, as they may wait for one. Ids that are no call of
+    the conversation are not waited for; a null turn comes last.
     """
     known = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(2**63 - 1)).alias("turn"), F.coalesce("depends", F.array().cast("array<string>")).alias("depends"))
     known = written(known.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.array_distinct(F.flatten(F.collect_list("depends"))).alias("depends")), "calls")
-    edges = known.select("conv_id", "call_id", F.explode("depends").alias("dep"))
-    there = known.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"))
-    edges = written(edges.join(there, _same(edges, there, "_c", "_d", "dep"), "left_semi"), "waits")
-    known = known.drop("depends")
-    placed = _put_off(known, edges)
-    stuck = fresh = written(placed.where("stuck").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")), "stuck")
-    if stuck.isEmpty():
-        return placed.drop("turn")
-    while not fresh.isEmpty():
-        behind = edges.join(fresh, _same(edges, fresh, "_c", "_d", "dep"), "left_semi").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d")).distinct()
-        seen = stuck.select(F.col("_c").alias("conv_id"), F.col("_d").alias("call_id"))
-        fresh = written(behind.join(seen, _same(seen, behind, "_c", "_d"), "left_anti"), "stuck")
-        stuck = stuck.unionByName(fresh)
-    stuck = written(stuck, "stuck")
-    free = written(known.join(stuck, _same(known, stuck, "_c", "_d"), "left_anti"), "calls")
-    placed = _put_off(free, edges.join(stuck, _same(edges, stuck, "_c", "_d"), "left_anti"))
-    out = known.join(stuck, _same(known, stuck, "_c", "_d"), "left_semi").select("conv_id", "call_id", F.col("turn").alias("key"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("stuck"))
-    return placed.drop("turn").unionByName(out)
+    edges = known.select("conv_id", "call_id", "turn", F.explode("depends").alias("dep"))
+    there = known.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"), F.col("turn").alias("dep_turn"))
+    edges = written(edges.join(there, _same(edges, there, "_c", "_d", "dep")).select("conv_id", "call_id", "dep", "turn", "dep_turn", F.lit(1).cast("long").alias("steps")), "waits")
+    late = edges.where("dep_turn >= turn").groupBy(F.col("conv_id").alias("_c")).agg(F.min("turn").alias("_first"), F.max("dep_turn").alias("_last"))
+    late = written(late, "late")
+
+    def within(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+        return rows.join(bounds, rows["conv_id"].eqNullSafe(bounds["_c"])).where("turn >= _first and turn <= _last").drop("_c", "_first", "_last")
+
+    def place(bounds: DataFrame) -> DataFrame:
+        nodes = within(known, bounds).select("conv_id", "call_id", F.col("turn").alias("key"), F.lit(0).cast("long").alias("depth"))
+        waits = within(edges, bounds).join(bounds, F.col("conv_id").eqNullSafe(F.col("_c"))).where("dep_turn >= _first").select("conv_id", "call_id", "dep", "steps")
+        return written(_settle(nodes, waits), "placed")
+
+    placed = place(late)
+    ends = known.groupBy(F.col("conv_id").alias("_e")).agg(F.max("turn").alias("_end"))
+    stuck = placed.where("stuck").select(F.col("conv_id").alias("_s")).distinct()
+    again = late.join(stuck, F.col("_c").eqNullSafe(F.col("_s"))).join(ends, F.col("_c").eqNullSafe(F.col("_e"))).where("_end > _last").select("_c", "_first", F.col("_end").alias("_last"))
+    again = written(again, "again")
+    if not again.isEmpty():
+        placed = placed.join(again, placed["conv_id"].eqNullSafe(again["_c"]), "left_anti").unionByName(place(again))
+    found = placed.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_d"), "key", "depth", "stuck")
+    free = ~F.coalesce("stuck", F.lit(False))
+    out = known.join(found, _same(known, found, "_c", "_d"), "left")
+    return out.select("conv_id", "call_id", F.coalesce(F.when(free, F.col("key")), "turn").alias("key"), F.coalesce(F.when(free, F.col("depth")), F.lit(0)).cast("long").alias("depth"), (~free).alias("stuck"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:

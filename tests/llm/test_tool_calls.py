@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from speechlake.llm import tool_calls
 from speechlake.llm.tool_calls import call_places, link_tool_calls
 
 SCHEMA = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, depends array<string>"
@@ -79,6 +80,26 @@ def test_calls_stand_behind_the_results_that_they_need(spark):
             assert all(at[d] < at[k] and results.get(d, -1) < at[k] for d in ds)
 
 
+def long_calls():
+    """A chain told backwards and one in a shuffled order, a circle with calls in order behind it, and a ladder in order, of 100 calls each."""
+    order = random.Random(1).sample(range(100), 100)
+    rows = [(1, 100 - i, f"c{i}", [f"c{i - 1}"]) for i in range(100)]
+    rows += [(2, order[i], f"c{i}", [f"c{i - 1}"]) for i in range(100)]
+    rows += [(3, i, f"c{i}", [f"c{(i + 1) % 50}"] if i < 50 else [f"c{i - 1}", f"c{i - 2}"] if i < 53 else [f"c{i - 1}"]) for i in range(100)]
+    rows += [(4, i, f"c{i}", ["c1"] if i == 0 else [f"c{j}" for j in range(i)][-5:] if i > 1 else []) for i in range(100)]
+    return [(conv, turn, "assistant", "t", call, "f", "{}", depends) for conv, turn, call, depends in rows]
+
+
+def test_chains_need_few_rounds(spark, monkeypatch):
+    rows, tables = long_calls(), []
+    monkeypatch.setattr(tool_calls, "written", lambda df, name, w=tool_calls.written: tables.append(name) or w(df, name))
+    want = plain(rows)[0]
+    got = {(r.conv_id, r.call_id): (r.key, r.depth, r.stuck) for r in call_places(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    assert sum(v[2] for v in got.values()) == 100 and got[1, "c99"][1] == 99
+    assert tables.count("places") <= 12
+
+
 def test_no_calls(spark):
     assert call_places(spark.createDataFrame([], SCHEMA)).count() == 0
     one = link_tool_calls(spark.createDataFrame([(1, 1, "user", "x", None, None, None, None)], SCHEMA), {}).first()
