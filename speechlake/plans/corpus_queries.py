@@ -24,11 +24,12 @@ _PAGES = "f AS (SELECT page_id, strlen(coalesce(html, '') || chr(10))::BIGINT AS
 
 
 def _page_files(spark, sf_dir, max_bytes):
-    """The pages as files, one each, under a folder named after the page."""
+    """The pages as files, one each, named after the page."""
     path = files.new_path(spark, "pages")
-    table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).write.partitionBy("page_id").text(path)
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
+    files.write_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("page_id="), "page_id", F.lit(".txt")).alias("name"), F.encode(html, "UTF-8").alias("content")), path)
     found = files.file_inventory(spark, path, ("txt",), max_bytes)
-    return found.withColumn("page_id", F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long"))
+    return found.withColumn("page_id", F.regexp_extract("path", r"page_id=([0-9]+)\.txt", 1).cast("long"))
 
 
 @query(f"WITH {_PAGES} SELECT page_id, size_bytes, CASE WHEN size_bytes <= 1500 THEN hash END AS file_hash, CASE WHEN size_bytes > 1500 THEN 'file_too_large' END AS problem FROM f")

@@ -1,8 +1,10 @@
 """File inventories, sidecar tables and JSON-lines manifests."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,20 +13,52 @@ from pyspark.sql.types import StructType
 from speechlake.functions.records import known
 from speechlake.sources.shared import new_path, written
 
-__all__ = ["duplicate_files", "file_inventory", "inventory", "new_path", "read_jsonl_leniently", "read_manifest", "read_seeded_jsonl", "read_sidecar", "scan_files", "sidecar_join", "write_manifest", "write_seeded_jsonl"]
+__all__ = ["duplicate_files", "file_inventory", "inventory", "new_path", "read_jsonl_leniently", "read_manifest", "read_seeded_jsonl", "read_sidecar", "scan_files", "sidecar_join", "write_files", "write_manifest", "write_seeded_jsonl"]
 
 #: The version of manifests that this engine writes; newer ones are refused.
 SCHEMA_VERSION = 1
 EXTENSIONS = ("flac", "wav", "mp3", "ogg", "m4a", "opus")
 
 
+def write_files(rows: DataFrame, path: str) -> int:
+    """Write each row (name, content) as a file below path, about 1000 to a folder by a hash of the name; returns their number.
+
+    Names tell rows apart and content is binary, null for none. A folder is written by one task; one that is tried again writes the same files.
+    """
+    folders = max(1, rows.count() // 1000)
+    dealt = rows.select(F.concat(F.lit("part="), F.pmod(F.xxhash64("name"), F.lit(folders))).alias("folder"), "name", F.coalesce("content", F.lit(b"")).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        made = set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["folder"] not in made:
+                    store.create_dir(f"{root}/{row['folder']}", recursive=True)
+                    made.add(row["folder"])
+                with store.open_output_stream(f"{root}/{row['folder']}/{row['name']}", compression=None) as stream:
+                    stream.write(row["content"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    tasks = max(1, min(folders, 8 * rows.sparkSession.sparkContext.defaultParallelism))
+    return dealt.repartition(tasks, "folder").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _parts(spark: SparkSession, path: str) -> str:
+    """A pattern for what path holds, so that Spark lists many folders in tasks, not one behind the other; path where it holds nothing."""
+    context, pattern = spark.sparkContext, f"{path.rstrip('/')}/{{[^._]*,_*=*}}"
+    found = context._jvm.org.apache.hadoop.fs.Path(pattern)
+    return pattern if len(found.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(found) or ()) else path
+
+
 def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of the files with an allowed extension; hidden folders are left out.
 
     Files longer than max_bytes are never opened, as the source is asked for shorter ones only. Files that cannot be read
-    are left out as well; file_inventory lists both.
+    are left out as well; file_inventory lists both. The folders that path holds are listed by tasks, where there are more than
+    spark.sql.sources.parallelPartitionDiscovery.threshold of them.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(_parts(spark, path))
     if max_bytes is not None:
         found = found.where(F.col("length") <= max_bytes)
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.col("path").rlike(r"/\.[^/]+/"))
@@ -40,12 +74,13 @@ def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str] = E
     """(path, size_bytes, file_hash, problem): every file with content, with its SHA-256, or file_too_large or unreadable.
 
     A listing gives all paths and lengths without opening a file; a second scan reads those of max_bytes at most.
-    What the listing has and the scan has not is unreadable, so one broken file costs its own row. Spark does not list
+    What the listing has and the scan has not is unreadable, so one broken file costs its own row. Hashes are gathered before they
+    are written, as a scan has a task for some dozen small files. Spark does not list
     files of no bytes.
     """
     listed = scan_files(spark, path, extensions).select("path", F.col("length").alias("size_bytes"))
     read = scan_files(spark, path, extensions, max_bytes).select(F.col("path").alias("_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"))
-    met = listed.join(written(read, "inventory"), F.col("path") == F.col("_path"), "left")
+    met = listed.join(written(read.repartition("_path"), "inventory"), F.col("path") == F.col("_path"), "left")
     problem = F.when(F.col("size_bytes") > max_bytes, "file_too_large").when(F.col("file_hash").isNull(), "unreadable")
     return met.select("path", "size_bytes", "file_hash", problem.alias("problem"))
 

@@ -61,3 +61,29 @@ def test_a_refused_build_leaves_its_reports_and_nothing_published(spark):
     found, tallies = inspect_job(spark, f"{path}/m", "all", ["s30", "s31", "s0"])
     assert sorted(r.sample_id for r in found.collect()) == ["s30", "s31"]  # s0 is too short
     assert {r.value: r.rows for r in tallies.where("axis = 'language'").collect()} == {"en": inspect_job(spark, f"{path}/m")[1].where("axis = 'label'").first().rows}
+
+
+def test_many_folders_are_listed_by_tasks(spark, tmp_path):
+    path, n = f"file://{tmp_path}/many", 40_500
+    rows = spark.range(n).selectExpr("concat('f', id, '.txt') as name", "cast(if(id = 7, null, concat('x', id % 40000)) as binary) as content")
+    assert files.write_files(rows, path) == n
+    assert len(list((tmp_path / "many").iterdir())) == 40
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    files.scan_files(spark, path, ("txt",))
+    assert len(tracker.getJobIdsForGroup("listing")) == 1
+    found = files.file_inventory(spark, path, ("txt",))
+    assert found.where("problem is null").count() == n - 1  # Spark does not list the one of no bytes
+    twice = files.duplicate_files(found).selectExpr("count(*)", "max(copies)").first()
+    assert tuple(twice) == (499, 2)
+    body = lambda name: next((tmp_path / "many").glob(f"*/{name}")).read_bytes()
+    assert body("f40001.txt") == b"x1" and body("f7.txt") == b""
+
+
+def test_an_empty_folder_and_loose_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "none")).count() == 0
+    for name in ("a.wav", "_b=1/c.wav", "_d/e.wav"):
+        (tmp_path / "some" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "some" / name).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan_files(spark, str(tmp_path / "some")).collect()) == ["a.wav", "c.wav"]
