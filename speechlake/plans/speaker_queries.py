@@ -34,7 +34,7 @@ def trials(spark, sf_dir, cap=CAP):
 
 def scored_trials(spark, sf_dir, cap=CAP):
     r = recordings(spark, sf_dir)
-    return S.score_trials(trials(spark, sf_dir, cap), r, "recording_id", "embedding")
+    return written(S.score_trials(trials(spark, sf_dir, cap), r, "recording_id", "embedding"), "scored")
 
 
 _GENUINE = """

@@ -120,3 +120,24 @@ def test_scores_are_of_every_trial(spark, many_speakers, name):
         assert len(found) == every
     if name == "stratified_trials":
         assert sum(r.n for r in found if r.axis == "split") == every
+
+
+def test_scoring_reads_the_embeddings_of_its_trials_once(spark, monkeypatch):
+    rows = [(i, f"s{i // 20}", i % 3, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "recording_id long, speaker_id string, session long, embedding array<float>")
+    trials, tables = S.build_trials(df.drop("embedding"), cap=50), {}
+
+    def kept(table, name, w=S.written):
+        tables[name] = w(table, name)
+        return tables[name]
+
+    monkeypatch.setattr(S, "written", kept)
+    seen = spark.sparkContext.accumulator(0)
+    vector = F.udf(lambda v: seen.add(1) or v, "array<float>").asNondeterministic()
+    got = S.score_trials(trials, df.withColumn("embedding", vector("embedding")), "recording_id", "embedding").collect()
+    vectors = {r[0]: np.array(r[3]) for r in rows}
+    for r in got:
+        a, b = vectors[r.enrol], vectors[r.test]
+        assert abs(r.score - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) < 1e-9
+    assert len(got) == 50 and seen.value <= len(rows)
+    assert tables["vectors"].count() == len({x for r in got for x in (r.enrol, r.test)}) <= 100
