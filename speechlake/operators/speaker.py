@@ -83,7 +83,8 @@ def score_trials(trials: DataFrame, embeddings: DataFrame, recording: str, vecto
     trials = written(trials, "trials")
     sides = trials.select(F.col("enrol").alias("_r")).unionByName(trials.select(F.col("test").alias("_r"))).distinct()
     wanted = embeddings.select(F.col(recording).alias("_r"), F.col(vector).alias("_e")).join(written(sides, "sides"), "_r", "left_semi")
-    unit = written(wanted.select("_r", normalized(F.col("_e")).alias("_v")).where("_v is not null"), "vectors")
+    wanted = written(wanted, "vectors")  # else the test of their length goes below the join, to every vector
+    unit = wanted.select("_r", normalized(F.col("_e")).alias("_v")).where("_v is not null")
     a = unit.select(F.col("_r").alias("enrol"), F.col("_v").alias("_a"))
     b = unit.select(F.col("_r").alias("test"), F.col("_v").alias("_b"))
     return trials.join(a, "enrol").join(b, "test").withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("_a"), F.col("_b"))))).drop("_a", "_b")
