@@ -51,14 +51,19 @@ def _parts(spark: SparkSession, path: str) -> str:
     return pattern if len(found.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(found) or ()) else path
 
 
-def scan_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int | None = None) -> DataFrame:
+def _source(spark: SparkSession, path: str) -> DataFrame:
+    """The files below path as Spark's source for whole files, listed here and not again by what is made of it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(_parts(spark, path))
+
+
+def scan_files(spark: SparkSession, path: str | DataFrame, extensions: Sequence[str] = EXTENSIONS, max_bytes: int | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of the files with an allowed extension; hidden folders are left out.
 
     Files longer than max_bytes are never opened, as the source is asked for shorter ones only. Files that cannot be read
     are left out as well; file_inventory lists both. The folders that path holds are listed by tasks, where there are more than
-    spark.sql.sources.parallelPartitionDiscovery.threshold of them.
+    spark.sql.sources.parallelPartitionDiscovery.threshold of them. A listing that was made before may stand for path.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(_parts(spark, path))
+    found = _source(spark, path) if isinstance(path, str) else path
     if max_bytes is not None:
         found = found.where(F.col("length") <= max_bytes)
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.col("path").rlike(r"/\.[^/]+/"))
@@ -73,14 +78,17 @@ def inventory(rows: DataFrame, max_bytes: int) -> DataFrame:
 def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int = 1 << 30) -> DataFrame:
     """(path, size_bytes, file_hash, problem): every file with content, with its SHA-256, or file_too_large or unreadable.
 
-    A listing gives all paths and lengths without opening a file; a second scan reads those of max_bytes at most.
-    What the listing has and the scan has not is unreadable, so one broken file costs its own row. Hashes are gathered before they
-    are written, as a scan has a task for some dozen small files. Spark does not list
-    files of no bytes.
+    A listing gives all paths and lengths without opening a file; a second scan of the same listing reads those of max_bytes at
+    most. What the listing has and the scan has not is unreadable, so one broken file costs its own row. Spark makes a task of a
+    few small files, as it adds spark.sql.files.openCostInBytes to each; here a task takes many such parts, up to
+    about 4000 files or 256 MB, so that tasks and shuffle blocks do not grow with the number of small files. Spark does not list files
+    of no bytes.
     """
-    listed = scan_files(spark, path, extensions).select("path", F.col("length").alias("size_bytes"))
-    read = scan_files(spark, path, extensions, max_bytes).select(F.col("path").alias("_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"))
-    met = listed.join(written(read.repartition("_path"), "inventory"), F.col("path") == F.col("_path"), "left")
+    source, least = _source(spark, path), 8 * spark.sparkContext.defaultParallelism
+    listed = written(scan_files(spark, source, extensions).select("path", F.col("length").alias("size_bytes")).coalesce(least), "listing")
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    read = scan_files(spark, source, extensions, max_bytes).select(F.col("path").alias("_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("file_hash"))
+    met = listed.join(written(read.coalesce(max(least, n // 4000, size >> 28)), "inventory"), F.col("path") == F.col("_path"), "left")
     problem = F.when(F.col("size_bytes") > max_bytes, "file_too_large").when(F.col("file_hash").isNull(), "unreadable")
     return met.select("path", "size_bytes", "file_hash", problem.alias("problem"))
 

@@ -87,3 +87,23 @@ def test_an_empty_folder_and_loose_files(spark, tmp_path):
         (tmp_path / "some" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "some" / name).write_bytes(b"x")
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan_files(spark, str(tmp_path / "some")).collect()) == ["a.wav", "c.wav"]
+
+
+def test_a_task_takes_many_small_files(spark, tmp_path):
+    (tmp_path / "small" / "sub").mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    for i in range(300):
+        (tmp_path / "small" / "sub" / f"{i}.wav").write_bytes(b"x%d" % (i % 200))
+    tracker, size = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # what Spark adds to each file: a part of its own for each
+    spark.sparkContext.setJobGroup("inventory", "")
+    try:
+        found = files.file_inventory(spark, str(tmp_path / "small"))
+        assert sorted(r.copies for r in files.duplicate_files(found).collect()) == [2] * 100
+        assert found.where("problem is null").count() == 300
+        stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("inventory") for s in tracker.getJobInfo(job).stageIds]
+        assert max(s.numTasks for s in stages if s) <= 8 * spark.sparkContext.defaultParallelism < 300
+        assert files.file_inventory(spark, str(tmp_path / "none")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.sparkContext.setJobGroup("", "")
