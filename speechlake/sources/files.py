@@ -23,9 +23,12 @@ EXTENSIONS = ("flac", "wav", "mp3", "ogg", "m4a", "opus")
 def write_files(rows: DataFrame, path: str) -> int:
     """Write each row (name, content) as a file below path, about 1000 to a folder by a hash of the name; returns their number.
 
-    Names tell rows apart and content is binary, null for none. A folder is written by one task; one that is tried again writes the same files.
+    Names tell rows apart and content is binary, null for none. A name alone decides its folder, so a task that is tried again writes the
+    same files. Contents are shuffled only where a partition holds more than twice a core's share of the rows.
     """
-    folders = max(1, rows.count() // 1000)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n, most = rows.groupBy(F.spark_partition_id()).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    folders = max(1, n // 1000)
     dealt = rows.select(F.concat(F.lit("part="), F.pmod(F.xxhash64("name"), F.lit(folders))).alias("folder"), "name", F.coalesce("content", F.lit(b"")).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,8 +43,9 @@ def write_files(rows: DataFrame, path: str) -> int:
                     stream.write(row["content"])
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    tasks = max(1, min(folders, 8 * rows.sparkSession.sparkContext.defaultParallelism))
-    return dealt.repartition(tasks, "folder").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if most * cores > 2 * n:
+        dealt = dealt.repartition(max(1, min(folders, 8 * cores)), "folder")
+    return dealt.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _parts(spark: SparkSession, path: str) -> str:

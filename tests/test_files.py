@@ -107,3 +107,14 @@ def test_a_task_takes_many_small_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.sparkContext.setJobGroup("", "")
+
+
+def test_contents_are_shuffled_only_where_they_lie_unevenly(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 400, 1, 4).selectExpr("concat('f', id, '.txt') as name", "cast(concat('x', id) as binary) as content")
+    calls, repartition = [], type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: calls.append(a) or repartition(self, *a))
+    assert files.write_files(rows, f"file://{tmp_path}/even") == 400 and calls == []
+    assert files.write_files(rows.coalesce(1), f"file://{tmp_path}/uneven") == 400 and len(calls) == 1
+    found = [{str(f.relative_to(tmp_path / name)): f.read_bytes() for f in (tmp_path / name).rglob("f*.txt")} for name in ("even", "uneven")]
+    assert found[0] == found[1] and len(found[0]) == 400
+    assert files.write_files(rows.limit(0), f"file://{tmp_path}/none") == 0
