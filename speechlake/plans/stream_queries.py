@@ -211,10 +211,10 @@ def processing_summary(spark, sf_dir):
 
 @query()
 def speaker_evaluation(spark, sf_dir):
-    """The whole speaker report: trials, scores, threshold on dev, metrics on test by session."""
+    """The whole speaker report: every trial, scores, threshold on dev, metrics on test by session."""
     from speechlake.plans.speaker_queries import scored_trials
 
-    s = scored_trials(spark, sf_dir)
+    s = scored_trials(spark, sf_dir, cap=None)
     dev = M.operating_points(s.where("split = 'dev'"))
     threshold = M.select_threshold(dev, "eer").first().threshold
     return M.detect(s.where("split = 'test'"), threshold, ["cross_session"])

@@ -13,6 +13,8 @@ from speechlake.operators import speaker as S
 from speechlake.operators.sampling import weighted_draws
 from speechlake.operators.splitting import group_sizes, stratified_fill
 from speechlake.plans import QUERIES, SQL
+from speechlake.plans.speaker_queries import EVERY_SCORE
+from tests.test_queries import SF
 from tests.test_queries import rows as plain_rows
 
 
@@ -122,6 +124,25 @@ def test_scores_are_of_every_trial(spark, many_speakers, name):
         assert sum(r.n for r in found if r.axis == "split") == every
 
 
+def test_speaker_evaluation_is_of_every_trial(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    found = con.sql(f"WITH {EVERY_SCORE} SELECT split, cross_session, label, score FROM ts").fetchall()
+    of = lambda split, cross: [np.array([s for x, c, y, s in found if x == split and c in cross and y == label]) for label in (1, 0)]
+    p, n = of("dev", (True, False))
+    gap = lambda t: (round(abs((n >= t).mean() - (p < t).mean()), 12), -t)
+    threshold = min({*p, *n}, key=gap)
+    got = {r.cross_session: r for r in QUERIES["speaker_evaluation"](spark, SF).collect()}
+    assert set(got) == {c for x, c, *_ in found if x == "test"}
+    for cross, r in got.items():
+        p, n = of("test", (cross,))
+        assert (r.tp, r.fp, r.fn, r.tn) == ((p >= threshold).sum(), (n >= threshold).sum(), (p < threshold).sum(), (n < threshold).sum())
+        assert r.brier == pytest.approx(np.concatenate([(p - 1) ** 2, n**2]).mean())
+        if len(p) and len(n):
+            assert r.auc == pytest.approx((np.sign(p[:, None] - n).mean() + 1) / 2)
+    assert sum(r.tp + r.fp + r.fn + r.tn for r in got.values()) == sum(x == "test" for x, *_ in found) > 4000
+
+
 def test_scoring_reads_the_embeddings_of_its_trials_once(spark, monkeypatch):
     rows = [(i, f"s{i // 20}", i % 3, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(2000)]
     df = spark.createDataFrame(rows, "recording_id long, speaker_id string, session long, embedding array<float>")
